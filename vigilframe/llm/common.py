@@ -83,3 +83,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
         linked = large.join(low, "a")
         small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         now = cut(small.where("a <> b").distinct())
+
+
+def map_groups(df: DataFrame, keys: list[str], made: Callable, schema: str) -> DataFrame:
+    """``made(key, rows)`` for each distinct value of the leading columns ``keys``.
+
+    The groups must be bounded by construction: one at a time is held.  Rows come
+    sorted by key, so a partition of many small groups streams through.
+    """
+    width = len(keys)
+
+    def rows(slices):
+        key, held = None, []
+        for part in slices:
+            out = []
+            for row in part:
+                if held and row[:width] != key:
+                    out += made(key, held)
+                    held = []
+                key = row[:width]
+                held.append(row[width:])
+            if out:
+                yield out
+        if held and (out := list(made(key, held))):
+            yield out
+
+    return map_rows(df.repartition(*keys).sortWithinPartitions(*keys), rows, schema)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilframe.llm import fingerprints, packing, secret_scan
+from vigilframe.llm import embedding_dedup, fingerprints, language_id, license_scan, line_dedup, packing, secret_scan, sentencepiece_codec, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        line_dedup.op1_site_line_dedup,
         fingerprints.op2_prefix_fingerprints,
+        embedding_dedup.op3_cross_polytope_dedup,
         secret_scan.op4_secret_scan,
+        language_id.op5_string_kernel_language,
+        sentencepiece_codec.op7_sentencepiece_codec,
         packing.op8_harmonic_packing,
+        toxicity.op9_toxicity_trees,
+        license_scan.op10_license_scan,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_site_line_dedup": line_dedup.OP1_SQL}
