@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilframe.llm import embedding_dedup, fingerprints, language_id, license_scan, line_dedup, packing, secret_scan, sentencepiece_codec, toxicity
+from vigilframe.llm import embedding_dedup, fingerprints, jaccard_join, language_id, license_scan, line_dedup, packing, secret_scan, sentencepiece_codec, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
         embedding_dedup.op3_cross_polytope_dedup,
         secret_scan.op4_secret_scan,
         language_id.op5_string_kernel_language,
+        jaccard_join.op6_partenum_jaccard,
         sentencepiece_codec.op7_sentencepiece_codec,
         packing.op8_harmonic_packing,
         toxicity.op9_toxicity_trees,
