@@ -1 +1 @@
-
+"""Scalar expressions over text, hosts, URLs, times and identifiers."""

@@ -1 +1 @@
-
+"""Set-based operators: matching, merging, folding, filtering and views."""

@@ -1 +1 @@
-
+"""Whole plans: synchronising, hunting, reviewing and publishing."""

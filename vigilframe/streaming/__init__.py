@@ -1 +1 @@
-
+"""Structured Streaming pipelines over certificate messages and events."""
