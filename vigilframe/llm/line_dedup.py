@@ -90,7 +90,7 @@ def _unescaped(column: str) -> str:
 OP1_SQL = rf"""
 WITH pages_text AS (
   SELECT page_id, nullif(regexp_extract(lower(url), '{HOST}', 1), '') AS host,
-    {_unescaped(f"regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '(?i)</?(?:{BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS text
+    {_unescaped(rf"regexp_replace(regexp_replace(regexp_replace(html, '{HIDDEN}', '', 'g'), '(?i)</?(?:{BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS text
   FROM pages
 ), lines AS (
   SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM pages_text
