@@ -113,9 +113,9 @@ def drop_below(rows: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
 
     The suffix condition becomes equality with one of the host's ancestors.
     """
-    spread = rows.select(host).distinct().select(F.col(host).alias("_host"), F.explode(ancestors(F.col(host))).alias("suffix"))
-    hit = spread.join(suffixes, "suffix", "left_semi").select("_host").distinct()
-    return rows.join(hit, F.col(host) == F.col("_host"), "left_anti")
+    spread = rows.select(F.col(host).alias("_below")).distinct().withColumn("suffix", F.explode(ancestors(F.col("_below"))))
+    hit = spread.join(suffixes, "suffix", "left_semi").select("_below").distinct()
+    return rows.join(hit, F.col(host) == F.col("_below"), "left_anti")
 
 
 def suffix_labels(host: Column, suffixes: Sequence[str] = ()) -> Column:

@@ -46,7 +46,7 @@ def drop_suppressed(rows: DataFrame, suppressions: DataFrame, host: str = "domai
     Hosts that are not valid are suppressed.
     """
     named = rows.withColumn("_host", normalize_domain(F.replace(F.col(host), F.lit("[.]"), F.lit(".")))).where("_host is not null")
-    spread = named.select("_host", F.col(brand).alias("_brand")).distinct().select("_host", "_brand", F.explode(ancestors(F.col("_host"))).alias("_name"))
+    spread = named.select("_host", F.col(brand).alias("_brand")).distinct().withColumn("_name", F.explode(ancestors(F.col("_host"))))
     rule = suppressions.select(F.col("domain").alias("_name"), F.col("scope").alias("_scope"), F.col("brand").alias("_rule_brand"))
     covers = ((F.col("_scope") == "subdomains") | (F.col("_name") == F.col("_host"))) & (F.col("_rule_brand").isNull() | F.col("_rule_brand").eqNullSafe(F.col("_brand")))
     gone = spread.join(rule, "_name").where(covers).select(F.col("_host").alias("_g"), F.col("_brand").alias("_gb")).distinct()
