@@ -114,3 +114,24 @@ def map_groups(df: DataFrame, keys: list[str], made: Callable, schema: str) -> D
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Known:
+    """Ids of chunks encoded before; what was not met again lately is forgotten.
+
+    Chunks enter ``young``; at ``most`` entries it becomes ``old`` and the former
+    ``old`` goes, so common chunks stay and memory is bounded.
+    """
+
+    def __init__(self, most: int = 900_000) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def recall(self, chunks: set[str]) -> set[str]:
+        """Makes those of the chunks that are known young; gives the others."""
+        back = {c: x for c in chunks if (x := self.old.get(c)) is not None}
+        self.young.update(back)
+        return chunks.difference(back) if back else chunks
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young

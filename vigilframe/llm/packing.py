@@ -24,10 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import cut, map_rows, table
-
-#: Chunks encoded before in this worker, by tokenizer file; kept across tasks.
-_KNOWN: dict[str, dict[str, bytes]] = {}
+from vigilframe.llm.common import Known, cut, map_rows, table
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, digit int, task long, place long"
 
@@ -72,26 +69,33 @@ def _encode_each(chunks: list[str], path: str) -> list[bytes]:
     return [np.array(x.ids, "<u4").tobytes() for x in got]
 
 
-def encode_by_chunk(texts: list[str], path: str, known: dict[str, bytes], most: int = 800_000) -> list[bytes]:
+#: Chunks encoded before in this worker, by tokenizer file; kept across tasks.
+_KNOWN: dict[str, Known] = {}
+
+
+def encode_by_chunk(texts: list[str], path: str, known: Known) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never merges across it, so a text's ids
     are those of its space-separated chunks, and those of a word with marks
-    behind it are the word's and the marks'.  Each distinct chunk is encoded once
-    and kept in ``known``, which is emptied beyond ``most`` entries.
+    behind it are the word's and the marks'.  Chunks met lately aren't encoded again.
     """
+    known.age()
+    held = known.young
     chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*chunks).difference(known))
-    if len(known) + len(new) > most:
-        known.clear()
-        new = list(set().union(*chunks))
-    plain = [m.groups() if (m := _PLAIN.fullmatch(c)) else None for c in new]
-    words = list({m[0].lower() for m in plain if m})
-    others = list({m[1] for m in plain if m} | {c for c, m in zip(new, plain, strict=True) if not m})
-    ids_of = dict(zip(words, _encode_words(words, path), strict=True)) | dict(zip(others, _encode_each(others, path), strict=True))
-    for chunk, m in zip(new, plain, strict=True):
-        known[chunk] = ids_of[m[0].lower()] + ids_of[m[1]] if m else ids_of[chunk]
-    return [b"".join(map(known.__getitem__, c)) for c in chunks]
+    found = [list(map(held.get, c)) for c in chunks]
+    holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+    new = known.recall({c[i] for c, h in zip(chunks, holes, strict=True) for i in h})
+    parts = {c: (m[1].lower(), m[2]) for c in new if (m := _PLAIN.fullmatch(c))}
+    words = list(known.recall({w for w, _ in parts.values()}.difference(held)))
+    others = list(known.recall(({m for _, m in parts.values()} | (new - parts.keys())).difference(held)))
+    held.update(zip(words, _encode_words(words, path), strict=True))
+    held.update(zip(others, _encode_each(others, path), strict=True))
+    held.update({c: held[w] + held[m] for c, (w, m) in parts.items()})
+    for c, f, h in zip(chunks, found, holes, strict=True):
+        for i in h:
+            f[i] = held[c[i]]
+    return [b"".join(f) for f in found]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +109,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     end = end_id.to_bytes(4, "little")
 
     def rows(slices):
-        task, placed, known = TaskContext.get().partitionId(), [0] * (top + 1), _KNOWN.setdefault(tokenizer_path, {})
+        task, placed, known = TaskContext.get().partitionId(), [0] * (top + 1), _KNOWN.setdefault(tokenizer_path, Known())
         for part in slices:
             out = []
             for (doc, _), ids in zip(part, encode_by_chunk([t or "" for _, t in part], tokenizer_path, known), strict=True):
