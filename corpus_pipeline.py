@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.llm import jaccard_join, language_id, line_dedup, packing, secret_scan
+from vigilframe.llm.common import small
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -30,8 +31,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The decision depends on the text alone, so it is joined by id; a document
     without an id is judged by having a letter.
     """
-    from vigilframe.llm.common import small
-
     found = language_id.predict(docs, language_id.fit(docs))
     rejected = found.where("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(small(rejected, 1_000_000), docs["doc_id"] == F.col("__gone"), "left_anti")
@@ -39,7 +38,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _columns(line_dedup.drop_site_lines(docs, "source", "text", ratio=0.05, min_pages=5), docs)
+    """Documents without the lines that a tenth of their source's documents share; whole copies are the next stage's."""
+    return _columns(line_dedup.drop_site_lines(docs, "source", "text", ratio=0.1, min_pages=5, keep_whole=True), docs)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,12 @@ def test_line_dedup_drops_what_a_site_repeats(spark):
     assert line_dedup.drop_site_lines(pages.limit(0), "host", "text").count() == 0
 
 
+def test_line_dedup_may_keep_whole_copies(spark):
+    pages = spark.createDataFrame([(i, "h", "copy\ncopied" if i < 5 else f"copy\nown {i}") for i in range(8)], "id int, host string, text string")
+    got = {r["id"]: r["text"] for r in line_dedup.drop_site_lines(pages, "host", "text", 0.3, 3, keep_whole=True).collect()}
+    assert got[0] == "copy\ncopied" and got[7] == "own 7"
+
+
 def test_line_dedup_at_the_ratio(spark):
     rows = [(i, "h", "x\ny" if i < 5 else "y") for i in range(10)]
     pages = spark.createDataFrame(rows, "id int, host string, text string")
@@ -134,10 +140,11 @@ def test_weak_parts_need_their_complements(spark):
 
 
 def test_redaction_keeps_rows_and_columns(spark):
-    rows = docs(spark, [*EDGE, (20, "é password=abcdefabcdef0123 end")])
+    rows = docs(spark, [*EDGE, (20, "é password=abcdefabcdef0123 end"), (21, "login: bob and password=abcdefabcdef0123")])
     out = secret_scan.redact(rows)
     assert out.columns == rows.columns and out.count() == rows.count()
     assert out.where("doc_id = 20").first()["text"] == "é [assign] end"
+    assert out.where("doc_id = 21").first()["text"] == "[account] and [assign]"
     assert out.where("doc_id = 4").first()["text"] == "same text here again now" and out.where("doc_id = 0").first()["text"] is None
     assert secret_scan.redact(empty(spark)).count() == 0 and secret_scan.scan(empty(spark)).count() == 0
 
@@ -212,7 +219,7 @@ def by_brute_force(texts):
     return {i: root(i) for i in sets}, {i: len(s) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"pairwise": 2, "block": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"pairwise": 2, "block": 4, "rounds": 1}])
 def test_components_equal_brute_force(spark, sizes):
     texts = near_copies(4)
     got = jaccard_join.components(docs(spark, texts).repartition(6), **sizes).collect()

@@ -35,10 +35,12 @@ def drop_site_lines(
     min_pages: int = 3,
     broadcast_lines: int = 100_000,
     counts: tuple[str, str] | None = None,
+    keep_whole: bool = False,
 ) -> DataFrame:
     """``pages`` without boilerplate lines in ``text_col``.
 
-    ``counts`` names two more columns: non-blank lines before, lines dropped.
+    ``keep_whole``: a page all of whose lines are boilerplate is a copy of other
+    pages rather than a page with boilerplate; it stays as it is.  ``counts`` names two more columns: non-blank lines before, lines dropped.
     """
     site, text = F.col(site_col), F.col(text_col)
     known = pages.where(site.isNotNull())
@@ -49,12 +51,15 @@ def drop_site_lines(
     joined = pages.join(F.broadcast(common) if small else common, site == F.col("__site"), "left")
     lines = F.split(text, "\n")
     stays = lambda x: (F.trim(x) == "") | ~F.array_contains("__common", F.md5(F.trim(x)))
-    kept = F.when(F.col("__common").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    as_is = F.col("__common").isNull()
+    if keep_whole:
+        as_is = as_is | ~F.exists(lines, lambda x: (F.trim(x) != "") & stays(x))
+    kept = F.when(as_is, text).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     out = {c: F.col(c) for c in pages.columns} | {text_col: kept}
     if counts:
         filled = lambda x: F.trim(x) != ""
         before = F.coalesce(F.size(F.filter(lines, filled)), F.lit(0))
-        out |= {counts[0]: before.cast("long"), counts[1]: F.when(F.col("__common").isNull() | text.isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: ~stays(x)))).cast("long")}
+        out |= {counts[0]: before.cast("long"), counts[1]: F.when(as_is | text.isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: ~stays(x)))).cast("long")}
     return joined.select(*[c.alias(n) for n, c in out.items()])
 
 

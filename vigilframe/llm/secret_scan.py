@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from vigilframe.llm.common import cut, map_rows, table
+from vigilframe.llm.common import cut, map_rows, small, table
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
@@ -58,18 +60,16 @@ def _role(kind: str) -> Column:
     return F.when(k.isin(1, 3), 1).when(k.isin(0, 2, 4), 2).otherwise(4)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(row, id, base, spans)`` for every row; both arrays of (start, kind, stop), sorted.
-
-    ``keep`` names columns to carry along.
-    """
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
+    """``(row, id, text_hash, base, spans)`` for every row; both arrays of (start, kind, stop), sorted."""
 
     def rows(slices):
         for part in slices:
-            found = [(doc, spans_of(text or "")) for doc, text in part]
-            yield [(doc, [s for s in spans if s[1] < BASE], spans) for doc, spans in found]
+            found = [(doc, number, spans_of(text or "")) for doc, number, text in part]
+            yield [(doc, number, [s for s in spans if s[1] < BASE], spans) for doc, number, spans in found]
 
-    found = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, f"doc_id long, base array<{SPAN}>, parts array<{SPAN}>")
+    text = F.col(text_col).cast("string")
+    found = map_rows(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), rows, f"doc_id long, text_hash long, base array<{SPAN}>, parts array<{SPAN}>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     part = found.where(F.expr(f"size(filter(parts, p -> p.kind >= {BASE})) > 0 and size(parts) > 1").alias("x")).select("row", F.explode("parts").alias("p")).select("row", "p.*")
     block = F.col("start").cast("long")
@@ -82,6 +82,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     return found.join(more, "row", "left").select(
         "row",
         F.col("doc_id").alias(id_col),
+        "text_hash",
         "base",
         F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)")))).alias("spans"),
     )
@@ -92,29 +93,34 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.stop)), ',')")
 
 
-def redact(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFrame:
+def _replaced(text: str, linked: str | None) -> str:
+    """A text with its strong spans and the given linked parts replaced."""
+    spans = [s for s in spans_of(text) if s[1] < BASE]
+    if linked:
+        spans = sorted(spans + [tuple(map(int, s.split(":"))) for s in linked.split(",")])
+    out, at = [], 0
+    for start, kind, stop in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind]}]"]
+        at = max(at, stop)
+    return "".join(out) + text[at:]
+
+
+@F.pandas_udf(StringType())
+def _redacted(text: pd.Series, linked: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None else _replaced(t, x) for t, x in zip(text, linked, strict=True)], dtype=object)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``[kind]``; rows and columns stay.
 
-    Of overlapping spans the first one names the replacement.
+    Of overlapping spans the first one names the replacement.  Strong spans are found
+    again where the text is; only linked parts, in few documents, are joined to it.
     """
-    names = [f.name for f in docs.schema if f.name != text_col]
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    hits = scan(numbered, "__row", text_col, scope).where("size(spans) > 0").select("__row", "spans")
-
-    def rows(slices):
-        for part in slices:
-            out = []
-            for row, text, spans in part:
-                made, at = [], 0
-                for s in spans or []:
-                    if s["start"] >= at:
-                        made += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
-                    at = max(at, s["stop"])
-                out.append((row, "".join(made) + text[at:]))
-            yield out
-
-    changed = map_rows(numbered.select("__row", text_col).join(hits, "__row"), rows, "__row long, __text string")
-    return numbered.join(changed, "__row", "left").select(*[F.col(n) for n in names], F.coalesce("__text", text_col).alias(text_col)).select(docs.columns)
+    parts = F.expr(f"array_join(transform(filter(spans, s -> s.kind >= {BASE}), s -> concat_ws(':', s.start, s.kind, s.stop)), ',')")
+    hits = scan(docs, id_col, text_col, scope).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), parts.alias("__linked")).where("__linked <> ''").dropDuplicates(["__id", "__hash"])
+    joined = docs.join(small(cut(hits), 500_000), docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+    return joined.withColumn(text_col, _redacted(F.col(text_col), F.col("__linked"))).select(docs.columns)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
