@@ -19,13 +19,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import map_rows, table
+from vigilframe.llm.common import Known, map_rows, table
 
 MARK = "▁"
 #: Numbers of the protobuf's fields and of its enumerations.
@@ -123,9 +123,23 @@ def build(data: bytes):
     return out
 
 
+@dataclass
+class Codec:
+    """Both libraries with one model, and the words encoded before in this worker.
+
+    ``words``: the model's words are independent, so a text's ids are those of its
+    words.  ``odd``: words for which the libraries disagree.
+    """
+
+    tokenizer: object
+    processor: object
+    words: bool
+    known: Known
+    odd: set[str]
+
+
 @functools.lru_cache(maxsize=2)
-def _loaded(path: str, threads: int):
-    """Tokenizer, sentencepiece processor, and the words encoded before in this worker if words are independent."""
+def _loaded(path: str, threads: int) -> Codec:
     os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true" if threads > 1 else "false"
     from sentencepiece import SentencePieceProcessor
 
@@ -133,39 +147,49 @@ def _loaded(path: str, threads: int):
         data = f.read()
     model, tokenizer = parse(data), build(data)
     plain = model.dummy_prefix and not model.squeeze and not model.charsmap and _words_apart(model) and tokenizer.token_to_id(MARK) is not None
-    return tokenizer, SentencePieceProcessor(model_proto=data), {"": [tokenizer.token_to_id(MARK)]} if plain else None
+    return Codec(tokenizer, SentencePieceProcessor(model_proto=data), plain, Known(700_000), set())
 
 
 _WORD = re.compile(" *[^ ]+| +")
 
 
-def encode(texts: list[str], tokenizer, known: dict[str, list[int]] | None, most: int = 400_000) -> list[list[int]]:
-    """Ids of whole texts, in batches on the library's threads.
+def _split(text: str) -> list[str]:
+    """A text's words, each with the blanks before it less the one that the dummy prefix stands for."""
+    if "  " in text or text[:1] == " " or text[-1:] == " ":
+        parts = _WORD.findall(text)
+        return parts[:1] + [p[1:] for p in parts[1:]]
+    return text.split(" ") if text else []
 
-    With independent words a word and the blanks before it, less the one that the
-    dummy prefix stands for, are encoded once and kept in ``known``.
+
+def encode(texts: list[str], codec: Codec, threads: int) -> tuple[list[bytes], list[bool]]:
+    """Ids of whole texts (little-endian unsigned 32-bit), and whether the sentencepiece library gives the same.
+
+    With independent words, words not met lately are encoded by both libraries, in
+    batches on their threads; other models encode and compare whole texts.
     """
-    if known is None:
-        return [e.ids if t else [] for e, t in zip(tokenizer.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
-    if len(known) > most:
-        blank = known[""]
-        known.clear()
-        known[""] = blank
-    words = []
-    for text in texts:
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            parts = _WORD.findall(text)
-            words.append(parts[:1] + [p[1:] for p in parts[1:]])
-        else:
-            words.append(text.split(" ") if text else [])
-    new = list(set().union(*words).difference(known))
+
+    def both(batch: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [e.ids for e in codec.tokenizer.encode_batch_fast(batch, add_special_tokens=False)], codec.processor.encode(batch, num_threads=threads)
+
+    if not codec.words:
+        ours, theirs = both(texts)
+        ours = [g if t else [] for g, t in zip(ours, texts, strict=True)]
+        return [np.array(g, "<u4").tobytes() for g in ours], [a == b for a, b in zip(ours, theirs, strict=True)]
+    codec.known.age()
+    held = codec.known.young
+    words = [_split(t) for t in texts]
+    new = list(codec.known.recall({w for some in words for w in filterfalse(held.__contains__, some)}))
     for start in range(0, len(new), 20_000):
         part = new[start : start + 20_000]
-        known.update(zip(part, [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-    return [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
+        ours, theirs = both(part)
+        codec.odd.update(w for w, a, b in zip(part, ours, theirs, strict=True) if a != b and w)
+        held.update(zip(part, [np.array(a, "<u4").tobytes() for a in ours], strict=True))
+    # A text's last blank is the marker alone; an empty text has no ids at all.
+    held[""] = codec.tokenizer.token_to_id(MARK).to_bytes(4, "little")
+    return [b"".join(map(held.__getitem__, some)) for some in words], [codec.odd.isdisjoint(some) if codec.odd else True for some in words]
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, batch: int = 512, ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, batch: int = 1024, ids: bool = True) -> DataFrame:
     """``(id, n_tokens, ids_crc32, same_ids, round_trip, ids)`` for every row.
 
     ``model_path`` must be readable on every executor.  ``same_ids``: the
@@ -174,15 +198,15 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     """
 
     def rows(slices):
-        tokenizer, processor, known = _loaded(model_path, threads)
+        codec = _loaded(model_path, threads)
         for part in slices:
             for start in range(0, len(part), batch):
                 some = part[start : start + batch]
                 texts = [text or "" for _, text in some]
-                got = encode(texts, tokenizer, known)
-                back = tokenizer.decode_batch(got, skip_special_tokens=False)
-                ours = zip(some, texts, got, back, processor.encode(texts, num_threads=threads), strict=True)
-                yield [(doc, len(g), zlib.crc32(np.array(g, "<u4").tobytes()), g == theirs, b == text, g if ids else None) for (doc, _), text, g, b, theirs in ours]
+                coded, same = encode(texts, codec, threads)
+                got = [np.frombuffer(c, "<u4").tolist() for c in coded]
+                back = codec.tokenizer.decode_batch(got, skip_special_tokens=False)
+                yield [(doc, len(g), zlib.crc32(c), s, b == text, g if ids else None) for (doc, _), text, c, g, s, b in zip(some, texts, coded, got, same, back, strict=True)]
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     out = map_rows(chosen, rows, "doc_id long, n_tokens long, ids_crc32 long, same_ids boolean, round_trip boolean, ids array<int>")
