@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilframe.functions import signals as S
 from vigilframe.operators import health, history, hunt, matching, merge, review, seeds, views
 from vigilframe.plans import sync
-from vigilframe.sources import archives, feeds
+from vigilframe.sources import archives, feeds, snapshots
 from vigilframe.streaming import certificates
 
 def now():
@@ -344,3 +344,41 @@ def test_stream_collects_each_host_once(spark, tmp_path):
     (tmp_path / "in" / "2.txt").write_text(message("seb-login.example", "revolut-login.example"))
     run()
     assert spark.read.parquet(root).count() == 3
+
+
+def test_published_documents(spark, tmp_path):
+    signals = merge.merge(merge.prepare(raw(spark, {"last_seen": "2026-08-21T09:00:00Z", "brand": "SEB"}, {"url": "https://b.example/", "last_seen": "2026-08-20T09:00:00Z"}), now()))
+    document = snapshots.as_document(signals, "2026-08-21T10:00:00.000Z").first()[0]
+    assert [s["domain"] for s in json.loads(document)["signals"]] == ["seb-login[.]example", "b[.]example"]
+    data = json.loads(document)
+    good = data["signals"][0]
+    data["signals"] += [good | {"id": "0" * 20}, good | {"url": good["url"] + "?x"}, good | {"sources": ["Other"]}, good | {"confidence": 101}, good | {"lastSeen": "2026"}]
+    (tmp_path / "radar.json").write_text(json.dumps(data))
+    back = snapshots.read_snapshot(spark, str(tmp_path / "radar.json"), ["Feed"])
+    assert back.count() == 2 and snapshots.recent_count(back, F.lit("2026-08-21T00:00:00Z").cast("timestamp")).first()[0] == 1
+
+
+def test_summary_documents_fail_closed(spark, tmp_path):
+    made = sync.synchronise(raw(spark, {"last_seen": "2026-08-21T09:00:00Z"}), REGISTRY, spark.createDataFrame([], "domain string, scope string, brand string"), now())
+    folded = history.fold(made.events)
+    rows = json.loads(snapshots.as_document(folded.withColumn("statusTransitions", F.transform("statusTransitions", lambda t: t.withField("observedAt", S.shown_time(t["observedAt"])))), "x").first()[0])["signals"]
+    read = lambda some: ((tmp_path / "summary.json").write_text(json.dumps({"signals": some})), snapshots.read_history(spark, str(tmp_path / "summary.json")))[1]
+    assert snapshots.previous_statuses(read(rows)).first()["latestStatus"] == "suspected"
+    for wrong in ([*rows, *rows], [rows[0] | {"observationCount": -1}], [rows[0] | {"recentEventIds": ["a", "a"]}], [rows[0] | {"id": "x"}]):
+        with pytest.raises(ValueError):
+            read(wrong)
+
+
+def test_decisions_need_evidence(spark):
+    matches = matching.score(spark.createDataFrame([("seb-login.example",), ("revolut-login.example",)], "host string"), REGISTRY)
+    rows = spark.createDataFrame([("seb-login.example", "exact", "SEB"), ("seb-login.example", "exact", "Revolut"), ("x.swedbank.lt", "subdomains", "Swedbank"), ("other.example", "exact", None), ("Bad Host", "exact", None)], "domain string, scope string, brand string")
+    assert sorted((r[0], r[2]) for r in review.valid_suppressions(rows, matches, REGISTRY).collect()) == [("other.example", None), ("seb-login.example", "SEB"), ("x.swedbank.lt", "Swedbank")]
+    added = spark.createDataFrame([("seb-login.example", "SEB", 90), ("seb-login.example", "SEB", 91), ("revolut-login.example", "SEB", 10)], "domain string, brand string, confidence int")
+    assert [(r[0], r[2]) for r in review.valid_additions(added, matches, now()).collect()] == [("seb-login.example", 90)]
+
+
+def test_remote_queries():
+    assert hunt.title_query(['a "b"'], 7) == 'task.visibility:public AND date:>now-7d AND (page.title:"a \\"b\\"")'
+    assert "task.visibility:public" in hunt.domain_query(["swedbank"], ["swedbank.lt"], 7) and "NOT (page.domain:swedbank.lt)" in hunt.domain_query(["swedbank"], ["swedbank.lt"], 7)
+    assert hunt.host_query(["a.test"], 1).count("a.test") == 2
+    assert seeds.search_terms(REGISTRY) == ["bigbank", "omniva", "paysera", "revolut", "swedbank", "tele2", "vinted"]

@@ -83,3 +83,27 @@ def numbered_batches(rows: DataFrame, order: list[str], size: int = 20, buckets:
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
     return ranged.join(before, "_range").withColumn("batch", F.floor(rank / size)).drop("_range", "_before")
+
+
+def _quoted(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def public_query(clause: str, days: int) -> str:
+    """A remote search for public scans of the last days."""
+    return f"task.visibility:public AND date:>now-{days}d AND ({clause})"
+
+
+def domain_query(terms: list[str], official: list[str], days: int) -> str:
+    """Scans of hosts that hold a term and are not official."""
+    some = " OR ".join(f"page.domain:*{t}*" for t in terms)
+    return public_query(f"({some}) AND NOT ({' OR '.join(f'page.domain:{d}' for d in official)})" if official else some, days)
+
+
+def title_query(titles: list[str], days: int) -> str:
+    return public_query(" OR ".join(f"page.title:{_quoted(t)}" for t in titles), days)
+
+
+def host_query(hosts: list[str], days: int) -> str:
+    """Scans of exact hosts, a batch of seeds at a time."""
+    return public_query(" OR ".join(f"{field}:{_quoted(h)}" for h in hosts for field in ("page.domain", "task.domain")), days)

@@ -61,3 +61,23 @@ def additions(candidates: DataFrame, seq: Column) -> DataFrame:
         F.col("url"), F.lit("Manual review").alias("source"), time.alias("first_seen"), time.alias("last_seen"), F.lit("suspected").alias("status"), "brand", nothing.alias("country"), nothing.alias("host"),
         F.array().cast("array<string>").alias("hashes"), F.col("confidence").cast("double").alias("confidence"), F.array(F.lit("manual-review")).alias("reason_codes"), seq.alias("seq"),
     )
+
+
+def valid_suppressions(rows: DataFrame, matches: DataFrame, registry) -> DataFrame:
+    """Suppressions of valid hosts whose brand is evidenced: matched by the host, or official there; one at most."""
+    spark = rows.sparkSession
+    owners = spark.createDataFrame([(d, e.brand) for e in registry.entries for d in e.official_domains], "name string, owner string")
+    named = rows.withColumn("_host", normalize_domain(F.col("domain"))).where(F.col("_host") == F.col("domain"))
+    above = named.select("_host").distinct().withColumn("name", F.explode(ancestors(F.col("_host")))).join(owners, "name").select("_host", F.col("owner").alias("_brand"))
+    evidence = above.unionByName(matches.select(F.col("domain").alias("_host"), F.col("brand").alias("_brand"))).groupBy("_host").agg(F.collect_set("_brand").alias("_brands"))
+    held = named.join(evidence, "_host", "left").withColumn("_brands", F.coalesce("_brands", F.array().cast("array<string>")))
+    good = (F.size("_brands") <= 1) & (F.col("brand").isNull() | F.array_contains("_brands", F.col("brand"))) & F.col("scope").isin("exact", "subdomains")
+    return held.where(good).select(rows.columns)
+
+
+def valid_additions(rows: DataFrame, matches: DataFrame, now: Column) -> DataFrame:
+    """Additions whose brand is the host's own, at no more than the host's confidence and not of the future."""
+    one = matches.where("brands = 1").select(F.col("domain").alias("_d"), F.col("brand").alias("_b"), F.col("confidence").alias("_c"))
+    held = rows.withColumn("_host", normalize_domain(F.col("domain"))).join(one, F.col("_host") == F.col("_d"))
+    good = (F.col("brand") == F.col("_b")) & F.col("confidence").between(0, F.col("_c")) & (F.coalesce(F.col("recorded_at").cast("timestamp") <= now + F.expr("interval 5 minutes"), F.lit(True)) if "recorded_at" in rows.columns else F.lit(True))
+    return held.where(good).select(rows.columns)

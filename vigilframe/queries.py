@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilframe.functions import display as D
 from vigilframe.functions import hosts as H
 from vigilframe.functions import signals as S
 from vigilframe.functions import text as T
@@ -455,6 +456,22 @@ def collection_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", health.outcome(F.col("m"), F.col("x"), F.col("n"), F.lit(60), F.col("e") > 20).alias("outcome"))
 
 
+# Display
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' minute' || CASE WHEN s // 60 = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN (s // 3600) || ' hour' || CASE WHEN s // 3600 = 1 THEN '' ELSE 's' END || ' ago'
+  ELSE (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' END AS age, CASE WHEN value >= 80 THEN 'high' WHEN value >= 50 THEN 'medium' ELSE 'low' END AS bucket, s > 7200 AS stale
+  FROM (SELECT *, greatest(0, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT)) AS s FROM events)""")
+def shown_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-01-31T00:00:00Z").cast("timestamp")
+    return _read(spark, sf_dir, "events").select("event_id", D.relative_time(_utc("ts"), now).alias("age"), D.confidence_bucket(F.col("value")).alias("bucket"), D.stale(_utc("ts"), now).alias("stale"))
+
+
+@query("SELECT n_name, upper(lower(n_name)[1]) || lower(n_name)[2:] AS title, count(*) AS customers FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY ALL")
+def sentence_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.groupBy("n_name").agg(F.count("*").alias("customers")).select("n_name", D.sentence_case(F.lower("n_name")).alias("title"), "customers")
+
+
 # JSON
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
