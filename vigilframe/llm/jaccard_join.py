@@ -4,19 +4,20 @@ A document's set holds its distinct shingles of ``words`` words (a shorter text
 one shingle).  Documents with equal sets form a class.  Sets fall in size bands
 whose bounds grow by the inverse of the threshold, so sets that can link lie in
 one band or in neighbours; a band's configuration allows a symmetric difference of
-``k`` shingles, and its ``k + 1 + m`` partitions of the hashed shingle domain give one
-signature each.  A link differs in at most k partitions, so at least m + 1
-partitions agree; a set with more than m empty partitions is also signed under
-another partitioning and in the end by its single shingles.  Hence every link
-shares a signature that is not empty: the join is exact.
-
-Classes that share signatures are linked in two steps.  First each is verified
-against the one class it shares most signatures with among the smallest of its
-signature groups, which joins dense groups at linear cost.  Then only groups that
-still hold several components are searched: small ones pair by pair, large ones in
-pairs of blocks, by parity bitmaps that bound the difference from below and by
-exact intersection.  Within a component nothing is compared again, since no link
-there can change it.
+``k`` shingles, and its ``k + t + m`` partitions of the hashed shingle domain give one
+signature each.  A link differs in at most k partitions, so at least t + m agree; a
+set with more than m empty partitions is also signed under another partitioning
+and in the end by its single shingles.  Hence links share at least ``t`` signatures
+that are not empty: the join is exact, and classes that share fewer are no candidates.
+
+Candidates are found in two steps.  First, in rounds, each class is verified against
+the one class it shares most signatures with among the centres of its signature
+groups, which joins dense groups at linear cost.  Then only groups that still hold
+several components are searched: small ones pair by pair; in large ones only the
+classes with enough large groups to have all their shared signatures there, in
+pairs of blocks.  Parity bitmaps bound the difference of a pair from below and
+drop most; the rest is verified on the texts.  Within a component nothing is
+compared again, since no link there can change it.
 
 Null and empty texts and texts without words have the empty set (0 shingles) and
 link with nothing.  Rows that share an id share its component.  Rows with a null
@@ -27,7 +28,7 @@ columns are not read.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, exp
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from vigilframe.llm.common import connected_components, cut, map_groups, map_row
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 MOST_LEVELS = 3
+#: The lowest bits of a signature name its band; the last number is for signatures that are single shingles.
+BAND_BITS, SINGLE = 7, 127
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -50,19 +53,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """Hashes of words, computed once each; emptied when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = Words()
-
-
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text.
 
@@ -71,12 +61,13 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     split = (text or "").encode().lower().split()
     if not split:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_WORDS.__getitem__, split), np.uint64, len(split))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
     n = min(words, len(hashed))
     out = np.full(len(hashed) - n + 1, n, np.uint64)
     for i in range(n):
         out = out * GOLD + hashed[i : len(hashed) - n + 1 + i]
-    return np.unique(mix(out))
+    out = np.sort(mix(out))  # faster than unique() on short arrays
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(h: np.ndarray) -> tuple[int, int]:
@@ -94,12 +85,15 @@ def bands(threshold: int, sizes: int = 1 << 26) -> tuple[int, ...]:
 
 
 @lru_cache(maxsize=4096)
-def configuration(band: int, threshold: int) -> tuple[int, int]:
-    """``(k, m)`` for links whose larger set lies in ``band``: most differences and spare partitions."""
+def configuration(band: int, threshold: int) -> tuple[int, int, int]:
+    """``(k, t, m)`` for links whose larger set lies in ``band``: most differences, least shared signatures, spare partitions."""
     bounds = bands(threshold)
     k = 2 * bounds[band] * (100 - threshold) // (100 + threshold)
-    least = (bounds[band - 2] if band > 1 else 0) + 1
-    return k, 1 + ceil(1.5 * (k + 1) * exp(-least / (k + 1)))
+    least, t, m = (bounds[band - 2] if band > 1 else 0) + 1, 1 + k // 20, 1
+    for _ in range(40):  # as many spare partitions as the smallest sets leave empty, and a deviation
+        empty = (k + t + m) * exp(-least / (k + t + m))
+        m = max(1, ceil(empty + sqrt(empty)))
+    return k, t, m
 
 
 def signatures(h: np.ndarray, threshold: int = 80) -> np.ndarray:
@@ -109,75 +103,153 @@ def signatures(h: np.ndarray, threshold: int = 80) -> np.ndarray:
     """
     out = []
     own = int(np.searchsorted(bands(threshold), len(h)))
+    mixed = mix(h, 3)
     for band in (own, own + 1):
-        k, m = configuration(band, threshold)
+        k, t, m = configuration(band, threshold)
         if not k:
             continue
-        parts = k + 1 + m
+        parts = k + t + m
         for level in range(MOST_LEVELS):
-            x = np.sort(mix(h, 10 + level)) if level else h
+            x, value = h, mixed
+            if level:
+                x = np.sort(mix(h, 10 + level))
+                value = mix(x, 3)
             place = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            sums = np.add.reduceat(mix(x, 3), at)
             tag = np.uint64((band * MOST_LEVELS + level) << 32)
-            out.append(mix(sums ^ mix(place[at] + tag, 4)))
+            made = mix(np.add.reduceat(value, at) ^ ((place[at] + tag) * GOLD), 4)
+            out.append((made << np.uint64(BAND_BITS)) | np.uint64(band))
             if parts - len(at) <= m:
                 break
         else:
-            out.append(mix(h ^ np.uint64(band), 5))
+            out.append((mix(h ^ np.uint64(band), 5) << np.uint64(BAND_BITS)) | np.uint64(SINGLE))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set, 2 to 4 bits a shingle: bit i is set if an odd number of shingles falls on it."""
+    bits = 64 << max(0, (2 * len(h) - 1).bit_length() - 6)
+    odd = np.bincount((mix(h, 6) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A bitmap brought down to ``n`` words; parities of halves add up."""
+    while len(words) > n:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def may_link(n_a: int, a: np.ndarray, n_b: int, b: np.ndarray, threshold: int) -> bool:
+    """A test that no link fails: sizes, and the differences that the bitmaps show."""
+    if 100 * min(n_a, n_b) < threshold * max(n_a, n_b):
+        return False
+    words = min(len(a), len(b))
+    apart = int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+    return (100 + threshold) * apart <= (100 - threshold) * (n_a + n_b)
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= threshold * (len(a) + len(b) - shared)
 
 
+SIGNED = "a long, b long, c long, k int, bits binary"
+
+
 def _signed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """``(sig, c1, c2)`` of every document; a set met before by the same task is passed over."""
-    schema = pa.schema([("sig", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+    """Rows of every document, in one pass over the texts.
+
+    A set that is new to its task: ``(c1, id, c2, n, bitmap)`` and a row ``(signature,
+    id, c1, -1)`` per signature; one met before in the task just ``(hash of id, id,
+    the first one's id, -2 - n)``.  So a hot set reaches a shuffle once per task.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("bits", pa.binary())])
+
+    def made(sets: list[tuple], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        top = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*sets, strict=True), schema, strict=True)], schema=schema)
+        if sigs:
+            sizes = [len(x) for x in sigs]
+            owner = np.array([(r[1], r[0]) for r in sets if r[3] > 0], np.int64)
+            columns = [np.concatenate(sigs).view(np.int64), np.repeat(owner[:, 0], sizes), np.repeat(owner[:, 1], sizes), np.full(sum(sizes), -1, np.int32)]
+            rest = pa.Table.from_arrays([*[pa.array(c) for c in columns], pa.nulls(sum(sizes), pa.binary())], schema=schema)
+            top = pa.concat_tables([top, rest])
+        return top.combine_chunks().to_batches()[0]
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
-            sigs, names, size = [], [], 0
+            sets, sigs, size = [], [], 0
             for i in range(batch.num_rows):
-                h = shingles(batch.column(0)[i].as_py(), words)
-                if len(h) and (name := digest(h)) not in seen:
-                    seen.add(name)
+                doc, h = batch.column(0)[i].as_py(), shingles(batch.column(1)[i].as_py(), words)
+                name = digest(h)
+                first = seen.setdefault(name, doc) if len(h) else doc
+                if not len(h):
+                    sets.append((doc, doc, doc, -2, None))
+                elif first != doc:
+                    sets.append((int(mix(np.array([doc], np.int64).view(np.uint64)).view(np.int64)[0]), doc, first, -2 - len(h), None))
+                else:
+                    sets.append((name[0], doc, name[1], len(h), bitmap(h).tobytes()))
                     sigs.append(signatures(h, threshold))
-                    names.append((*name, len(sigs[-1])))
                     size += len(sigs[-1])
-                if size > 500_000 or (size and i + 1 == batch.num_rows):
-                    held = np.array(names, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *[pa.array(np.repeat(held[:, c], held[:, 2])) for c in (0, 1)]], schema=schema)
-                    sigs, names, size = [], [], 0
+                if size > 300_000:
+                    yield made(sets, sigs)
+                    sets, sigs, size = [], [], 0
+            if sets:
+                yield made(sets, sigs)
 
-    return docs.select("text").mapInArrow(run, "sig long, c1 long, c2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """Rows of the signatures that at least two classes have."""
-    schema = pa.schema([("sig", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+def _grouped(signed: DataFrame) -> DataFrame:
+    """``(kind, x, y, n, bits)``: classes (0: id, smallest id of the class), signatures that several classes
+    have (1: signature, id) and copies (2: id, first id)."""
+    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+
+    def out(kind: int, x, y, n, bits) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(n, pa.int32()), bits], schema=schema)
+
+    def classes(rows: pa.Table) -> pa.RecordBatch:
+        a, b, c, k = (rows.column(i).to_numpy() for i in range(4))
+        order = np.lexsort((b, c, a))
+        fresh = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])])
+        owner = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        return out(0, b[order], b[order][owner], k[order], rows.column(4).take(pa.array(order)).combine_chunks())
 
     def run(batches):
-        last, live = None, False
+        last, live, held = np.zeros((0, 3), np.int64), False, None
         for batch in batches:
-            rows = np.column_stack([c.to_numpy() for c in batch.columns])
-            if last is not None:
-                rows = np.concatenate([last, rows])
-            fresh = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-            rows = rows[fresh]
-            same = rows[1:, 0] == rows[:-1, 0]
-            alive = np.concatenate([[live], same]) | np.concatenate([same, [False]])
-            # The last row waits for the next batch.
-            out, last, live = rows[:-1][alive[:-1]], rows[-1:], bool(alive[-1])
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, c]) for c in range(3)], schema=schema)
+            a, b, c, k = (batch.column(i).to_numpy() for i in range(4))
+            # Rows of classes come once per task at most, so those of the last value seen can be held.
+            if (k >= 0).any() or held is not None:
+                rows = pa.Table.from_batches([batch]).filter(pa.array(k >= 0))
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                open_ = rows.column(0).to_numpy() == a[-1]
+                done, held = rows.filter(pa.array(~open_)), rows.filter(pa.array(open_)) if open_.any() else None
+                if done.num_rows:
+                    yield classes(done)
+            if len(at := np.flatnonzero(k < -1)):
+                yield out(2, b[at], c[at], -2 - k[at], pa.nulls(len(at), pa.binary()))
+            if len(at := np.flatnonzero(k == -1)):
+                rows = np.concatenate([last, np.column_stack([a[at], c[at], b[at]])])
+                same = rows[1:, 0] == rows[:-1, 0]
+                alive = np.concatenate([[live], same]) | np.concatenate([same, [False]])
+                # The last row waits for the next batch.
+                some, first, last, live = rows[:-1][alive[:-1]], rows[0, 0] if live else None, rows[-1:], bool(alive[-1])
+                if len(some):
+                    some = some[np.lexsort((some[:, 2], some[:, 1], some[:, 0]))]
+                    # Rows of one class under one signature are one; a signature of one class is none, unless it goes on in another batch.
+                    some = some[np.concatenate([[True], (some[1:, :2] != some[:-1, :2]).any(axis=1)])]
+                    same = some[1:, 0] == some[:-1, 0]
+                    kept = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (some[:, 0] == last[0, 0])
+                    some = some[kept if first is None else kept | (some[:, 0] == first)]
+                    yield out(1, some[:, 0], some[:, 2], np.zeros(len(some), np.int32), pa.nulls(len(some), pa.binary()))
         if live:
-            yield pa.RecordBatch.from_arrays([pa.array(last[:, c]) for c in range(3)], schema=schema)
+            yield out(1, last[:, 0], last[:, 2], np.zeros(1, np.int32), pa.nulls(1, pa.binary()))
+        if held is not None:
+            yield classes(held)
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "c1", "c2").mapInArrow(run, "sig long, c1 long, c2 long")
+    return signed.repartition("a").sortWithinPartitions("a").mapInArrow(run, "kind int, x long, y long, n int, bits binary")
 
 
 def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -216,86 +288,112 @@ def _verified(pairs: DataFrame, packed: DataFrame, words: int, threshold: int) -
     return map_rows(pairs.join(first, "a").join(second, "b").select("b", "a", "zb", "za"), rows, "a long, b long")
 
 
-def _block_links(words: int, threshold: int):
-    """Spanning links between components within a group of two blocks."""
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that ``may_link``."""
+
+    def rows(slices):
+        for part in slices:
+            yield [(a, b) for a, b, n, x, o, y in part if may_link(n, np.frombuffer(x, np.uint64), o, np.frombuffer(y, np.uint64), threshold)]
+
+    first = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    second = classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    sized = pairs.join(first, "a").join(second, "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    return map_rows(sized.select("a", "b", "n_a", "bits_a", "n_b", "bits_b"), rows, "a long, b long")
+
+
+def _block_pairs(threshold: int):
+    """Pairs of different components within a group of two blocks that may link."""
 
     def made(key, group):
         _, b1, b2 = key
-        sets = [_unpacked(z, words) for *_, z in group]
-        sizes = np.array([len(s) for s in sets])
-        bits = 64 * max(1, -(-4 * int(sizes.max(initial=1)) // 64))
-        maps = np.zeros((len(group), bits // 64), np.uint64)
-        for i, s in enumerate(sets):
-            odd = np.flatnonzero(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
-            np.bitwise_or.at(maps[i], odd // 64, np.uint64(1) << (odd % 64).astype(np.uint64))
-        top = {g[2]: g[2] for g in group}
-
-        def root(x):
-            while top[x] != x:
-                top[x] = x = top[top[x]]
-            return x
-
+        if len(group) < 2:
+            return []
+        own, ids, part, sizes = (np.array([g[i] for g in group], np.int64) for i in range(4))
+        maps = [np.frombuffer(g[4], np.uint64) for g in group]
+        words = min(map(len, maps))
+        flat = np.array([folded(m, words) for m in maps])
         out = []
-        for i in range(len(group)):
-            own, doc, part, _ = group[i]
-            apart = np.bitwise_count(maps[i + 1 :] ^ maps[i]).sum(axis=1)
-            total = sizes[i + 1 :] + sizes[i]
-            near = np.flatnonzero(((100 + threshold) * apart <= (100 - threshold) * total) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= threshold * np.maximum(sizes[i + 1 :], sizes[i])))
-            for j in (near + i + 1).tolist():
-                other = group[j]
-                if (b1 == b2 or other[0] != own) and root(other[2]) != root(part) and similar(sets[i], sets[j], threshold):
-                    top[root(other[2])] = root(part)
-                    out.append((doc, other[1]))
+        for i in range(len(group) - 1):
+            n, o = sizes[i], sizes[i + 1 :]
+            apart = np.bitwise_count(flat[i + 1 :] ^ flat[i]).sum(axis=1, dtype=np.int64)
+            near = ((100 + threshold) * apart <= (100 - threshold) * (n + o)) & (part[i + 1 :] != part[i]) & ((own[i + 1 :] != own[i]) | (b1 == b2))
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if may_link(int(n), maps[i], int(sizes[j]), maps[j], threshold):
+                    out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
         return out
 
     return made
 
 
-def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", pairwise: int = 16, block: int = 64) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row; ``threshold`` in hundredths."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def named(slices):
-        for part in slices:
-            out = []
-            for doc, text in part:
-                h = shingles(text, words)
-                out.append((doc, len(h), *digest(h)))
-            yield out
-
-    sets = cut(map_rows(docs, named, "doc_id long, n_shingles long, c1 long, c2 long"))
-    linkable = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"))
-    shared = _shared(_signed(docs.where("doc_id is not null"), words, threshold))
-    live = cut(shared.join(classes, ["c1", "c2"]).select("sig", "id"))
-
-    centers = live.groupBy("sig").agg(F.min("id").alias("b"))
-    stars = live.join(centers, "sig").where("id <> b").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("n"))
-    stars = cut(stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b")))
+def _linked(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: int, pairwise: int, block: int, rounds: int) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all links."""
+    last = len(bands(threshold)) - 1
+    least = [configuration(b, threshold)[1] for b in range(last)]
+    # How many signatures links of a band share at least.
+    needed = F.element_at(F.array(*[F.lit(least[min(b, last - 1)] if b != SINGLE else 1) for b in range(1 << BAND_BITS)]), (F.col("band") + 1).cast("int"))
+    band = F.expr(f"cast(sig & {(1 << BAND_BITS) - 1} as int)").alias("band")
     ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    links = cut(_verified(stars, _packed(docs, ends(stars)), words, threshold))
+    tried = links = None
+    placed = live.withColumn("part", F.col("id"))
+    for number in range(rounds):
+        centre = placed.groupBy("sig").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("part").alias("other")), F.col("id") if not number else F.xxhash64("id", F.lit(number))).alias("m"), F.min("part").alias("p"), F.max("part").alias("q"))
+        met = placed.join(centre.where("p <> q").select("sig", "m.*"), "sig").where("id <> b and part <> other")
+        met = met.groupBy(F.col("id").alias("a"), "b", band).agg(F.count("*").alias("n")).where(F.col("n") >= needed)
+        stars = met.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+        stars = cut(_possible(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), classes, threshold))
+        found = cut(_verified(stars, _packed(docs, ends(stars)), words, threshold))
+        tried = stars if tried is None else tried.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        parts = connected_components(links)
+        placed = live.join(parts, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
 
-    parts = connected_components(links)
-    placed = live.join(parts, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
     open_ = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("sig", "size")
-    contested = cut(placed.join(open_, "sig"))
-    few = contested.where(F.col("size") <= pairwise).select("sig", "id", "part")
+    contested = cut(placed.join(open_, "sig").select("sig", "id", "part", "size", band))
+    hot = contested.where(F.col("size") > pairwise)
+    held = hot.groupBy("id", "band").agg(F.count("*").alias("hot"))
+    few = contested.where(F.col("size") <= pairwise)
     other = few.select("sig", F.col("id").alias("b"), F.col("part").alias("other"))
     # At most ``pairwise`` rows a group, so at most half as many pairs for each row.
-    pairs = few.withColumnRenamed("id", "a").join(other, "sig").where("a > b and part <> other").select("a", "b").distinct()
-    pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"))
+    counted = few.withColumnRenamed("id", "a").join(other, "sig").where("a > b and part <> other").groupBy("a", "b", "band").agg(F.count("*").alias("n"))
+    counted = counted.join(held.withColumnsRenamed({"id": "a", "hot": "hot_a"}), ["a", "band"], "left").join(held.withColumnsRenamed({"id": "b", "hot": "hot_b"}), ["b", "band"], "left")
+    spare = F.coalesce(F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))), F.lit(0))
+    pairs = counted.where(F.col("n") + spare >= needed).select("a", "b").distinct()
+    # Pairs that share large groups only: both have at least as many of these as links must share.
+    many = hot.join(held.where(F.col("hot") >= needed), ["id", "band"])
     count = F.ceil(F.col("size") / block)
-    many = contested.where(F.col("size") > pairwise).withColumns({"own": F.pmod(F.xxhash64("id"), count), "to": F.explode(F.sequence(F.lit(0).cast("long"), count - 1))})
-    many = cut(many.select("sig", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "id", "part"))
-    packed = _packed(docs, ends(pairs).unionByName(many.select("id")).distinct())
-    more = _verified(pairs, packed, words, threshold)
-    blocks = map_groups(many.join(packed, "id").select("sig", "b1", "b2", "own", "id", "part", "z"), ["sig", "b1", "b2"], _block_links(words, threshold), "a long, b long")
-    parts = connected_components(links.unionByName(more).unionByName(blocks))
+    many = many.withColumns({"own": F.pmod(F.xxhash64("id"), count), "to": F.explode(F.sequence(F.lit(0).cast("long"), count - 1))})
+    many = many.select("sig", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "id", "part").join(classes.select("id", "n", "bits"), "id")
+    met = map_groups(many.select("sig", "b1", "b2", "own", "id", "part", "n", "bits"), ["sig", "b1", "b2"], _block_pairs(threshold), "a long, b long").distinct()
+    wanted = cut(_possible(pairs, classes, threshold).unionByName(met).distinct().join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(_verified(wanted, _packed(docs, ends(wanted)), words, threshold))
 
-    low = classes.join(parts, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("low"))
-    hot = sets.join(low, ["c1", "c2"], "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id"))
-    return hot.select(F.col("doc_id").alias(id_col), "n_shingles", linked.alias("component_id"))
+
+def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", pairwise: int = 16, block: int = 512, rounds: int = 2) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row; ``threshold`` in hundredths."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named = docs.where("doc_id is not null")
+    rows = cut(_grouped(_signed(named, words, threshold)))
+    sets = rows.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("class"), "n", "bits")
+    live = cut(rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("first")).join(sets.select(F.col("id").alias("first"), F.col("class").alias("id")), "first").select("sig", "id"))
+    classes = sets.where("id = class").select("id", "n", "bits").dropDuplicates(["id"])
+    parts = connected_components(_linked(live, classes, named, words, threshold, pairwise, block, rounds))
+    copies = rows.where("kind = 2").select(F.col("x").alias("id"), F.col("y").alias("first"), "n")
+    copies = copies.join(sets.select(F.col("id").alias("first"), "class").dropDuplicates(["first"]), "first", "left").select("id", F.coalesce("class", "id").alias("class"), "n")
+    every = sets.select("id", "class", "n").unionByName(copies).join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # A copy that its task met after another one may still have the smallest id.
+    low = copies.groupBy("class").agg(F.min("id").alias("low")).join(parts.withColumnRenamed("id", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("low").alias("low"))
+    out = every.join(low, "component", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.least("component", "low").alias("component_id"))
+    return out.unionByName(_nameless(docs.where("doc_id is null"), id_col, words))
+
+
+def _nameless(docs: DataFrame, id_col: str, words: int) -> DataFrame:
+    """Rows without an id: their numbers of shingles, and no component."""
+
+    def rows(slices):
+        for part in slices:
+            yield [(None, len(shingles(text, words)), None) for (text,) in part]
+
+    return map_rows(docs.select("text"), rows, "doc_id long, n_shingles long, component_id long").withColumnRenamed("doc_id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
@@ -314,3 +412,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM split
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.id, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT low.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM low LEFT JOIN sizes ON sizes.doc_id = low.id
+"""
