@@ -174,3 +174,13 @@ def near_duplicates(
 
 def op3_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
+low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT low.id AS vec_id, coalesce(n, 0) AS n_links, component_id, low.id = component_id AS kept FROM low LEFT JOIN counts USING (id)
+"""

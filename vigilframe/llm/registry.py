@@ -26,4 +26,8 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_site_line_dedup": line_dedup.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_site_line_dedup": line_dedup.OP1_SQL,
+    "op3_cross_polytope_dedup": embedding_dedup.OP3_SQL,
+    "op6_partenum_jaccard": jaccard_join.OP6_SQL,
+}
