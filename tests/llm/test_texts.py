@@ -228,6 +228,22 @@ def test_components_equal_brute_force(spark, sizes):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes_
 
 
+def test_components_do_not_depend_on_batches(spark):
+    texts = [*near_copies(11), *((10_000 + i, t) for i, t in near_copies(11)[:20])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = jaccard_join.components(docs(spark, texts).repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: r["component_id"] for r in got} == by_brute_force(texts)[0]
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    kept = jaccard_join.deduplicate(docs(spark, [(4, a), (5, a), (5, b)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5]
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(2)
     for n in [*range(5, 40), 77, 150, 400, 1500]:

@@ -14,9 +14,9 @@ over blocks of ``block`` vectors a side; equal copies cost nothing.
 
 Rows with a null label, or a vector that is null, empty, zero or holds null or
 non-finite components link with nothing.  Vectors of different lengths never link.
-Repeated rows are equal vectors; rows that share an id share its component.  Rows
-with a null id count as vectors but have a null component of their own when
-unlinked.  Other columns are not read.
+Repeated rows are equal vectors; rows that share an id but not the vector are in
+the components of their own vectors.  Rows with a null id count as vectors but have
+a null component of their own when unlinked.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -20,8 +20,9 @@ drop most; the rest is verified on the texts.  Within a component nothing is
 compared again, since no link there can change it.
 
 Null and empty texts and texts without words have the empty set (0 shingles) and
-link with nothing.  Rows that share an id share its component.  Rows with a null
-id link with nothing and have a null component.  Ties go to the smaller id.  Other
+link with nothing.  Rows that share an id but not the set are in the components of
+their own sets; one of them stands for the id in comparisons.  Rows with a null id
+link with nothing and have a null component.  Ties go to the smaller id.  Other
 columns are not read.
 """
 
@@ -399,10 +400,11 @@ def _nameless(docs: DataFrame, id_col: str, words: int) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with the smallest id of each component only; rows with a null id stay.
 
-    Of rows with one id, one stays.
+    An id stays if one of its rows stands for a component; of rows with one id, one stays.
     """
     found = cut(components(docs, words, threshold, id_col, text_col))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    stays = F.bool_or(F.col(id_col) == F.col("component_id"))
+    gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__gone")).agg(stays.alias("stays")).where("not stays").select("__gone")
     out = docs.join(small(gone, 1_000_000), docs[id_col] == F.col("__gone"), "left_anti")
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if repeated.isEmpty():
