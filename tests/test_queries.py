@@ -15,8 +15,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(frame):
+    import pandas as pd
+
     frame = frame[sorted(frame.columns)].astype(object).where(frame[sorted(frame.columns)].notna(), None)
-    cell = lambda x: str(x) if hasattr(x, "isoformat") else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None if x is None else str(x)
+    cell = lambda x: str(pd.Timestamp(x)) if hasattr(x, "isoformat") else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None if x is None else str(x)
     return sorted(tuple(str(cell(x)) for x in r) for r in frame.itertuples(index=False))
 
 
