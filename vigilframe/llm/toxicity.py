@@ -1,10 +1,12 @@
 """Toxicity scores from gradient-boosted trees over dense features.
 
-The features of a whole text are densities of a lexicon and of its obfuscated
-spellings, the share of its hits with a second-person word close by, capitals,
-punctuation and repeated marks.  Boosted trees are trained on a bounded sample of
-labelled rows and calibrated by isotonic regression on labelled rows that the
-trees did not see.
+The features of a whole text are densities of a lexicon, of its obfuscated
+spellings and of learned stems, the share of its hits with a second-person word
+close by, capitals, punctuation and repeated marks.  Stems are beginnings of words
+that labelled toxic texts hold far more often than others, so they reach languages
+that the lexicon does not.  Stems and boosted trees are learned from a bounded
+sample of labelled rows and calibrated by isotonic regression on labelled rows
+that neither saw.
 
 Null texts count as empty; an empty text has all features 0 and a score like any
 other.  Labels that are null are ignored.  Repeated rows get equal scores.  With
@@ -15,6 +17,7 @@ out.  Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.ml.classification import GBTClassifier
@@ -44,10 +47,55 @@ NEAR = 6
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", "_": "", "-": "", ".": ""})
 _MARKS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’‘…–—|"})
 _REPEATED = re.compile(r"([!?#$%&*.])\1+")
-NAMES = ("words", "hits", "hit_share", "hit_kinds", "near_share", "near_hits", "obfuscated", "obfuscated_share", "capitals", "shouted", "exclaims", "questions", "marks", "repeats", "word_length")
+NAMES = ("words", "hits", "hit_share", "hit_kinds", "near_share", "near_hits", "obfuscated", "obfuscated_share", "capitals", "shouted", "exclaims", "questions", "marks", "repeats", "word_length", "stem_hits", "stem_share", "stem_kinds")
+STEM_LENGTHS = (4, 5, 6, 7)
 
 
-def features(text: str) -> list[float]:
+def stems_of(text: str) -> set[str]:
+    return {w[:n] for w in set(text.lower().translate(_MARKS).split()) for n in STEM_LENGTHS if len(w) >= n}
+
+
+def learn_stems(rows: DataFrame, most: int = 200, certainty: float = 5.0, lift: float = 4.0) -> frozenset[str]:
+    """The ``most`` stems that toxic texts of ``rows(text, label)`` hold far more often than others.
+
+    Counts are of texts; a stem must exceed its expected count by ``certainty``
+    standard deviations and be ``lift`` times as frequent in toxic texts.
+    """
+
+    def count(slices):
+        counts: dict[str, list[int]] = {}
+        for part in slices:
+            for text, label in part:
+                for stem in stems_of(text or ""):
+                    counts.setdefault(stem, [0, 0])[int(label >= 0.5)] += 1
+        made = [(stem, c, t) for stem, (c, t) in counts.items()]
+        yield from (made[i : i + 50_000] for i in range(0, len(made), 50_000))
+
+    sizes = {r[0]: r[1] for r in rows.groupBy((F.col("label") >= 0.5).alias("toxic")).count().collect()}
+    toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
+    if not toxic or not clean:
+        return frozenset()
+    found = map_rows(rows.select("text", "label"), count, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    expected = (F.col("t") + F.col("c")) * (toxic / (toxic + clean))
+    times = (F.col("t") / toxic) / ((F.col("c") + 1) / clean)
+    score = (F.col("t") - expected) / F.sqrt(expected + 0.5)
+    best = found.withColumns({"score": score, "times": times}).where((F.col("score") >= certainty) & (F.col("times") >= lift)).orderBy(F.desc("score"), "stem").limit(most)
+    return frozenset(r[0] for r in best.select("stem").collect())
+
+
+def _begun(words: list[str], stems: frozenset[str]) -> list[str]:
+    """Words that begin with a stem; words whose first letters no stem has cost one look-up."""
+    short = STEM_LENGTHS[0]
+    heads = _heads(stems)
+    return [w for w in words if w[:short] in heads and any(w[:k] in stems for k in STEM_LENGTHS)]
+
+
+@functools.lru_cache(maxsize=4)
+def _heads(stems: frozenset[str]) -> frozenset[str]:
+    return frozenset(s[: STEM_LENGTHS[0]] for s in stems)
+
+
+def features(text: str, stems: frozenset[str] = frozenset()) -> list[float]:
     """The dense features of a whole text, in the order of ``NAMES``."""
     low = text.lower()
     words = low.translate(_MARKS).split()
@@ -59,6 +107,7 @@ def features(text: str) -> list[float]:
     obfuscated = max(0, hidden - plain)
     capitals = size - len(text.translate(_NO_CAPITALS)) if text else 0
     shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if capitals > 0.02 * size else 0
+    begun = _begun(words, stems) if stems else []
     bang, ask = text.count("!"), text.count("?")
     marks = size - len(text.translate(_NO_MARKS)) if text else 0
     return [
@@ -77,6 +126,9 @@ def features(text: str) -> list[float]:
         marks / size,
         len(_REPEATED.findall(text)) / max(n, 1),
         sum(map(len, words)) / max(n, 1),
+        float(len(begun)),
+        len(begun) / max(n, 1),
+        float(len(set(begun))),
     ]
 
 
@@ -92,10 +144,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(_fold(id_col) == 0, F.lit(False))
 
 
-def dense(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def dense(docs: DataFrame, id_col: str, text_col: str, stems: frozenset[str]) -> DataFrame:
     def rows(slices):
         for part in slices:
-            yield [(doc, out_of, features(text or "")) for doc, out_of, text in part]
+            yield [(doc, out_of, features(text or "", stems)) for doc, out_of, text in part]
 
     chosen = docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col).cast("string"))
     return map_rows(chosen, rows, "doc_id long, held_out boolean, dense array<double>").withColumn("features", array_to_vector("dense"))
@@ -113,11 +165,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most ``most`` rows of two numbers by choice, so this side may be broadcast.
     sample = known.where(order < (1 << 30) * min(1.0, most / max(n, 1))).groupBy("doc_id").agg(F.max("label").alias("label"))
     learned = docs.join(F.broadcast(sample.limit(2 * most)), docs[id_col] == sample["doc_id"], "left_semi")
-    rows = cut(dense(learned, id_col, text_col).select("doc_id", "features").join(F.broadcast(sample), "doc_id"))
+    texts = cut(learned.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["doc_id"]).join(F.broadcast(sample.limit(2 * most)), "doc_id"))
     calibrating = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0
+    stems = learn_stems(texts.where(~calibrating))
+    rows = cut(dense(texts, "doc_id", "text", stems).select("doc_id", "features").join(texts.select("doc_id", "label"), "doc_id"))
     train, check = rows.where(~calibrating), rows.where(calibrating)
     classes = {r[0]: r[1] for r in train.groupBy("label").count().collect()}
-    scored = dense(docs, id_col, text_col)
+    scored = dense(docs, id_col, text_col, stems)
     if len(classes) < 2 or check.isEmpty():
         value = F.lit(float(classes.get(1.0, 0)) / max(sum(classes.values()), 1))
     else:
