@@ -66,7 +66,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 64, languages: int = 100, ridge: float = 1e-3) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 40, languages: int = 100, ridge: float = 1e-3) -> Model:
     """Learn from at most ``per_language`` rows of each of the ``languages`` most frequent
     languages, chosen by a hash of the id; the first ``landmarks`` of each are the landmarks.
 
@@ -92,20 +92,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield [(o, lang, np.packbits(row).tobytes()) for o, lang, text in part if (row := presence(text)) is not None]
 
     sample = sorted(map_rows(picked, pack, "order long, lang string, bits binary").collect())
-    x = np.array([np.unpackbits(np.frombuffer(r[2], np.uint8)) for r in sample], np.uint8)
+    bits = np.frombuffer(b"".join(r[2] for r in sample), np.uint8).reshape(len(sample), WIDTH // 8)
     of = np.array([names.index(r[1]) for r in sample])
-    root = np.sqrt(x.sum(axis=1, dtype=np.float64))
+    root = np.sqrt(np.bitwise_count(bits).sum(axis=1, dtype=np.float64))
     chosen = np.concatenate([np.flatnonzero(of == c)[:landmarks] for c in range(len(names))])
-    marks = x[chosen].astype(np.float32) / root[chosen, None].astype(np.float32)
-    kernel = np.concatenate([x[i : i + 64].astype(np.float32) @ marks.T for i in range(0, len(x), 64)]).astype(np.float64) / root[:, None]
+    # Unpacked a few rows at a time, so that the driver holds little more than the landmarks.
+    marks = np.unpackbits(bits[chosen], axis=1).astype(np.float32)
+    marks /= root[chosen, None].astype(np.float32)
+    kernel = np.concatenate([np.unpackbits(bits[i : i + 32], axis=1).astype(np.float32) @ marks.T for i in range(0, len(bits), 32)]).astype(np.float64) / root[:, None]
     values, vectors = np.linalg.eigh(kernel[chosen])
     inverse_root = vectors / np.sqrt(np.maximum(values, 1e-8)) @ vectors.T
-    features = np.column_stack([kernel @ inverse_root, np.ones(len(x))])
+    features = np.column_stack([kernel @ inverse_root, np.ones(len(bits))])
     target = np.where(of[:, None] == np.arange(len(names)), 1.0, -1.0)
-    penalty = ridge * len(x) * np.eye(features.shape[1])
+    penalty = ridge * len(bits) * np.eye(features.shape[1])
     penalty[-1, -1] = 0
     solved = np.linalg.solve(features.T @ features + penalty, features.T @ target)
-    return Model(names, (marks.T.astype(np.float64) @ (inverse_root @ solved[:-1])).astype(np.float32), solved[-1].astype(np.float32))
+    return Model(names, marks.T @ (inverse_root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 64) -> DataFrame:
