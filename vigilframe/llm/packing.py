@@ -42,8 +42,9 @@ def _tokenizer(path: str):
     return tokenizer, ends
 
 
-#: A chunk that is one run of plain letters, then marks that no contraction rule of the tokenizer touches.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'’]*)")
+#: A chunk that is one run of plain letters, then marks that no contraction rule of the tokenizer touches and
+#: that its normaliser does not compose with a letter before them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'’\u0300-\u036f]*)")
 
 
 def _encode_words(words: list[str], path: str) -> list[bytes]:
