@@ -317,6 +317,17 @@ def test_bpe_model_has_parity_and_round_trips(spark):
     assert sentencepiece_codec.encode_decode(empty(spark), tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_markers_in_texts_keep_parity():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from sentencepiece import SentencePieceProcessor
+
+    path, rng = tokenizers.path("piece_bpe_32k.model"), random.Random(4)
+    texts = ["".join(rng.choice(["a", "▁", " ", "the", "é", "\n", "<s>", "日"]) for _ in range(rng.randint(0, 8))) for _ in range(3000)]
+    got, same = sentencepiece_codec.encode(texts, sentencepiece_codec._loaded(path, 1), 1)
+    want = SentencePieceProcessor(model_file=path).encode(texts)
+    assert all(same) and [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
 # op8
 
 

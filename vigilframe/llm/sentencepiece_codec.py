@@ -154,7 +154,12 @@ _WORD = re.compile(" *[^ ]+| +")
 
 
 def _split(text: str) -> list[str]:
-    """A text's words, each with the blanks before it less the one that the dummy prefix stands for."""
+    """A text's words, each with the blanks before it less the one that the dummy prefix stands for.
+
+    A marker in the text is a blank, as for both libraries.
+    """
+    if MARK in text:
+        text = text.replace(MARK, " ")
     if "  " in text or text[:1] == " " or text[-1:] == " ":
         parts = _WORD.findall(text)
         return parts[:1] + [p[1:] for p in parts[1:]]
