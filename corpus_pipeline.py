@@ -38,8 +38,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a tenth of their source's documents share; whole copies are the next stage's."""
-    return _columns(line_dedup.drop_site_lines(docs, "source", "text", ratio=0.1, min_pages=5, keep_whole=True), docs)
+    """Documents without the lines that a tenth of their source's documents share.
+
+    Near copies are the next stage's: by its measure, a group of them counts as one document here.
+    """
+    copies = lambda texts: jaccard_join.components(texts, id_col="__body", text_col="__text").withColumnRenamed("component_id", "component")
+    return _columns(line_dedup.drop_site_lines(docs, "source", "text", ratio=0.1, min_pages=5, keep_whole=True, copies=copies), docs)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,21 @@ def test_every_stage_takes_effect(spark, folder):
     assert clean.where("doc_id <> 66").exceptAll(single.where("doc_id <> 66")).isEmpty()
 
 
+def test_near_copies_of_a_dense_group_keep_their_lines(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choice("bdklmnaoei") for _ in range(5)) for _ in range(12))
+    shared = [line() for _ in range(12)]
+    copies = ["\n".join(shared)] * 10 + ["\n".join([*shared, "READ MORE", line()]) for _ in range(10)]
+    others = ["\n".join(["READ MORE", *(line() for _ in range(4))]) for _ in range(40)]
+    quoting = "\n".join([shared[0], *(line() for _ in range(4))])
+    rows = [(i, t, "xx", "s", len(t)) for i, t in enumerate([*copies, *others, quoting])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    lines = stages["line_dedup"](spark, docs, "")
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {i: t.replace("READ MORE\n", "") for i, t, *_ in rows}
+    assert {r[0] for r in stages["ngram_jaccard_join"](spark, lines, "").select("doc_id").collect()} == {0, *range(20, 61)}
+
+
 def test_run_packs_what_is_left(spark, folder):
     tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -16,6 +16,8 @@ empty table gives an empty result.  Other columns are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,28 @@ def _digests(text: Column) -> Column:
     return F.transform(F.array_distinct(F.filter(lines, lambda x: x != "")), lambda x: F.md5(x))
 
 
+def _apart(known: DataFrame, ratio: float, min_pages: int, broadcast_lines: int, copies: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(__site, line)`` of the lines that are boilerplate among different pages of ``known(__site, __text)``.
+
+    A first count over all pages, which is never too low, finds the lines that could
+    be; only the distinct texts that hold one go through ``copies``.
+    """
+    body = F.xxhash64("__text").alias("__body")
+    bodies = known.groupBy("__site", body).agg(F.count("*")).groupBy("__site").agg(F.count("*").alias("bodies"))
+    held = known.select("__site", F.explode(_digests(F.col("__text"))).alias("line")).groupBy("__site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    could = cut(held.join(bodies, "__site").where(F.col("n") > F.lit(ratio) * F.col("bodies")).groupBy("__site").agg(F.collect_list("line").alias("could")))
+    lines = F.array_intersect(_digests(F.col("__text")), "could")
+    few = (could.agg(F.sum(F.size("could"))).first()[0] or 0) <= broadcast_lines
+    some = known.join(F.broadcast(could) if few else could, "__site").select("__site", body, "__text", lines.alias("lines")).where("size(lines) > 0")
+    some = cut(some.dropDuplicates(["__site", "__body"]))
+    classes = copies(some.select("__body", "__text").dropDuplicates(["__body"])).select("__body", F.col("component").alias("__class"))
+    some = cut(some.drop("__text").join(classes, "__body"))
+    merged = some.groupBy("__site", "__class").agg((F.count("*") - 1).alias("more")).groupBy("__site").agg(F.sum("more").alias("more"))
+    totals = bodies.join(merged, "__site").select("__site", (F.col("bodies") - F.col("more")).alias("pages"))
+    n = some.select("__site", "__class", F.explode("lines").alias("line")).groupBy("__site", "line", "__class").agg(F.count("*")).groupBy("__site", "line").agg(F.count("*").alias("n"))
+    return n.join(totals, "__site").where((F.col("n") >= min_pages) & (F.col("n") > F.lit(ratio) * F.col("pages"))).select("__site", "line")
+
+
 def drop_site_lines(
     pages: DataFrame,
     site_col: str,
@@ -36,17 +60,25 @@ def drop_site_lines(
     broadcast_lines: int = 100_000,
     counts: tuple[str, str] | None = None,
     keep_whole: bool = False,
+    copies: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``pages`` without boilerplate lines in ``text_col``.
 
     ``keep_whole``: a page all of whose lines are boilerplate is a copy of other
-    pages rather than a page with boilerplate; it stays as it is.  ``counts`` names two more columns: non-blank lines before, lines dropped.
+    pages rather than a page with boilerplate; it stays as it is.  ``copies`` gives
+    ``(__body, component)`` of texts ``(__body, __text)``: pages of one component
+    count once, for a line as for its site.  Exact copies count once then too; near
+    copies that hold no line frequent among pages still count each for their site.  ``counts`` names two more columns: non-blank lines before, lines dropped.
     """
     site, text = F.col(site_col), F.col(text_col)
     known = pages.where(site.isNotNull())
-    totals = known.groupBy(site.alias("__site")).agg(F.count("*").alias("pages"))
-    held = known.select(site.alias("__site"), F.explode(_digests(text)).alias("line")).groupBy("__site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = cut(held.join(totals, "__site").where(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("__site").agg(F.collect_list("line").alias("__common")))
+    if copies:
+        found = _apart(known.select(site.alias("__site"), text.alias("__text")), ratio, min_pages, broadcast_lines, copies)
+    else:
+        totals = known.groupBy(site.alias("__site")).agg(F.count("*").alias("pages"))
+        held = known.select(site.alias("__site"), F.explode(_digests(text)).alias("line")).groupBy("__site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+        found = held.join(totals, "__site").where(F.col("n") > F.lit(ratio) * F.col("pages"))
+    common = cut(found.groupBy("__site").agg(F.collect_list("line").alias("__common")))
     small = (common.agg(F.sum(F.size("__common"))).first()[0] or 0) <= broadcast_lines
     joined = pages.join(F.broadcast(common) if small else common, site == F.col("__site"), "left")
     lines = F.split(text, "\n")
