@@ -28,13 +28,18 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a recognisable language; their rows stay as they are.
 
-    The decision depends on the text alone, so it is joined by id; a document
-    without an id is judged by having a letter.
+    The decision depends on the text alone, so it is joined by id and a hash of the
+    text.  A document without an id, and each one where no row tells a language to
+    learn, is judged by having a letter.
     """
-    found = language_id.predict(docs, language_id.fit(docs))
-    rejected = found.where("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(small(rejected, 1_000_000), docs["doc_id"] == F.col("__gone"), "left_anti")
-    return kept.where(F.col("doc_id").isNotNull() | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(letter)
+    found = language_id.predict(docs, model, hashed=True)
+    rejected = found.where("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    kept = docs.join(small(rejected, 1_000_000), (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
+    return kept.where(F.col("doc_id").isNotNull() | letter)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,15 @@ def test_every_stage_takes_effect(spark, folder):
     assert clean.where("doc_id <> 66").exceptAll(single.where("doc_id <> 66")).isEmpty()
 
 
+def test_language_id_rejects_texts_rather_than_ids(spark):
+    rows = [(0, "bad dab lad", None), (1, "12345 !", None), (2, None, None), (3, "", None), (3, "kad nad bal", None), (None, "mar dar", None), (None, "77", None)]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    clean = sorted(t for _, t, _ in rows if t and any(map(str.isalpha, t)))
+    for lang in (None, "xx"):
+        docs = spark.createDataFrame([(i, t, lang) for i, t, _ in rows], "doc_id long, text string, lang string")
+        assert sorted(r["text"] for r in stage(spark, docs, "").collect()) == clean
+
+
 def test_near_copies_of_a_dense_group_keep_their_lines(spark):
     rng = random.Random(3)
     line = lambda: " ".join("".join(rng.choice("bdklmnaoei") for _ in range(5)) for _ in range(12))

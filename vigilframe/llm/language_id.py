@@ -110,8 +110,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(names, marks.T @ (inverse_root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 64) -> DataFrame:
-    """``(id, held_out, lang_pred, score)`` for every row; only the text decides."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 64, hashed: bool = False) -> DataFrame:
+    """``(id, held_out, lang_pred, score)`` for every row; only the text decides.
+
+    ``hashed`` adds ``text_hash``, which tells rows that share an id apart.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(slices):
@@ -120,17 +123,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             out = []
             for start in range(0, len(part), batch):
                 some = part[start : start + batch]
-                held = [presence(text) if text and model.languages else None for _, _, text in some]
+                held = [presence(text) if text and model.languages else None for _, _, _, text in some]
                 best = {}
                 if at := [i for i, row in enumerate(held) if row is not None]:
                     margins = model.margins(np.array([held[i] for i in at]))
                     for i, m in zip(at, margins, strict=True):
                         best[i] = (model.languages[int(m.argmax())], min(1.0, max(0.0, (float(m.max()) + 1) / 2)))
-                out += [(doc, out_of, *best.get(i, ("und", 0.0))) for i, (doc, out_of, _) in enumerate(some)]
+                out += [(doc, out_of, number, *best.get(i, ("und", 0.0))) for i, (doc, out_of, number, _) in enumerate(some)]
             yield out
 
-    chosen = docs.select(F.col(id_col).cast("long"), held_out(id_col), F.col(text_col).cast("string"))
-    return map_rows(chosen, rows, "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+    text = F.col(text_col).cast("string")
+    chosen = docs.select(F.col(id_col).cast("long"), held_out(id_col), F.xxhash64(text) if hashed else F.lit(None).cast("long"), text)
+    found = map_rows(chosen, rows, "doc_id long, held_out boolean, text_hash long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+    return found if hashed else found.drop("text_hash")
 
 
 def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
