@@ -210,6 +210,25 @@ def test_a_replay_does_not_inflate_counts(spark):
     assert [t["eventId"] for t in moves["statusTransitions"]] == [f"e{i:03}" for i in range(4, 20)]
 
 
+def test_fold_reduces_before_it_collects(spark):
+    kinds = F.when(F.col("id") % 3 == 0, "status-transition").otherwise("observation")
+    at = F.timestamp_seconds(F.lit(1_780_000_000) + F.col("id") % 700)
+    codes = F.transform(F.array(F.lit(0), F.lit(7)), lambda x: F.concat(F.lit("c"), ((F.col("id") + x) % 40).cast("string")))
+    events = spark.range(2000).select(
+        F.format_string("e%05d", "id").alias("eventId"), F.lit("s").alias("signalId"), kinds.alias("eventType"), at.alias("observedAt"), F.lit("d").alias("domain"), F.lit("B").alias("brand"), F.array((F.col("id") % 5).cast("string")).alias("sources"),
+        F.lit("active").alias("status"), F.lit(None).cast("string").alias("previousStatus"), F.lit(80).alias("confidence"), codes.alias("reasonCodes"),
+    )
+    folded = history.fold(events)
+    row = folded.first()
+    ordered = sorted((i % 700, i) for i in range(2000))
+    assert row["recentEventIds"] == [f"e{i:05}" for _, i in ordered[-64:]] and row["sources"] == list("01234")
+    assert [t["eventId"] for t in row["statusTransitions"]] == [f"e{i:05}" for _, i in ordered if i % 3 == 0][-16:]
+    assert row["reasonCodes"] == list(dict.fromkeys(f"c{(i + x) % 40}" for _, i in ordered for x in (0, 7)))[:16]
+    # No list of a whole signal: every collected row has been through a rank or a distinct.
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(" not in plan and plan.count("_part#") > 0
+
+
 def test_compaction_under_a_watermark(spark):
     events = log(spark, 3)
     folded, mark = history.compact(events, None, None, "2026-08-21", now())

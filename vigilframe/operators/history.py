@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions import signals as S
+from vigilframe.plans.shared import cut, first_of, side_by_side
 
 TRANSITIONS, RECENT, MOST_COUNT = 16, 64, 2_147_483_647
 EVENT = ("eventId", "signalId", "eventType", "observedAt", "domain", "brand", "sources", "status", "previousStatus", "confidence", "reasonCodes")
+FOLDED = ("id", "domain", "brand", "firstSeen", "lastSeen", "observationCount", "sources", "latestStatus", "statusObservedAt", "reasonCodes", "statusTransitions", "recentEventIds")
 
 
 def _events(rows: DataFrame, kind: str, at: Column, previous: Column, extra: Column) -> DataFrame:
@@ -59,13 +61,9 @@ def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     rows = events.dropDuplicates(["eventId"])
     if summary is not None:
         rows = rows.join(summary.select(F.explode("recentEventIds").alias("eventId")), "eventId", "left_anti")
-    order = F.struct("observedAt", "eventId")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("signalId").orderBy(F.desc("observedAt"), F.desc("eventId"))))
-    ranked = ranked.withColumn("_turn", F.sum(F.when(F.col("eventType") == "status-transition", 1).otherwise(0)).over(Window.partitionBy("signalId").orderBy("_rank")))
-    moved = (F.col("eventType") == "status-transition") & (F.col("_turn") <= TRANSITIONS)
-    transition = F.struct("observedAt", "eventId", "previousStatus", "status", "sources", "reasonCodes")
-    in_order = lambda c: f"flatten(transform(array_sort(collect_list(struct(observedAt, eventId, {c}))), x -> x.{c}))"
-    new = ranked.groupBy(F.col("signalId").alias("id")).agg(
+    rows = cut(rows.withColumnRenamed("signalId", "id"))
+    newest = [F.desc("observedAt"), F.desc("eventId")]
+    main = rows.groupBy("id").agg(
         F.min("domain").alias("domain"),
         F.max("domain").alias("_domain"),
         F.min("brand").alias("brand"),
@@ -73,14 +71,20 @@ def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
         F.min("observedAt").alias("firstSeen"),
         F.max("observedAt").alias("lastSeen"),
         F.count_if(F.col("eventType") == "observation").alias("observationCount"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
-        F.max_by("status", order).alias("latestStatus"),
+        F.max_by("status", F.struct("observedAt", "eventId")).alias("latestStatus"),
         F.max("observedAt").alias("statusObservedAt"),
-        # Codes are a fixed list, so those of the newest events alone could miss none that counts: all are kept, in order.
-        F.expr(f"slice(array_distinct({in_order('reasonCodes')}), 1, 16)").alias("reasonCodes"),
-        F.array_sort(F.collect_list(F.when(moved, transition))).alias("statusTransitions"),
-        F.expr(f"transform(array_sort(collect_list(case when _rank <= {RECENT} then struct(observedAt, eventId) end)), x -> x.eventId)").alias("recentEventIds"),
     )
+    # Lists are reduced before they are collected, so that a signal with most of the events is no task of its own.
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c])
+    sources = rows.select("id", F.explode("sources").alias("s")).distinct().groupBy("id").agg(F.array_sort(F.transform(F.collect_list(F.struct("s")), lambda x: x["s"])).alias("sources"))
+    codes = rows.select("id", "observedAt", "eventId", F.posexplode("reasonCodes").alias("_pos", "code")).groupBy("id", "code").agg(F.min(F.struct("observedAt", "eventId", "_pos")).alias("_at"))
+    codes = first_of(codes, "id", [F.col("_at")], F.col("code"), 16).groupBy("id").agg(listed("code").alias("reasonCodes"))
+    transition = F.struct("observedAt", "eventId", "previousStatus", "status", "sources", "reasonCodes")
+    moved = first_of(rows.where("eventType = 'status-transition'"), "id", newest, F.col("eventId"), TRANSITIONS).groupBy("id").agg(F.array_sort(F.collect_list(transition)).alias("statusTransitions"))
+    recent = first_of(rows.select("id", "observedAt", "eventId"), "id", newest, F.col("eventId"), RECENT)
+    recent = recent.withColumn("_at", F.col("observedAt")).groupBy("id").agg(listed("eventId").alias("recentEventIds"))
+    new = side_by_side("id", main, sources, codes, moved, recent)
+    new = new.withColumns({c: F.coalesce(c, F.array().cast(new.schema[c].dataType)) for c in ("sources", "reasonCodes", "statusTransitions", "recentEventIds")})
     if summary is None:
         merged = new
     else:
@@ -107,7 +111,7 @@ def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
         )
         last = lambda c, n: F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(F.col(c))
         merged = merged.withColumns({"statusTransitions": last("statusTransitions", TRANSITIONS), "recentEventIds": last("recentEventIds", RECENT)})
-    merged = merged.where("domain = _domain and brand = _brand").drop("_domain", "_brand")
+    merged = merged.where("domain = _domain and brand = _brand").select(*FOLDED)
     return merged.withColumn("observationCount", F.least(F.col("observationCount"), F.lit(MOST_COUNT)).cast("int"))
 
 

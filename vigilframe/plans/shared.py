@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +14,18 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoint"))
     return df.checkpoint()
+
+
+def first_of(rows: DataFrame, key: str, order: list[Column], salt: Column, most: int, parts: int = 64) -> DataFrame:
+    """The first ``most`` rows of each ``key`` in ``order``: ranked in salted parts, then among the parts' first ones."""
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)))
+    ranked = parted.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col("_place") <= most)
+    return ranked.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_place") <= most).drop("_part", "_place")
+
+
+def side_by_side(key: str, main: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row per ``key`` with the columns of all frames, each of which has at most one row per key."""
+    every = main
+    for other in others:
+        every = every.unionByName(other, allowMissingColumns=True)
+    return every.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != key])
