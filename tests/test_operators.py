@@ -151,6 +151,28 @@ def test_merge_equals_a_sequential_model(spark):
         assert got[i]["lastSeen"].timestamp() == w["lastSeen"].timestamp() or got[i]["lastSeen"].replace(tzinfo=UTC) == w["lastSeen"]
 
 
+def test_merge_splits_the_rows_of_one_id(spark):
+    n, at = 600, lambda i: F.timestamp_seconds(F.lit(1_780_000_000) + i)
+    i = F.col("seq")
+    rows = spark.range(n).withColumnRenamed("id", "seq").select(
+        "seq", F.lit("x").alias("id"), F.lit("hxxps://a[.]b").alias("url"), F.lit("a[.]b").alias("domain"), at(i * 0).alias("firstSeen"), at(i * 37 % 101).alias("lastSeen"), F.array((i % 3).cast("string")).alias("sources"), F.lit("active").alias("status"), F.lit("B").alias("brand"),
+        *[F.when(i % k == k - 1, i.cast("string")).alias(c) for c, k in zip(merge.FILLED, (2, 3, 700, 599), strict=True)],
+        *[F.array((n - i).cast("string"), F.lit("z")).alias(c) for c in ("hashes", "brandEvidence", "reasonCodes")], F.lit(80).alias("confidence"),
+    )
+    merged = merge.merge(rows)
+    got = merged.first()
+    newest, want = None, dict.fromkeys(merge.FILLED)
+    for s in range(n):
+        t, new = s * 37 % 101, newest is None or s * 37 % 101 > newest
+        for c, k in zip(merge.FILLED, (2, 3, 700, 599), strict=True):
+            want[c] = str(s) if s % k == k - 1 and (new or want[c] is None) else want[c]
+        newest = t if new else newest
+    assert {c: got[c] for c in merge.FILLED} == want and got["sources"] == ["0", "1", "2"]
+    assert [got[c] for c in ("hashes", "brandEvidence", "reasonCodes")] == [["600", "z", *map(str, range(599, 0, -1))][:k] for k in (8, 64, 16)]
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(" not in plan and plan.count("_part#") > 0 and "_range#" in plan
+
+
 RAW = "seq long, url string, source string, first_seen string, last_seen string, status string, brand string, country string, host string, hashes array<string>, confidence double, reason_codes array<string>"
 
 

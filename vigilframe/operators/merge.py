@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilframe.functions import signals as S
 from vigilframe.functions.text import clean_text, safe_host
 from vigilframe.functions.urls import safe_url, specificity
+from vigilframe.plans.shared import cut, first_of, side_by_side
 
 
 def prepare(raw: DataFrame, now: Column, screenshot: Column | None = None, reference: Column | None = None) -> DataFrame:
@@ -46,37 +47,44 @@ def prepare(raw: DataFrame, now: Column, screenshot: Column | None = None, refer
 FILLED = ("country", "host", "screenshotUrl", "referenceUrl")
 
 
-def merge(signals: DataFrame, most: int | None = None) -> DataFrame:
+def _first_values(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """Per id the first distinct entries of a list column, in order."""
+    entries = rows.select("id", "seq", F.posexplode(column).alias("_pos", "entry")).groupBy("id", "entry").agg(F.min(F.struct("seq", "_pos")).alias("_at"))
+    chosen = first_of(entries, "id", [F.col("_at")], F.col("entry"), most)
+    return chosen.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "entry"))), lambda x: x["entry"]).alias(column))
+
+
+def merge(signals: DataFrame, most: int | None = None, ranges: int = 64) -> DataFrame:
     """One row per ``id``; rows of an id count in the order of ``seq``.
 
     Ids with two brands go.  A filled column takes the value of the last row that
-    was newer than all before it, or that came when there was no value yet.  All
-    windows and the grouping share one shuffle by id.
+    was newer than all before it, or that came when there was no value yet.  What
+    was before a row comes from totals of the ranges of ``seq`` before its own, and
+    lists are reduced before they are collected, so no task holds all rows of an id.
     """
-    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = signals.withColumn("_newest", F.max("lastSeen").over(before))
+    held = cut(signals.repartitionByRange(ranges, "seq").withColumn("_range", F.spark_partition_id()))
+    spans = held.groupBy("id", "_range").agg(F.max("lastSeen").alias("_last"), *[F.count(c).alias(f"_n_{c}") for c in FILLED])
+    earlier = Window.partitionBy("id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("id", "_range", F.max("_last").over(earlier).alias("_earlier"), *[F.coalesce(F.sum(f"_n_{c}").over(earlier), F.lit(0)).alias(f"_had_{c}") for c in FILLED])
+    before = Window.partitionBy("id", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = held.join(spans, ["id", "_range"]).withColumn("_newest", F.greatest("_earlier", F.max("lastSeen").over(before)))
     newer = F.col("_newest").isNull() | (F.col("lastSeen") > F.col("_newest"))
-    rows = rows.withColumns({f"_take_{c}": F.col(c).isNotNull() & (newer | (F.count(c).over(before) == 0)) for c in FILLED})
-    ordered = lambda c, n: F.expr(f"slice(array_distinct(flatten(transform(array_sort(collect_list(struct(seq, {c}))), x -> x.{c}))), 1, {n})")
+    rows = rows.withColumns({f"_take_{c}": F.col(c).isNotNull() & (newer | (F.col(f"_had_{c}") + F.count(c).over(before) == 0)) for c in FILLED})
     brand = F.nullif(F.col("brand"), F.lit(""))
-    out = (
-        rows.groupBy("id")
-        .agg(
-            F.max_by("url", F.struct(specificity(F.col("url")), -F.col("seq"))).alias("url"),
-            F.min_by("domain", "seq").alias("domain"),
-            F.min("firstSeen").alias("firstSeen"),
-            F.max("lastSeen").alias("lastSeen"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
-            F.max_by("status", F.struct("lastSeen", S.priority(F.col("status")), -F.col("seq"))).alias("status"),
-            F.max(brand).alias("brand"),
-            F.count_distinct(brand).alias("_brands"),
-            *[F.max_by(c, F.when(F.col(f"_take_{c}"), F.col("seq"))).alias(c) for c in FILLED],
-            ordered("hashes", 8).alias("hashes"),
-            ordered("brandEvidence", 64).alias("brandEvidence"),
-            ordered("reasonCodes", 16).alias("reasonCodes"),
-            F.max("confidence").alias("confidence"),
-        )
-        .where("_brands <= 1")
-        .drop("_brands")
+    main = rows.groupBy("id").agg(
+        F.max_by("url", F.struct(specificity(F.col("url")), -F.col("seq"))).alias("url"),
+        F.min_by("domain", "seq").alias("domain"),
+        F.min("firstSeen").alias("firstSeen"),
+        F.max("lastSeen").alias("lastSeen"),
+        F.max_by("status", F.struct("lastSeen", S.priority(F.col("status")), -F.col("seq"))).alias("status"),
+        F.max(brand).alias("brand"),
+        F.min(brand).alias("_brand"),
+        *[F.max_by(c, F.when(F.col(f"_take_{c}"), F.col("seq"))).alias(c) for c in FILLED],
+        F.max("confidence").alias("confidence"),
     )
+    sources = held.select("id", F.explode("sources").alias("s")).distinct().groupBy("id").agg(F.array_sort(F.transform(F.collect_list(F.struct("s")), lambda x: x["s"])).alias("sources"))
+    lists = {"hashes": 8, "brandEvidence": 64, "reasonCodes": 16}
+    out = side_by_side("id", main, sources, *[_first_values(held, c, n) for c, n in lists.items()]).where("brand is null or brand = _brand")
+    out = out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("sources", *lists)})
+    out = out.select("id", "url", "domain", "firstSeen", "lastSeen", "sources", "status", "brand", *FILLED, *lists, "confidence")
     return out if most is None else out.orderBy(F.desc("lastSeen"), F.desc("firstSeen"), "id").limit(most)
