@@ -387,6 +387,20 @@ def test_stream_collects_each_host_once(spark, tmp_path):
     assert spark.read.parquet(root).count() == 3
 
 
+def test_drained_rows_stay_off_the_driver(spark, tmp_path):
+    schema = "ts timestamp, event_type string, value double"
+    for day in range(1, 4):
+        spark.createDataFrame([(datetime(2026, 1, day), "view", 1.0)] * 2, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    once = certificates.drain(certificates.deduplicated(stream(), ["event_type", "ts"], late="40 days"), "drained_rows")
+    assert sorted(r["ts"].day for r in once.collect()) == [1, 2, 3]
+    counts = certificates.drain(certificates.daily_counts(stream()), "drained_counts", "complete")
+    assert sorted((str(r["day"]), r["n"], r["total"]) for r in counts.collect()) == [(f"2026-01-0{d}", 2, 2.0) for d in (1, 2, 3)]
+    for made in (once, counts):
+        files = made.inputFiles()
+        assert files and all(f.endswith(".parquet") and "/stream-" in f for f in files)
+
+
 def test_published_documents(spark, tmp_path):
     signals = merge.merge(merge.prepare(raw(spark, {"last_seen": "2026-08-21T09:00:00Z", "brand": "SEB"}, {"url": "https://b.example/", "last_seen": "2026-08-20T09:00:00Z"}), now()))
     document = snapshots.as_document(signals, "2026-08-21T10:00:00.000Z").first()[0]

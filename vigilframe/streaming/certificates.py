@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,10 +77,25 @@ def daily_counts(events: DataFrame, time: str = "ts", by: tuple[str, ...] = ("ev
 
 
 def drain(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is available and give its result as a table."""
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is available and give its result as a table.
+
+    Result and checkpoint are in the folder of ``spark.checkpoint.dir``.  A batch
+    has its own folder, which a repeated batch writes anew; in complete mode the
+    last batch is the result.
+    """
+    spark = rows.sparkSession
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp('stream')}/stream-{uuid.uuid4().hex}"
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(at := f"{folder}/rows/{number}")
+        written[:] = [at] if mode == "complete" else [*written, at]
+
+    query = rows.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(*dict.fromkeys(written))
 
 
 class Health(StreamingQueryListener):
