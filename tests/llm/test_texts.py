@@ -125,6 +125,15 @@ def test_base_spans_equal_brute_force():
         assert [s for s in secret_scan.spans_of(text) if s[1] < secret_scan.BASE] == plain_spans(text), text
 
 
+def test_weak_parts_have_no_longest_length():
+    opaque, account = "aB3" * 100, "user" * 40
+    text = f"AKIA{'Q' * 16} {opaque} login={account} x"
+    found = {secret_scan.KINDS[k]: text[a:b] for a, k, b in secret_scan.spans_of(text)}
+    assert found["opaque"] == opaque and found["account"] == f"login={account}"
+    linked = ",".join(f"{a}:{k}:{b}" for a, k, b in secret_scan.spans_of(text) if k >= secret_scan.BASE)
+    assert secret_scan._replaced(text, linked) == "[access] [opaque] [account] x"
+
+
 def test_weak_parts_need_their_complements(spark):
     opaque, key = "Zx9kQ2mW8vB4nL7pR1tY6sD3" + "fG5", "AKIA" + "Q" * 16
     texts = [

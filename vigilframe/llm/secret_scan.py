@@ -28,8 +28,8 @@ BASE = 3
 _ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_ACCOUNT = re.compile(r"(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{3,64})", re.ASCII)
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])")
+_ACCOUNT = re.compile(r"(?i:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@_.-]{3,})", re.ASCII)
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])")
 _ENDPOINT = re.compile(r"(?i:https?)://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|(?i:host(?:name)?|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{4,}", re.ASCII)
 SPAN = "struct<start: long, kind: int, stop: long>"
 #: What an assignment, an account and a host name must be followed by; a text without any is spared those searches.
