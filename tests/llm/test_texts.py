@@ -125,6 +125,15 @@ def test_base_spans_equal_brute_force():
         assert [s for s in secret_scan.spans_of(text) if s[1] < secret_scan.BASE] == plain_spans(text), text
 
 
+def test_every_language_is_learned(spark):
+    texts = [(4 * i, " ".join(chr(0x4E00 + 7 * k + d) * 3 for d in range(6)), f"l{k:03}") for i, k in enumerate([k for k in range(104) for _ in range(3)])]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(rows)
+    assert model.languages == tuple(sorted({lang for i, _, lang in texts if zlib.crc32(str(i).encode()) % 4 != 2})) and len(model.languages) > 100
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(rows, model).collect()}
+    assert all(got[i] == lang for i, _, lang in texts if lang in model.languages)
+
+
 def test_weak_parts_have_no_longest_length():
     opaque, account = "aB3" * 100, "user" * 40
     text = f"AKIA{'Q' * 16} {opaque} login={account} x"

@@ -21,7 +21,7 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilframe.llm.common import map_rows, table
@@ -66,26 +66,28 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 40, languages: int = 100, ridge: float = 1e-3) -> Model:
-    """Learn from at most ``per_language`` rows of each of the ``languages`` most frequent
-    languages, chosen by a hash of the id; the first ``landmarks`` of each are the landmarks.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, landmarks: int = 40, most_rows: int = 40_000, ridge: float = 1e-3) -> Model:
+    """Learn from at most ``per_language`` rows of every language, chosen by a hash of the
+    id; the first ``landmarks`` of each are the landmarks.
 
-    Only rows that are not held out and have a language count.  The bounded sample's
+    Beyond ``most_rows`` rows in all, each language gives fewer rows and landmarks, one at
+    least, so that the driver's share stays bounded while no language is left out.  Only rows that are not held out and have a language count.  The bounded sample's
     presence rows (8 KB each) are what reaches the driver.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     names = tuple(sorted(counts))
     if not names:
         return Model((), np.zeros((WIDTH, 0), np.float32), np.zeros(0, np.float32))
+    per_language = max(1, min(per_language, most_rows // len(names)))
+    landmarks = max(1, min(landmarks, most_rows // 10 // len(names)))
     share = F.create_map(*[F.lit(x) for n in names for x in (n, 1.2 * per_language / counts[n])])
     order = F.xxhash64(F.col(id_col).cast("long"))
-    picked = (
-        rows.where(F.pmod(order, F.lit(1 << 20)) < F.coalesce(share[F.col(lang_col)], F.lit(0.0)) * (1 << 20))
-        .select(order.alias("order"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .orderBy("order", "lang", F.md5("text"))
-        .limit(per_language * len(names))
-    )
+    wanted = share[F.col(lang_col)]
+    # With few rows a language the share could miss one; the ranks then bound them alone.
+    near = rows if per_language < 100 else rows.where(F.pmod(order, F.lit(1 << 20)) < wanted * (1 << 20))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.md5("text")))
+    picked = near.select(order.alias("order"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("place", place).where(F.col("place") <= per_language).drop("place")
 
     def pack(slices):
         for part in slices:
