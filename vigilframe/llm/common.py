@@ -17,15 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``; only a session without
+    The folder is the one in ``spark.checkpoint.dir``; only a local session without
     that setting (a test) gets a temporary one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one if the whole session is local."""
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp("checkpoint")
+
+
 def map_rows(df: DataFrame, rows: Callable, schema: str, chars: int = 4_000_000) -> DataFrame:
     """``mapInArrow`` over slices of a few million characters.
 
@@ -62,29 +72,58 @@ def map_rows(df: DataFrame, rows: Callable, schema: str, chars: int = 4_000_000)
     return df.mapInArrow(run, schema)
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """``(a, b)`` with b < a: trees of depth one that join what each batch of ``edges(a, b)`` joins."""
+
+    def rows(slices):
+        for part in slices:
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := up.setdefault(x, x)) != x:
+                    up[x] = x = up[y]
+                return x
+
+            for a, b in part:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+            yield [(x, y) for x in list(up) if (y := root(x)) != x]
+
+    return map_rows(edges.where("a <> b").select("a", "b"), rows, "a long, b long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` to ``(id, component)``; the component is its smallest id.
 
     Alternates large-star and small-star steps, each a grouped minimum and a
-    join, until the edges are stars.  Nothing but a count and a checksum reaches
-    the driver; each round is checkpointed, so a lost executor repeats one round.
+    join, until every end is a leaf with one centre or a centre with leaves only.
+    Each round is checkpointed, so a lost executor repeats one round.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    now = cut(_forest(edges).distinct())
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == seen or not mark[0]:
-            return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        seen = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        ends = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") < F.col("a")).alias("smaller"), (F.max("b") > F.first("a")).alias("larger"))
+        ends = cut(ends)
+        if ends.where("smaller > 1 or smaller > 0 and larger").isEmpty():
+            centres = ends.where("smaller = 0").select(F.col("a").alias("id"), F.col("a").alias("component"))
+            return ends.where("smaller > 0").select(F.col("a").alias("id"), F.col("m").alias("component")).unionByName(centres)
+        large = now.join(ends.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low, "a")
-        small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.toDF("a", "b"))
         now = cut(small.where("a <> b").distinct())
 
 
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """``parents(a, b)``, one row for each a and b < a, to ``(id, root)`` by doubling the steps."""
+    now = cut(parents)
+    while True:
+        up = now.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        now = cut(now.join(up, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        now = now.select("a", "b")
+
+
 def map_groups(df: DataFrame, keys: list[str], made: Callable, schema: str) -> DataFrame:
     """``made(key, rows)`` for each distinct value of the leading columns ``keys``.
 

@@ -1,17 +1,21 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document's set holds its distinct shingles of ``words`` words (a shorter text is
-one shingle).  Documents with equal sets form a class.  Sets fall in size bands
-whose bounds grow by the inverse of the threshold, so sets that can link lie in
-one band or in neighbours; a band's configuration allows a symmetric difference of
-``k`` shingles, and its ``k + t + m`` partitions of the hashed shingle domain give one
-signature each.  A link differs in at most k partitions, so at least t + m agree; a
-set with more than m empty partitions is also signed under another partitioning
-and in the end by its single shingles.  Hence links share at least ``t`` signatures
-that are not empty: the join is exact, and classes that share fewer are no candidates.
-
-Candidates are found in two steps.  First, in rounds, each class is verified against
-the one class it shares most signatures with among the centres of its signature
+one shingle); equal sets have equal 64-bit keys and form a class.  Sets fall in
+size bands a square of the inverse threshold wide.  A band partitions the hashed
+shingle domain twice: into first-level partitions, and each of these into
+``CELLS`` cells.  If two sets differ in at most d shingles, at most d div 2 of the
+first-level partitions hold two differences or more; in every other one, all cells
+but one agree.  So a signature is made for each subset of ``CELLS - 1`` cells of a
+first-level partition.  A set walks the partitions in one fixed order until d div 2
++ t of them have no empty subset, d being the most that a partner of its size can
+differ; a link therefore shares t signatures at least that are not empty.  A set
+that runs out of partitions goes on in another partitioning and in the end with its
+single shingles, so the join is exact.  A set is signed for its own band and, if a
+partner could be in the next one, for that.
+
+Candidates are found in two steps.  First each class is verified against the one
+class it shares most signatures with among the smallest keys of its signature
 groups, which joins dense groups at linear cost.  Then only groups that still hold
 several components are searched: small ones pair by pair; in large ones only the
 classes with enough large groups to have all their shared signatures there, in
@@ -21,9 +25,10 @@ compared again, since no link there can change it.
 
 Null and empty texts and texts without words have the empty set (0 shingles) and
 link with nothing.  Rows that share an id but not the set are in the components of
-their own sets; one of them stands for the id in comparisons.  Rows with a null id
-link with nothing and have a null component.  Ties go to the smaller id.  Other
-columns are not read.
+their own sets.  Rows with a null id link with nothing and have a null component.
+Ties go to the smaller id.  Other columns are not read.  Keys are 64 bits, as the
+hashes of shingles are: of n different sets, n * n / 2**65 pairs are expected to
+be taken for equal.
 """
 
 from __future__ import annotations
@@ -35,13 +40,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import connected_components, cut, map_groups, map_rows, small, table
+from vigilframe.llm.common import connected_components, cut, forest_roots, map_groups, map_rows, small, table
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-MOST_LEVELS = 3
+LEVELS = 3
+CELLS = 3
+#: The cells of each enumerated subset: all but one.
+SUBSETS = [[c for c in range(CELLS) if c != left_out] for left_out in range(CELLS)]
 #: The lowest bits of a signature name its band; the last number is for signatures that are single shingles.
 BAND_BITS, SINGLE = 7, 127
 
@@ -71,56 +79,72 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def digest(h: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed integers."""
-    return tuple(int(v) for v in np.array([mix(h, 1).sum(dtype=np.uint64), mix(h, 2).sum(dtype=np.uint64)], np.uint64).view(np.int64))
+def key_of(h: np.ndarray) -> int:
+    """64 bits that name a set, as a signed integer."""
+    sums = np.array([mix(h, 1).sum(dtype=np.uint64), mix(h, 2).sum(dtype=np.uint64)])
+    return int((sums[:1] * GOLD ^ sums[1:]).view(np.int64)[0])
 
 
 @lru_cache(maxsize=64)
-def bands(threshold: int, sizes: int = 1 << 26) -> tuple[int, ...]:
+def bands(threshold: int, sizes: int = 1 << 28) -> tuple[int, ...]:
     """Upper bounds of the size bands, for a threshold in hundredths."""
     out = [1]
     while out[-1] < sizes:
-        out.append(max(out[-1] + 1, out[-1] * 100 // threshold))
+        out.append(max(out[-1] + 1, out[-1] * 10_000 // threshold**2))
     return tuple(out)
 
 
+def differences(n: int, m: int, threshold: int) -> int:
+    """In how many shingles two linked sets of ``n`` and ``m`` can differ."""
+    return (100 - threshold) * (n + m) // (100 + threshold)
+
+
 @lru_cache(maxsize=4096)
-def configuration(band: int, threshold: int) -> tuple[int, int, int]:
-    """``(k, t, m)`` for links whose larger set lies in ``band``: most differences, least shared signatures, spare partitions."""
-    bounds = bands(threshold)
-    k = 2 * bounds[band] * (100 - threshold) // (100 + threshold)
-    least, t, m = (bounds[band - 2] if band > 1 else 0) + 1, 1 + k // 20, 1
-    for _ in range(40):  # as many spare partitions as the smallest sets leave empty, and a deviation
-        empty = (k + t + m) * exp(-least / (k + t + m))
-        m = max(1, ceil(empty + sqrt(empty)))
-    return k, t, m
+def configuration(band: int, threshold: int) -> tuple[int, int]:
+    """``(p, t)`` of a band: its first-level partitions, and how many of them links agree in at least."""
+    top = bands(threshold)[band]
+    needed = differences(top, top, threshold) // 2
+    t = 1 + needed // 16
+    spare = 1.0
+    for _ in range(20):  # as many more as the largest sets leave with an empty subset, and two deviations
+        p = needed + t + spare
+        empty = min(1.0, CELLS * exp(-(CELLS - 1) * top / (CELLS * p)))
+        spare = 1 + p * empty + 2 * sqrt(p * empty)
+        if spare > needed + t:
+            break
+    return ceil(needed + t + spare), t
 
 
 def signatures(h: np.ndarray, threshold: int = 80) -> np.ndarray:
-    """PartEnum signatures of a set of sorted hashes.
-
-    Equal sets are told by their digest, so bands without a difference have none.
-    """
+    """PartEnum signatures of a set of sorted hashes; sets that can only link with equal ones have none."""
     out = []
-    own = int(np.searchsorted(bands(threshold), len(h)))
-    mixed = mix(h, 3)
-    for band in (own, own + 1):
-        k, t, m = configuration(band, threshold)
-        if not k:
+    bounds, n = bands(threshold), len(h)
+    most = 100 * n // threshold
+    own, last = int(np.searchsorted(bounds, n)), int(np.searchsorted(bounds, most))
+    for band in dict.fromkeys((own, last)):
+        d = differences(n, min(most, bounds[band]), threshold)
+        if not d:
             continue
-        parts = k + t + m
-        for level in range(MOST_LEVELS):
-            x, value = h, mixed
-            if level:
-                x = np.sort(mix(h, 10 + level))
-                value = mix(x, 3)
-            place = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            at = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            tag = np.uint64((band * MOST_LEVELS + level) << 32)
-            made = mix(np.add.reduceat(value, at) ^ ((place[at] + tag) * GOLD), 4)
+        p, t = configuration(band, threshold)
+        needed = d // 2 + t
+        for level in range(LEVELS):
+            x = h if not level else np.sort(mix(h, 10 + level))
+            cell = (((x >> np.uint64(32)) * np.uint64(p * CELLS)) >> np.uint64(32)).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            sums, filled = np.zeros(p * CELLS, np.uint64), np.zeros(p * CELLS, bool)
+            sums[cell[at]] = np.add.reduceat(mix(x, 3), at)
+            filled[cell[at]] = True
+            sums, filled = sums.reshape(p, CELLS), filled.reshape(p, CELLS)
+            some = np.stack([filled[:, s].any(axis=1) for s in SUBSETS], axis=1)
+            good = np.cumsum(some.all(axis=1))
+            stop = int(np.searchsorted(good, needed)) + 1
+            tag = np.uint64((band * LEVELS + level) << 40)
+            place = tag + np.arange(min(stop, p) * CELLS, dtype=np.uint64).reshape(-1, CELLS)
+            # Cells differ in weight, so that a subset's sum tells which cells it has.
+            weighed = [sum(sums[:stop, c] * np.uint64(2 * c + 3) for c in s) for s in SUBSETS]
+            made = mix(np.stack(weighed, axis=1) ^ (place * GOLD), 4)[some[:stop]]
             out.append((made << np.uint64(BAND_BITS)) | np.uint64(band))
-            if parts - len(at) <= m:
+            if stop <= p:
                 break
         else:
             out.append((mix(h ^ np.uint64(band), 5) << np.uint64(BAND_BITS)) | np.uint64(SINGLE))
@@ -155,151 +179,162 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * shared >= threshold * (len(a) + len(b) - shared)
 
 
-SIGNED = "a long, b long, c long, k int, bits binary"
+class Seen:
+    """Keys met lately; two generations of ``most`` at most, so memory is bounded."""
+
+    def __init__(self, most: int = 100_000) -> None:
+        self.most, self.young, self.old = most, set(), set()
+
+    def add(self, key: int) -> bool:
+        """Whether the key is new."""
+        if key in self.young:
+            return False
+        if len(self.young) >= self.most:
+            self.young, self.old = set(), self.young
+        self.young.add(key)
+        return key not in self.old
 
 
 def _signed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Rows of every document, in one pass over the texts.
+    """Rows ``(a, b, k, more)`` of every document, in one pass over the texts.
 
-    A set that is new to its task: ``(c1, id, c2, n, bitmap)`` and a row ``(signature,
-    id, c1, -1)`` per signature; one met before in the task just ``(hash of id, id,
-    the first one's id, -2 - n)``.  So a hot set reaches a shuffle once per task.
+    ``(key, id, n, bitmap)`` for a set that is new to its task, with ``(signature,
+    key, -1, null)`` for each signature; just ``(hash of id, id, -2 - n, key)`` for one met
+    lately, so a hot set reaches a shuffle a few times per task.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("k", pa.int32()), ("bits", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int32()), ("more", pa.binary())])
 
-    def made(sets: list[tuple], sigs: list[np.ndarray]) -> pa.RecordBatch:
+    def made(sets: list[tuple], sigs: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         top = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*sets, strict=True), schema, strict=True)], schema=schema)
         if sigs:
-            sizes = [len(x) for x in sigs]
-            owner = np.array([(r[1], r[0]) for r in sets if r[3] > 0], np.int64)
-            columns = [np.concatenate(sigs).view(np.int64), np.repeat(owner[:, 0], sizes), np.repeat(owner[:, 1], sizes), np.full(sum(sizes), -1, np.int32)]
-            rest = pa.Table.from_arrays([*[pa.array(c) for c in columns], pa.nulls(sum(sizes), pa.binary())], schema=schema)
-            top = pa.concat_tables([top, rest])
+            sizes = [len(x) for _, x in sigs]
+            owner = np.repeat(np.array([key for key, _ in sigs], np.int64), sizes)
+            rest = [np.concatenate([x for _, x in sigs]).view(np.int64), owner, np.full(len(owner), -1, np.int32)]
+            top = pa.concat_tables([top, pa.Table.from_arrays([*map(pa.array, rest), pa.nulls(len(owner), pa.binary())], schema=schema)])
         return top.combine_chunks().to_batches()[0]
 
     def run(batches):
-        seen: dict[tuple[int, int], int] = {}
+        seen = Seen()
         for batch in batches:
             sets, sigs, size = [], [], 0
             for i in range(batch.num_rows):
                 doc, h = batch.column(0)[i].as_py(), shingles(batch.column(1)[i].as_py(), words)
-                name = digest(h)
-                first = seen.setdefault(name, doc) if len(h) else doc
-                if not len(h):
-                    sets.append((doc, doc, doc, -2, None))
-                elif first != doc:
-                    sets.append((int(mix(np.array([doc], np.int64).view(np.uint64)).view(np.int64)[0]), doc, first, -2 - len(h), None))
+                key = key_of(h)
+                if len(h) and seen.add(key):
+                    sets.append((key, doc, len(h), bitmap(h).tobytes()))
+                    sigs.append((key, signatures(h, threshold)))
+                    size += len(sigs[-1][1])
                 else:
-                    sets.append((name[0], doc, name[1], len(h), bitmap(h).tobytes()))
-                    sigs.append(signatures(h, threshold))
-                    size += len(sigs[-1])
+                    spread = int(mix(np.array([doc], np.int64).view(np.uint64)).view(np.int64)[0])
+                    sets.append((spread, doc, -2 - len(h), key.to_bytes(8, "little", signed=True)))
                 if size > 300_000:
                     yield made(sets, sigs)
                     sets, sigs, size = [], [], 0
             if sets:
                 yield made(sets, sigs)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(run, "a long, b long, k int, more binary")
 
 
 def _grouped(signed: DataFrame) -> DataFrame:
-    """``(kind, x, y, n, bits)``: classes (0: id, smallest id of the class), signatures that several classes
-    have (1: signature, id) and copies (2: id, first id)."""
-    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
-
-    def out(kind: int, x, y, n, bits) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y), pa.array(n, pa.int32()), bits], schema=schema)
+    """``(kind, x, y, z, n, bits)``: sets (0: key, id, first id of the task's stream; with the bitmap once per key),
+    signatures that several classes have (1: signature, key, smallest key) and copies (2: key, id)."""
+    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
 
-    def classes(rows: pa.Table) -> pa.RecordBatch:
-        a, b, c, k = (rows.column(i).to_numpy() for i in range(4))
-        order = np.lexsort((b, c, a))
-        fresh = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])])
-        owner = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        return out(0, b[order], b[order][owner], k[order], rows.column(4).take(pa.array(order)).combine_chunks())
+    def out(kind: int, x, y, z, n, bits=None) -> pa.RecordBatch:
+        columns = [np.full(len(x), kind, np.int32), x, y, z, np.broadcast_to(np.int32(n), len(x)) if np.ndim(n) == 0 else n]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(x), pa.binary()) if bits is None else bits], schema=schema)
 
     def run(batches):
-        last, live, held = np.zeros((0, 3), np.int64), False, None
+        last_key, first_id = None, None
+        sig, key, centre, waits = None, None, None, False
         for batch in batches:
-            a, b, c, k = (batch.column(i).to_numpy() for i in range(4))
-            # Rows of classes come once per task at most, so those of the last value seen can be held.
-            if (k >= 0).any() or held is not None:
-                rows = pa.Table.from_batches([batch]).filter(pa.array(k >= 0))
-                rows = rows if held is None else pa.concat_tables([held, rows])
-                open_ = rows.column(0).to_numpy() == a[-1]
-                done, held = rows.filter(pa.array(~open_)), rows.filter(pa.array(open_)) if open_.any() else None
-                if done.num_rows:
-                    yield classes(done)
+            a, b, k = (batch.column(i).to_numpy() for i in range(3))
+            more = batch.column(3)
             if len(at := np.flatnonzero(k < -1)):
-                yield out(2, b[at], c[at], -2 - k[at], pa.nulls(len(at), pa.binary()))
+                keys = np.frombuffer(b"".join(more.take(pa.array(at)).to_pylist()), "<i8")
+                yield out(2, keys, b[at], b[at], -2 - k[at])
+            if len(at := np.flatnonzero(k >= 0)):
+                names, ids = a[at], b[at]
+                fresh = np.concatenate([[names[0] != last_key], names[1:] != names[:-1]])
+                start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), -1))
+                first = np.where(start >= 0, ids[start], first_id if first_id is not None else 0)
+                maps = [m if f else None for m, f in zip(more.take(pa.array(at)).to_pylist(), fresh.tolist(), strict=True)]
+                yield out(0, names, ids, first, k[at], pa.array(maps, pa.binary()))
+                last_key, first_id = names[-1], first[-1]
             if len(at := np.flatnonzero(k == -1)):
-                rows = np.concatenate([last, np.column_stack([a[at], c[at], b[at]])])
-                same = rows[1:, 0] == rows[:-1, 0]
-                alive = np.concatenate([[live], same]) | np.concatenate([same, [False]])
-                # The last row waits for the next batch.
-                some, first, last, live = rows[:-1][alive[:-1]], rows[0, 0] if live else None, rows[-1:], bool(alive[-1])
-                if len(some):
-                    some = some[np.lexsort((some[:, 2], some[:, 1], some[:, 0]))]
-                    # Rows of one class under one signature are one; a signature of one class is none, unless it goes on in another batch.
-                    some = some[np.concatenate([[True], (some[1:, :2] != some[:-1, :2]).any(axis=1)])]
-                    same = some[1:, 0] == some[:-1, 0]
-                    kept = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (some[:, 0] == last[0, 0])
-                    some = some[kept if first is None else kept | (some[:, 0] == first)]
-                    yield out(1, some[:, 0], some[:, 2], np.zeros(len(some), np.int32), pa.nulls(len(some), pa.binary()))
-        if live:
-            yield out(1, last[:, 0], last[:, 2], np.zeros(1, np.int32), pa.nulls(1, pa.binary()))
-        if held is not None:
-            yield classes(held)
-
-    return signed.repartition("a").sortWithinPartitions("a").mapInArrow(run, "kind int, x long, y long, n int, bits binary")
-
-
-def _packed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, z)``: the texts of some documents, compressed for shuffles."""
+                sigs, keys = a[at], b[at]
+                # Rows come sorted; those of one class under one signature are one.
+                new = np.concatenate([[sigs[0] != sig or keys[0] != key], (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1])])
+                sigs, keys = sigs[new], keys[new]
+                if not len(sigs):
+                    continue
+                fresh = np.concatenate([[sigs[0] != sig], sigs[1:] != sigs[:-1]])
+                start = np.maximum.accumulate(np.where(fresh, np.arange(len(sigs)), -1))
+                smallest = np.where(start >= 0, keys[start], centre if centre is not None else 0)
+                if waits and not fresh[0]:
+                    yield out(1, np.array([sig]), np.array([centre]), np.array([centre]), 0)
+                # The first row of a group counts if another follows; the last one waits for the next batch.
+                kept = ~fresh | np.concatenate([~fresh[1:], [False]])
+                if kept.any():
+                    yield out(1, sigs[kept], keys[kept], smallest[kept], 0)
+                sig, key, centre, waits = sigs[-1], keys[-1], smallest[-1], bool(fresh[-1])
+
+    rows = signed.repartition("a").sortWithinPartitions("a", "b")
+    return rows.mapInArrow(run, "kind int, x long, y long, z long, n int, bits binary")
+
+
+def _packed(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(key, z)``: one text of every set ``wanted(id, key)``, compressed for shuffles."""
 
     def rows(slices):
         pack = zstandard.ZstdCompressor(level=3).compress
         for part in slices:
-            yield [(doc, pack((text or "").encode())) for doc, text in part]
+            # An id may have rows with other texts.
+            yield [(key, pack((text or "").encode())) for key, text in part if key_of(shingles(text, words)) == key]
 
-    texts = docs.where(F.col("doc_id").isNotNull()).join(small(ids, 1_000_000), docs["doc_id"] == ids["id"], "left_semi")
-    return map_rows(texts.select("doc_id", "text"), rows, "id long, z binary").dropDuplicates(["id"])
+    texts = docs.join(small(wanted, 1_000_000), docs["doc_id"] == wanted["id"])
+    return map_rows(texts.select("key", "text"), rows, "key long, z binary").dropDuplicates(["key"])
 
 
 def _unpacked(z: bytes, words: int) -> np.ndarray:
     return shingles(zstandard.ZstdDecompressor().decompress(z).decode(), words)
 
 
-def _verified(pairs: DataFrame, packed: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that link."""
+PAIR = "a long, b long, part_a long, part_b long, id_a long, id_b long"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """``(part_a, part_b)`` of those pairs of ``PAIR`` that link."""
 
     def rows(slices):
         at, held = None, None
         for part in slices:
             out = []
-            for b, a, zb, za in part:
+            for b, zb, za, part_a, part_b in part:
                 if b != at:
                     at, held = b, _unpacked(zb, words)
                 if similar(held, _unpacked(za, words), threshold):
-                    out.append((a, b))
+                    out.append((part_a, part_b))
             if out:
                 yield out
 
-    first = packed.select(F.col("id").alias("a"), F.col("z").alias("za"))
-    second = packed.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    return map_rows(pairs.join(first, "a").join(second, "b").select("b", "a", "zb", "za"), rows, "a long, b long")
+    ends = [pairs.select(F.col(f"id_{x}").alias("id"), F.col(x).alias("key")) for x in "ab"]
+    packed = _packed(docs, ends[0].unionByName(ends[1]).dropDuplicates(["key"]), words)
+    first, second = (packed.select(F.col("key").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
+    return map_rows(pairs.join(first, "a").join(second, "b").select("b", "zb", "za", "part_a", "part_b"), rows, "part_a long, part_b long")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that ``may_link``."""
+    """Those of the pairs ``(a, b, part_a, part_b)`` that ``may_link``, as ``PAIR``."""
 
     def rows(slices):
         for part in slices:
-            yield [(a, b) for a, b, n, x, o, y in part if may_link(n, np.frombuffer(x, np.uint64), o, np.frombuffer(y, np.uint64), threshold)]
+            yield [(*row, ia, ib) for *row, ia, n, x, ib, o, y in part if may_link(n, np.frombuffer(x, np.uint64), o, np.frombuffer(y, np.uint64), threshold)]
 
-    first = classes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    second = classes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    first, second = (classes.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "bits")]) for x in "ab")
     sized = pairs.join(first, "a").join(second, "b").where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    return map_rows(sized.select("a", "b", "n_a", "bits_a", "n_b", "bits_b"), rows, "a long, b long")
+    return map_rows(sized.select("a", "b", "part_a", "part_b", "id_a", "n_a", "bits_a", "id_b", "n_b", "bits_b"), rows, PAIR)
 
 
 def _block_pairs(threshold: int):
@@ -309,7 +344,7 @@ def _block_pairs(threshold: int):
         _, b1, b2 = key
         if len(group) < 2:
             return []
-        own, ids, part, sizes = (np.array([g[i] for g in group], np.int64) for i in range(4))
+        own, keys, part, sizes = (np.array([g[i] for g in group], np.int64) for i in range(4))
         maps = [np.frombuffer(g[4], np.uint64) for g in group]
         words = min(map(len, maps))
         flat = np.array([folded(m, words) for m in maps])
@@ -320,96 +355,109 @@ def _block_pairs(threshold: int):
             near = ((100 + threshold) * apart <= (100 - threshold) * (n + o)) & (part[i + 1 :] != part[i]) & ((own[i + 1 :] != own[i]) | (b1 == b2))
             for j in (np.flatnonzero(near) + i + 1).tolist():
                 if may_link(int(n), maps[i], int(sizes[j]), maps[j], threshold):
-                    out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
+                    x, y = (i, j) if keys[i] > keys[j] else (j, i)
+                    out.append(tuple(int(v) for v in (keys[x], keys[y], part[x], part[y], group[x][5], group[y][5])))
         return out
 
     return made
 
 
-def _linked(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: int, pairwise: int, block: int, rounds: int) -> DataFrame:
-    """Links ``(a, b)`` whose components are those of all links."""
+def _needed(threshold: int):
+    """How many signatures links of a band share at least, as an expression over ``sig``."""
     last = len(bands(threshold)) - 1
-    least = [configuration(b, threshold)[1] for b in range(last)]
-    # How many signatures links of a band share at least.
-    needed = F.element_at(F.array(*[F.lit(least[min(b, last - 1)] if b != SINGLE else 1) for b in range(1 << BAND_BITS)]), (F.col("band") + 1).cast("int"))
-    band = F.expr(f"cast(sig & {(1 << BAND_BITS) - 1} as int)").alias("band")
-    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    tried = links = None
-    placed = live.withColumn("part", F.col("id"))
-    for number in range(rounds):
-        centre = placed.groupBy("sig").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("part").alias("other")), F.col("id") if not number else F.xxhash64("id", F.lit(number))).alias("m"), F.min("part").alias("p"), F.max("part").alias("q"))
-        met = placed.join(centre.where("p <> q").select("sig", "m.*"), "sig").where("id <> b and part <> other")
-        met = met.groupBy(F.col("id").alias("a"), "b", band).agg(F.count("*").alias("n")).where(F.col("n") >= needed)
-        stars = met.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-        stars = cut(_possible(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), classes, threshold))
-        found = cut(_verified(stars, _packed(docs, ends(stars)), words, threshold))
-        tried = stars if tried is None else tried.unionByName(stars)
-        links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-        placed = live.join(parts, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
-
-    open_ = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("sig", "size")
-    contested = cut(placed.join(open_, "sig").select("sig", "id", "part", "size", band))
-    hot = contested.where(F.col("size") > pairwise)
-    held = hot.groupBy("id", "band").agg(F.count("*").alias("hot"))
-    few = contested.where(F.col("size") <= pairwise)
-    other = few.select("sig", F.col("id").alias("b"), F.col("part").alias("other"))
+    least = [configuration(min(b, last), threshold)[1] if b != SINGLE else 1 for b in range(1 << BAND_BITS)]
+    return F.element_at(F.array(*map(F.lit, least)), F.expr(f"cast(sig & {(1 << BAND_BITS) - 1} as int) + 1"))
+
+
+def _linked(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: int, pairwise: int, block: int) -> DataFrame:
+    """``(id, component)`` of the keys that link with another one."""
+    needed = _needed(threshold).alias("needed")
+    # A class's signatures are bounded by its text, so its rows can meet in one task.
+    stars = live.where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b"), F.expr(f"sig & {(1 << BAND_BITS) - 1}").alias("band"), needed)
+    stars = stars.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
+    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    stars = cut(_possible(stars.select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), classes, threshold))
+    roots = forest_roots(_verified(stars, docs, words, threshold).toDF("a", "b"))
+
+    placed = live.select("sig", "key").join(roots.toDF("key", "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
+    groups = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("sig", "size")
+    band = F.expr(f"sig & {(1 << BAND_BITS) - 1}")
+    # ``hot``: how many large groups of the band a class is in.
+    hot = F.sum((F.col("size") > pairwise).cast("int")).over(Window.partitionBy("key", band))
+    contested = cut(placed.join(groups, "sig").select("sig", "key", "part", "size", hot.alias("hot"), needed))
+
+    few = contested.where(F.col("size") <= pairwise).groupBy("sig", "needed").agg(F.sort_array(F.collect_list(F.struct("key", "part", "hot"))).alias("g"))
     # At most ``pairwise`` rows a group, so at most half as many pairs for each row.
-    counted = few.withColumnRenamed("id", "a").join(other, "sig").where("a > b and part <> other").groupBy("a", "b", "band").agg(F.count("*").alias("n"))
-    counted = counted.join(held.withColumnsRenamed({"id": "a", "hot": "hot_a"}), ["a", "band"], "left").join(held.withColumnsRenamed({"id": "b", "hot": "hot_b"}), ["b", "band"], "left")
-    spare = F.coalesce(F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))), F.lit(0))
-    pairs = counted.where(F.col("n") + spare >= needed).select("a", "b").distinct()
+    pairs = few.select("sig", "needed", F.explode(F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> y.part <> x.part), y -> struct(y.key as a, x.key as b, y.part as part_a, x.part as part_b, least(x.hot, y.hot) as spare))))")).alias("p"))
+    pairs = pairs.select("p.*", band.alias("band"), "needed").groupBy("a", "b", "part_a", "part_b", "band").agg(F.count("*").alias("n"), F.first("spare").alias("spare"), F.first("needed").alias("needed"))
+    found = _possible(pairs.where("n + spare >= needed").select("a", "b", "part_a", "part_b"), classes, threshold)
     # Pairs that share large groups only: both have at least as many of these as links must share.
-    many = hot.join(held.where(F.col("hot") >= needed), ["id", "band"])
-    count = F.ceil(F.col("size") / block)
-    many = many.withColumns({"own": F.pmod(F.xxhash64("id"), count), "to": F.explode(F.sequence(F.lit(0).cast("long"), count - 1))})
-    many = many.select("sig", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "id", "part").join(classes.select("id", "n", "bits"), "id")
-    met = map_groups(many.select("sig", "b1", "b2", "own", "id", "part", "n", "bits"), ["sig", "b1", "b2"], _block_pairs(threshold), "a long, b long").distinct()
-    wanted = cut(_possible(pairs, classes, threshold).unionByName(met).distinct().join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(_verified(wanted, _packed(docs, ends(wanted)), words, threshold))
-
-
-def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", pairwise: int = 16, block: int = 512, rounds: int = 2) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row; ``threshold`` in hundredths."""
+    large = contested.where((F.col("size") > pairwise) & (F.col("hot") >= F.col("needed")))
+    if not large.isEmpty():
+        count = F.ceil(F.col("size") / block)
+        many = large.withColumns({"own": F.pmod(F.xxhash64("key"), count), "to": F.explode(F.sequence(F.lit(0).cast("long"), count - 1))})
+        many = many.select("sig", F.least("own", "to").alias("b1"), F.greatest("own", "to").alias("b2"), "own", "key", "part").join(classes, "key")
+        found = found.unionByName(map_groups(many.select("sig", "b1", "b2", "own", "key", "part", "n", "bits", "id"), ["sig", "b1", "b2"], _block_pairs(threshold), PAIR))
+    # Further links between two components change nothing.
+    links = _verified(cut(found.dropDuplicates(["a", "b"])), docs, words, threshold)
+    joined = connected_components(links.toDF("a", "b"))
+    return roots.join(joined.toDF("root", "component"), "root", "left").select("id", F.coalesce("component", "root").alias("component")).unionByName(joined)
+
+
+def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", pairwise: int = 16, block: int = 512, keyed: bool = False) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row; ``threshold`` in hundredths.
+
+    ``keyed`` adds the set's ``key``, which tells rows that share an id apart.
+    """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc_id is not null")
     rows = cut(_grouped(_signed(named, words, threshold)))
-    sets = rows.where("kind = 0").select(F.col("x").alias("id"), F.col("y").alias("class"), "n", "bits")
-    live = cut(rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("first")).join(sets.select(F.col("id").alias("first"), F.col("class").alias("id")), "first").select("sig", "id"))
-    classes = sets.where("id = class").select("id", "n", "bits").dropDuplicates(["id"])
-    parts = connected_components(_linked(live, classes, named, words, threshold, pairwise, block, rounds))
-    copies = rows.where("kind = 2").select(F.col("x").alias("id"), F.col("y").alias("first"), "n")
-    copies = copies.join(sets.select(F.col("id").alias("first"), "class").dropDuplicates(["first"]), "first", "left").select("id", F.coalesce("class", "id").alias("class"), "n")
-    every = sets.select("id", "class", "n").unionByName(copies).join(parts.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    # A copy that its task met after another one may still have the smallest id.
-    low = copies.groupBy("class").agg(F.min("id").alias("low")).join(parts.withColumnRenamed("id", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("low").alias("low"))
-    out = every.join(low, "component", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.least("component", "low").alias("component_id"))
-    return out.unionByName(_nameless(docs.where("doc_id is null"), id_col, words))
+    live = rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("z").alias("centre"))
+    sets = rows.where("kind <> 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
+    classes = rows.where("kind = 0 and bits is not null").select(F.col("x").alias("key"), F.col("y").alias("id"), "n", "bits")
+    parts = _linked(live, classes, named, words, threshold, pairwise, block)
+    placed = sets.where("n > 0").join(parts.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lows = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    every = placed.join(lows, "root").select("id", "n", "component_id", "key").unionByName(sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "key"))
+    out = every.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "key")
+    out = out.unionByName(_nameless(docs.where("doc_id is null"), id_col, words))
+    return out if keyed else out.drop("key")
 
 
-def _nameless(docs: DataFrame, id_col: str, words: int) -> DataFrame:
-    """Rows without an id: their numbers of shingles, and no component."""
+def _keys(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, text_hash, key, n)`` of rows of ``(doc_id, text)``."""
 
     def rows(slices):
         for part in slices:
-            yield [(None, len(shingles(text, words)), None) for (text,) in part]
+            yield [(doc, number, key_of(h), len(h)) for doc, number, h in ((d, x, shingles(t, words)) for d, x, t in part)]
 
-    return map_rows(docs.select("text"), rows, "doc_id long, n_shingles long, component_id long").withColumnRenamed("doc_id", id_col)
+    return map_rows(docs.select("doc_id", F.xxhash64("text"), "text"), rows, "doc_id long, text_hash long, key long, n long")
+
+
+def _nameless(docs: DataFrame, id_col: str, words: int) -> DataFrame:
+    """Rows without an id: their numbers of shingles, and no component."""
+    return _keys(docs, words).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), "key")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` with the smallest id of each component only; rows with a null id stay.
 
-    An id stays if one of its rows stands for a component; of rows with one id, one stays.
+    Of rows that share an id, one stays for each component that the id stands for.
     """
-    found = cut(components(docs, words, threshold, id_col, text_col))
-    stays = F.bool_or(F.col(id_col) == F.col("component_id"))
-    gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__gone")).agg(stays.alias("stays")).where("not stays").select("__gone")
-    out = docs.join(small(gone, 1_000_000), docs[id_col] == F.col("__gone"), "left_anti")
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    found = cut(components(docs, words, threshold, id_col, text_col, keyed=True).where(F.col(id_col).isNotNull()))
+    ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("rows"), F.bool_or(F.col(id_col) == F.col("component_id")).alias("stays"))
+    gone = cut(ids.where("not stays or rows > 1"))
+    out = docs.join(small(gone.select("__id"), 1_000_000), docs[id_col] == F.col("__id"), "left_anti")
+    repeated = gone.where("stays").select("__id")
     if repeated.isEmpty():
         return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    some = docs.join(small(repeated, 1_000_000), docs[id_col] == F.col("__id"), "left_semi")
+    keys = _keys(some.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), words)
+    stands = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("doc_id"), "key", "n_shingles")
+    chosen = keys.join(stands, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("text_hash").alias("__stands")).select(F.col("doc_id").alias("__id"), "__stands")
+    hashed = some.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
+    one = hashed.join(chosen, (hashed[id_col] == F.col("__id")) & (F.col("__hash") == F.col("__stands")), "left_semi")
+    return out.unionByName(one.dropDuplicates([id_col, "__hash"]).drop("__hash"))
 
 
 def op6_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
