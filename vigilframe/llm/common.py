@@ -113,17 +113,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = cut(small.where("a <> b").distinct())
 
 
-def forest_roots(parents: DataFrame) -> DataFrame:
-    """``parents(a, b)``, one row for each a and b < a, to ``(id, root)`` by doubling the steps."""
-    now = cut(parents)
-    while True:
-        up = now.select(F.col("a").alias("b"), F.col("b").alias("up"))
-        now = cut(now.join(up, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")))
-        if now.where("moved").isEmpty():
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        now = now.select("a", "b")
-
-
 def map_groups(df: DataFrame, keys: list[str], made: Callable, schema: str) -> DataFrame:
     """``made(key, rows)`` for each distinct value of the leading columns ``keys``.
 

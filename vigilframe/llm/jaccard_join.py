@@ -14,9 +14,9 @@ that runs out of partitions goes on in another partitioning and in the end with
 single shingles, so the join is exact.  A set is signed for its own band and, if a
 partner could be in the next one, for that.
 
-Candidates are found in two steps.  First each class is verified against the one
-class it shares most signatures with among the smallest keys of its signature
-groups, which joins dense groups at linear cost.  Then only groups that still hold
+Candidates are found in two steps.  First each class meets, in each of its
+signature groups, the class of the smallest key and the one of the next smaller
+key, which joins dense groups at linear cost.  Then only groups that still hold
 several components are searched: small ones pair by pair; in large ones only the
 classes with enough large groups to have all their shared signatures there, in
 pairs of blocks.  Parity bitmaps bound the difference of a pair from below and
@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import connected_components, cut, forest_roots, map_groups, map_rows, small, table
+from vigilframe.llm.common import connected_components, cut, map_groups, map_rows, small, table
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = 3
@@ -237,31 +237,29 @@ def _signed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
 
 
 def _grouped(signed: DataFrame) -> DataFrame:
-    """``(kind, x, y, z, n, bits)``: sets (0: key, id, first id of the task's stream; with the bitmap once per key),
-    signatures that several classes have (1: signature, key, smallest key) and copies (2: key, id)."""
-    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())])
+    """``(kind, x, y, z, w, n, bits)``: sets (0: key, id; with the bitmap once per key), signatures that several
+    classes have (1: signature, key, smallest key and next smaller key with it) and copies (2: key, id)."""
+    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "xyzw"), ("n", pa.int32()), ("bits", pa.binary())])
 
-    def out(kind: int, x, y, z, n, bits=None) -> pa.RecordBatch:
-        columns = [np.full(len(x), kind, np.int32), x, y, z, np.broadcast_to(np.int32(n), len(x)) if np.ndim(n) == 0 else n]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(x), pa.binary()) if bits is None else bits], schema=schema)
+    def out(kind: int, x, y, z=None, w=None, n=None, bits=None) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(x), kind, np.int32)), *(pa.nulls(len(x), pa.int64()) if c is None else pa.array(c) for c in (x, y, z, w))]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(x), pa.int32()) if n is None else pa.array(n), pa.nulls(len(x), pa.binary()) if bits is None else bits], schema=schema)
 
     def run(batches):
-        last_key, first_id = None, None
+        last_key = None
         sig, key, centre, waits = None, None, None, False
         for batch in batches:
             a, b, k = (batch.column(i).to_numpy() for i in range(3))
             more = batch.column(3)
             if len(at := np.flatnonzero(k < -1)):
                 keys = np.frombuffer(b"".join(more.take(pa.array(at)).to_pylist()), "<i8")
-                yield out(2, keys, b[at], b[at], -2 - k[at])
+                yield out(2, keys, b[at], n=-2 - k[at])
             if len(at := np.flatnonzero(k >= 0)):
-                names, ids = a[at], b[at]
+                names = a[at]
                 fresh = np.concatenate([[names[0] != last_key], names[1:] != names[:-1]])
-                start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), -1))
-                first = np.where(start >= 0, ids[start], first_id if first_id is not None else 0)
                 maps = [m if f else None for m, f in zip(more.take(pa.array(at)).to_pylist(), fresh.tolist(), strict=True)]
-                yield out(0, names, ids, first, k[at], pa.array(maps, pa.binary()))
-                last_key, first_id = names[-1], first[-1]
+                yield out(0, names, b[at], n=k[at], bits=pa.array(maps, pa.binary()))
+                last_key = names[-1]
             if len(at := np.flatnonzero(k == -1)):
                 sigs, keys = a[at], b[at]
                 # Rows come sorted; those of one class under one signature are one.
@@ -272,16 +270,17 @@ def _grouped(signed: DataFrame) -> DataFrame:
                 fresh = np.concatenate([[sigs[0] != sig], sigs[1:] != sigs[:-1]])
                 start = np.maximum.accumulate(np.where(fresh, np.arange(len(sigs)), -1))
                 smallest = np.where(start >= 0, keys[start], centre if centre is not None else 0)
+                before = np.where(fresh, keys, np.concatenate([[key if key is not None else 0], keys[:-1]]))
                 if waits and not fresh[0]:
-                    yield out(1, np.array([sig]), np.array([centre]), np.array([centre]), 0)
+                    yield out(1, *(np.array([v]) for v in (sig, key, key, key)))
                 # The first row of a group counts if another follows; the last one waits for the next batch.
                 kept = ~fresh | np.concatenate([~fresh[1:], [False]])
                 if kept.any():
-                    yield out(1, sigs[kept], keys[kept], smallest[kept], 0)
+                    yield out(1, sigs[kept], keys[kept], smallest[kept], before[kept])
                 sig, key, centre, waits = sigs[-1], keys[-1], smallest[-1], bool(fresh[-1])
 
     rows = signed.repartition("a").sortWithinPartitions("a", "b")
-    return rows.mapInArrow(run, "kind int, x long, y long, z long, n int, bits binary")
+    return rows.mapInArrow(run, "kind int, x long, y long, z long, w long, n int, bits binary")
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -372,16 +371,15 @@ def _needed(threshold: int):
 def _linked(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, threshold: int, pairwise: int, block: int) -> DataFrame:
     """``(id, component)`` of the keys that link with another one."""
     needed = _needed(threshold).alias("needed")
-    # A class's signatures are bounded by its text, so its rows can meet in one task.
-    stars = live.where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b"), F.expr(f"sig & {(1 << BAND_BITS) - 1}").alias("band"), needed)
-    stars = stars.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
-    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    stars = cut(_possible(stars.select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), classes, threshold))
-    roots = forest_roots(_verified(stars, docs, words, threshold).toDF("a", "b"))
+    band = F.expr(f"sig & {(1 << BAND_BITS) - 1}")
+    # At most two rows for each signature of a class.
+    met = live.where("key <> centre").select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("centre", "before"))).alias("b"), band.alias("band"), needed)
+    met = met.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
+    met = cut(_possible(met.select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), classes, threshold))
+    roots = cut(connected_components(_verified(met, docs, words, threshold).toDF("a", "b")))
 
     placed = live.select("sig", "key").join(roots.toDF("key", "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("part"))
     groups = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where("p <> q").select("sig", "size")
-    band = F.expr(f"sig & {(1 << BAND_BITS) - 1}")
     # ``hot``: how many large groups of the band a class is in.
     hot = F.sum((F.col("size") > pairwise).cast("int")).over(Window.partitionBy("key", band))
     contested = cut(placed.join(groups, "sig").select("sig", "key", "part", "size", hot.alias("hot"), needed))
@@ -401,7 +399,7 @@ def _linked(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, th
     # Further links between two components change nothing.
     links = _verified(cut(found.dropDuplicates(["a", "b"])), docs, words, threshold)
     joined = connected_components(links.toDF("a", "b"))
-    return roots.join(joined.toDF("root", "component"), "root", "left").select("id", F.coalesce("component", "root").alias("component")).unionByName(joined)
+    return roots.toDF("id", "root").join(joined.toDF("root", "component"), "root", "left").select("id", F.coalesce("component", "root").alias("component")).unionByName(joined.join(roots.select("id"), "id", "left_anti"))
 
 
 def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", pairwise: int = 16, block: int = 512, keyed: bool = False) -> DataFrame:
@@ -412,7 +410,7 @@ def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc_id is not null")
     rows = cut(_grouped(_signed(named, words, threshold)))
-    live = rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("z").alias("centre"))
+    live = rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("z").alias("centre"), F.col("w").alias("before"))
     sets = rows.where("kind <> 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
     classes = rows.where("kind = 0 and bits is not null").select(F.col("x").alias("key"), F.col("y").alias("id"), "n", "bits")
     parts = _linked(live, classes, named, words, threshold, pairwise, block)
