@@ -15,8 +15,8 @@ single shingles, so the join is exact.  A set is signed for its own band and, if
 partner could be in the next one, for that.
 
 Candidates are found in two steps.  First each class meets, in each of its
-signature groups, the class of the smallest key and the one of the next smaller
-key, which joins dense groups at linear cost.  Then only groups that still hold
+signature groups, the class of the smallest key and those of the ``NEXT`` next
+smaller ones, which joins dense groups at linear cost.  Then only groups that still hold
 several components are searched: small ones pair by pair; in large ones only the
 classes with enough large groups to have all their shared signatures there, in
 pairs of blocks.  Parity bitmaps bound the difference of a pair from below and
@@ -50,6 +50,7 @@ LEVELS = 3
 CELLS = 3
 #: The cells of each enumerated subset: all but one.
 SUBSETS = [[c for c in range(CELLS) if c != left_out] for left_out in range(CELLS)]
+NEXT = 3
 #: The lowest bits of a signature name its band; the last number is for signatures that are single shingles.
 BAND_BITS, SINGLE = 7, 127
 
@@ -152,8 +153,8 @@ def signatures(h: np.ndarray, threshold: int = 80) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Parity bitmap of a set, 2 to 4 bits a shingle: bit i is set if an odd number of shingles falls on it."""
-    bits = 64 << max(0, (2 * len(h) - 1).bit_length() - 6)
+    """Parity bitmap of a set, 4 to 8 bits a shingle: bit i is set if an odd number of shingles falls on it."""
+    bits = 64 << max(0, (4 * len(h) - 1).bit_length() - 6)
     odd = np.bincount((mix(h, 6) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -238,16 +239,19 @@ def _signed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
 
 def _grouped(signed: DataFrame) -> DataFrame:
     """``(kind, x, y, z, w, n, bits)``: sets (0: key, id; with the bitmap once per key), signatures that several
-    classes have (1: signature, key, smallest key and next smaller key with it) and copies (2: key, id)."""
-    schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in "xyzw"), ("n", pa.int32()), ("bits", pa.binary())])
+    classes have (1: signature, key, ``met``: the smallest key and the ``NEXT`` next smaller ones with it) and copies (2: key, id)."""
+    schema = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("met", pa.list_(pa.int64())), ("n", pa.int32()), ("bits", pa.binary())])
 
-    def out(kind: int, x, y, z=None, w=None, n=None, bits=None) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(x), kind, np.int32)), *(pa.nulls(len(x), pa.int64()) if c is None else pa.array(c) for c in (x, y, z, w))]
-        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(x), pa.int32()) if n is None else pa.array(n), pa.nulls(len(x), pa.binary()) if bits is None else bits], schema=schema)
+    def out(kind: int, x, y, met=None, n=None, bits=None) -> pa.RecordBatch:
+        size = len(x)
+        lists = pa.nulls(size, schema.field("met").type) if met is None else pa.ListArray.from_arrays(pa.array(np.arange(0, met.size + 1, met.shape[1], dtype=np.int32)), pa.array(met.reshape(-1)))
+        rest = [pa.nulls(size, pa.int32()) if n is None else pa.array(n), pa.nulls(size, pa.binary()) if bits is None else bits]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(x), pa.array(y), lists, *rest], schema=schema)
 
     def run(batches):
         last_key = None
-        sig, key, centre, waits = None, None, None, False
+        # The last rows seen: signatures, keys and the smallest key of their group; whether the last one waits for another.
+        sig, key, low, waits = *(np.zeros(0, np.int64) for _ in range(3)), False
         for batch in batches:
             a, b, k = (batch.column(i).to_numpy() for i in range(3))
             more = batch.column(3)
@@ -263,24 +267,35 @@ def _grouped(signed: DataFrame) -> DataFrame:
             if len(at := np.flatnonzero(k == -1)):
                 sigs, keys = a[at], b[at]
                 # Rows come sorted; those of one class under one signature are one.
-                new = np.concatenate([[sigs[0] != sig or keys[0] != key], (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1])])
-                sigs, keys = sigs[new], keys[new]
-                if not len(sigs):
+                new = np.concatenate([[not len(sig) or sigs[0] != sig[-1] or keys[0] != key[-1]], (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1])])
+                if not new.any():
                     continue
-                fresh = np.concatenate([[sigs[0] != sig], sigs[1:] != sigs[:-1]])
-                start = np.maximum.accumulate(np.where(fresh, np.arange(len(sigs)), -1))
-                smallest = np.where(start >= 0, keys[start], centre if centre is not None else 0)
-                before = np.where(fresh, keys, np.concatenate([[key if key is not None else 0], keys[:-1]]))
-                if waits and not fresh[0]:
-                    yield out(1, *(np.array([v]) for v in (sig, key, key, key)))
+                held = len(sig)
+                sigs, keys = np.concatenate([sig, sigs[new]]), np.concatenate([key, keys[new]])
+                fresh = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+                smallest = keys[np.maximum.accumulate(np.where(fresh, np.arange(len(sigs)), 0))]
+                if held:
+                    smallest[sigs == sig[0]] = low[0]
+                    smallest[sigs == sig[-1]] = low[-1]
+                met = [smallest]
+                for back in range(1, NEXT + 1):
+                    before = np.concatenate([keys[:back], keys[:-back]])[: len(keys)]
+                    same = np.concatenate([np.zeros(back, bool), sigs[back:] == sigs[:-back]])[: len(keys)]
+                    met.append(np.where(same, before, smallest))
                 # The first row of a group counts if another follows; the last one waits for the next batch.
                 kept = ~fresh | np.concatenate([~fresh[1:], [False]])
+                kept[:held] = False
+                if held and waits:
+                    kept[held - 1] = not fresh[held]
+                if held and not fresh[held]:
+                    kept[held] = True
                 if kept.any():
-                    yield out(1, sigs[kept], keys[kept], smallest[kept], before[kept])
-                sig, key, centre, waits = sigs[-1], keys[-1], smallest[-1], bool(fresh[-1])
+                    yield out(1, sigs[kept], keys[kept], np.stack(met, axis=1)[kept])
+                waits = bool(fresh[-1]) and keys[-1] == smallest[-1]
+                sig, key, low = sigs[-NEXT:], keys[-NEXT:], smallest[-NEXT:]
 
     rows = signed.repartition("a").sortWithinPartitions("a", "b")
-    return rows.mapInArrow(run, "kind int, x long, y long, z long, w long, n int, bits binary")
+    return rows.mapInArrow(run, "kind int, x long, y long, met array<long>, n int, bits binary")
 
 
 def _packed(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -372,9 +387,9 @@ def _linked(live: DataFrame, classes: DataFrame, docs: DataFrame, words: int, th
     """``(id, component)`` of the keys that link with another one."""
     needed = _needed(threshold).alias("needed")
     band = F.expr(f"sig & {(1 << BAND_BITS) - 1}")
-    # At most two rows for each signature of a class.
-    met = live.where("key <> centre").select(F.col("key").alias("a"), F.explode(F.array_distinct(F.array("centre", "before"))).alias("b"), band.alias("band"), needed)
-    met = met.groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
+    # A few rows for each signature of a class.
+    met = live.select(F.col("key").alias("a"), F.explode(F.array_distinct("met")).alias("b"), band.alias("band"), needed)
+    met = met.where("a <> b").groupBy("a", "b", "band").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed")
     met = cut(_possible(met.select("a", "b", F.col("a").alias("part_a"), F.col("b").alias("part_b")), classes, threshold))
     roots = cut(connected_components(_verified(met, docs, words, threshold).toDF("a", "b")))
 
@@ -410,7 +425,7 @@ def components(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc_id is not null")
     rows = cut(_grouped(_signed(named, words, threshold)))
-    live = rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("key"), F.col("z").alias("centre"), F.col("w").alias("before"))
+    live = rows.where("kind = 1").select(F.col("x").alias("sig"), F.col("y").alias("key"), "met")
     sets = rows.where("kind <> 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "n")
     classes = rows.where("kind = 0 and bits is not null").select(F.col("x").alias("key"), F.col("y").alias("id"), "n", "bits")
     parts = _linked(live, classes, named, words, threshold, pairwise, block)
