@@ -60,6 +60,17 @@ def test_language_id_rejects_texts_rather_than_ids(spark):
         assert sorted(r["text"] for r in stage(spark, docs, "").collect()) == clean
 
 
+def test_language_id_rejects_other_languages_and_names_the_rest(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rng = random.Random(4)
+    foreign = " ".join("".join(rng.choice("гджзклмнпрстфхцчшщ") for _ in range(7)) for _ in range(40))
+    own = docs.where("doc_id = 8").first()["text"]
+    more = spark.createDataFrame([(900, foreign, None, "s1", 1), (901, own, None, "s1", 1), (902, "Ж", None, "s1", 1)], docs.schema)
+    got = {r["doc_id"]: r["lang"] for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs.unionByName(more), folder).where("doc_id >= 900").collect()}
+    # A short text says too little to be rejected.
+    assert got.keys() == {901, 902} and got[901] == "yy" if docs.where("doc_id = 8").first()["lang"] == "yy" else got[901] == "xx"
+
+
 def test_near_copies_of_a_dense_group_keep_their_lines(spark):
     rng = random.Random(3)
     line = lambda: " ".join("".join(rng.choice("bdklmnaoei") for _ in range(5)) for _ in range(12))

@@ -374,6 +374,19 @@ def test_packing_covers_every_id_once(spark):
         total = int(part.length.sum())
         assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]] and total <= 2048 and total & (total - 1) == 0
     assert packing.pack(empty(spark), path).count() == 0
+    # Most documents stay whole.
+    assert len(pieces) < 2 * len(texts)
+
+
+def test_classes_take_whole_documents():
+    packer = packing.Packer(64, 0)
+    for i in range(6):
+        packer.add((i, 0, bytes(4 * 20), 20))
+    packer.add((6, 0, bytes(4 * 4), 4))
+    # Twenty tokens are of class 3: three documents a sequence, and a later one that fits in the gap.
+    assert [(r[0], r[2], r[5], r[6]) for r in packer.taken()] == [(0, 20, 0, 0), (1, 20, 0, 20), (2, 20, 0, 40), (6, 4, 0, 60)]
+    packer.end()
+    assert sorted(r[0] for r in packer.taken()) == [3, 4, 5] and not packer.missing - 4
 
 
 # op9

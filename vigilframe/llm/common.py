@@ -151,7 +151,7 @@ class Known:
     ``old`` goes, so common chunks stay and memory is bounded.
     """
 
-    def __init__(self, most: int = 900_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most, self.young, self.old = most, {}, {}
 
     def recall(self, chunks: set[str]) -> set[str]:

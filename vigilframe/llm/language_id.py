@@ -18,9 +18,11 @@ from and count as not held out.  Other columns are not read.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,32 +114,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(names, marks.T @ (inverse_root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch: int = 64, hashed: bool = False) -> DataFrame:
-    """``(id, held_out, lang_pred, score)`` for every row; only the text decides.
+def predicted(text: Column, model: Model, spark: SparkSession, batch: int = 64) -> Column:
+    """``struct<lang_pred, score, grams, evidence>`` of a text; only the text decides.
 
-    ``hashed`` adds ``text_hash``, which tells rows that share an id apart.
+    ``grams``: how many n-grams it has; ``evidence``: by how much they raise the best
+    language's margin above that of a text about which nothing is known.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
-    def rows(slices):
+    @F.pandas_udf("lang_pred string, score double, grams long, evidence double")
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for part in slices:
-            out = []
-            for start in range(0, len(part), batch):
-                some = part[start : start + batch]
-                held = [presence(text) if text and model.languages else None for _, _, _, text in some]
-                best = {}
+        for series in texts:
+            names, (scores, grams, evidence) = ["und"] * len(series), np.zeros((3, len(series)))
+            for start in range(0, len(series), batch):
+                some = series.iloc[start : start + batch].tolist()
+                held = [presence(text) if text and model.languages else None for text in some]
                 if at := [i for i, row in enumerate(held) if row is not None]:
-                    margins = model.margins(np.array([held[i] for i in at]))
+                    rows = np.array([held[i] for i in at])
+                    margins = model.margins(rows)
+                    where = np.array(at) + start
+                    grams[where], evidence[where] = rows.sum(axis=1), (margins - model.bias).max(axis=1)
                     for i, m in zip(at, margins, strict=True):
-                        best[i] = (model.languages[int(m.argmax())], min(1.0, max(0.0, (float(m.max()) + 1) / 2)))
-                out += [(doc, out_of, number, *best.get(i, ("und", 0.0))) for i, (doc, out_of, number, _) in enumerate(some)]
-            yield out
-
-    text = F.col(text_col).cast("string")
-    chosen = docs.select(F.col(id_col).cast("long"), held_out(id_col), F.xxhash64(text) if hashed else F.lit(None).cast("long"), text)
-    found = map_rows(chosen, rows, "doc_id long, held_out boolean, text_hash long, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
-    return found if hashed else found.drop("text_hash")
+                        names[start + i], scores[start + i] = model.languages[int(m.argmax())], min(1.0, max(0.0, (float(m.max()) + 1) / 2))
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "grams": grams.astype(np.int64), "evidence": evidence})
+
+    # Else a filter on the result could make Spark compute it twice.
+    return judge.asNondeterministic()(text.cast("string"))
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, held_out, lang_pred, score)`` for every row."""
+    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("held_out"), predicted(F.col(text_col), model, docs.sparkSession).alias("p"))
+    return chosen.select(id_col, "held_out", "p.lang_pred", "p.score")
 
 
 def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:

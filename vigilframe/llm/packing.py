@@ -1,12 +1,16 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences.
 
-A document is cut into pieces whose lengths are reciprocals of the capacity
-(2048/1, 2048/2, 2048/4, ...): full sequences first, then the binary digits of
-the rest.  Class ``2048/k`` fills its sequences with exactly ``k`` pieces, in any
-order and independently of all other classes, so no sequence has padding; the
-last, partly filled sequence of a class is split at the binary digits of its
-count, each part a power of two long.  Only counts per task and class are summed
-across workers; the pieces themselves never move to find their sequence.
+Each worker packs its own documents, without hearing of others.  A document of n
+tokens belongs to the reciprocal class k with capacity / (k + 1) < n <= capacity / k;
+a sequence of class k takes k documents of that class, whole.  The gap that they
+leave, less than capacity / (k + 1), is filled with later documents: with one that
+fits whole, or, when the open gaps together hold as much as a sequence, with one
+that is cut at their ends.  Longer documents give full sequences first; the rest is
+treated as a document.
+
+What a worker has left at its end (unfinished classes and sequences with a gap) is
+laid end to end and cut at the capacity, and the last cut at the binary digits of
+its length.  So all sequences are full or a power of two long: none has padding.
 
 Null and empty texts are one end token.  Repeated rows are packed once each.  An
 empty table gives an empty result.  Null ids are kept.  Other columns are not
@@ -18,15 +22,16 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections import deque
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import Known, cut, map_rows, table
+from vigilframe.llm.common import Known, map_rows, table
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, digit int, task long, place long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @functools.lru_cache(maxsize=2)
@@ -99,60 +104,116 @@ def encode_by_chunk(texts: list[str], path: str, known: Known) -> list[bytes]:
     return [b"".join(f) for f in found]
 
 
+class Packer:
+    """One worker's open sequences.  A piece is ``(document, start, ids as bytes, tokens of the document)``.
+
+    At most ``k`` pieces of class k wait, so the waiting ones hold ``capacity`` tokens a
+    class at most; the open gaps together hold less than two capacities.
+    """
+
+    def __init__(self, capacity: int, first: int) -> None:
+        self.capacity, self.number, self.done = capacity, first, []
+        self.waiting: dict[int, list[tuple]] = {}
+        self.gaps: deque[list] = deque()
+        self.missing = 0
+
+    def put(self, pieces: list[tuple]) -> None:
+        """A finished sequence."""
+        at = 0
+        for doc, start, ids, n in pieces:
+            length = len(ids) // 4
+            self.done.append((doc, start, length, zlib.crc32(ids), n, self.number, at))
+            at += length
+        self.number += 1
+
+    def add(self, piece: tuple) -> None:
+        doc, start, ids, n = piece
+        whole = 4 * self.capacity
+        while len(ids) >= whole:
+            self.put([(doc, start, ids[:whole], n)])
+            start, ids = start + self.capacity, ids[whole:]
+        if not ids:
+            return
+        size = len(ids) // 4
+        if self.gaps and (size <= self.gaps[0][1] or self.missing >= self.capacity):
+            self.fill((doc, start, ids, n))
+            return
+        k = self.capacity // size
+        group = self.waiting.setdefault(k, [])
+        group.append((doc, start, ids, n))
+        if len(group) == k:
+            del self.waiting[k]
+            gap = self.capacity - sum(len(x[2]) for x in group) // 4
+            if gap:
+                self.gaps.append([group, gap])
+                self.missing += gap
+            else:
+                self.put(group)
+
+    def fill(self, piece: tuple) -> None:
+        doc, start, ids, n = piece
+        while ids:
+            # While the gaps hold a capacity, they hold any piece.
+            group, gap = self.gaps[0]
+            part, ids = ids[: 4 * gap], ids[4 * gap :]
+            size = len(part) // 4
+            group.append((doc, start, part, n))
+            self.gaps[0][1] -= size
+            self.missing -= size
+            start += size
+            if size == gap:
+                self.gaps.popleft()
+                self.put(group)
+
+    def end(self) -> None:
+        """Finishes what is open."""
+        rest = [x for group, _ in self.gaps for x in group] + [x for k in sorted(self.waiting) for x in self.waiting[k]]
+        self.gaps.clear()
+        self.waiting.clear()
+        total = sum(len(x[2]) for x in rest) // 4
+        sizes = [self.capacity] * (total // self.capacity)
+        left = total % self.capacity
+        sizes += [1 << d for d in range(left.bit_length() - 1, -1, -1) if left >> d & 1]
+        queue = deque(rest)
+        for room in sizes:
+            held = []
+            while room:
+                doc, start, ids, n = queue.popleft()
+                part, ids = ids[: 4 * room], ids[4 * room :]
+                held.append((doc, start, part, n))
+                room -= len(part) // 4
+                if ids:
+                    queue.appendleft((doc, start + len(part) // 4, ids, n))
+            self.put(held)
+
+    def taken(self) -> list[tuple]:
+        out, self.done = self.done, []
+        return out
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: document, place in it, sequence and place there.
 
-    ``capacity`` must be a power of two.
+    ``capacity`` must be a power of two.  A sequence's number tells the worker's task
+    and the sequence's place in it, so nothing is shuffled.
     """
-    top = capacity.bit_length() - 1
-    if capacity != 1 << top:
+    if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     end = end_id.to_bytes(4, "little")
 
     def rows(slices):
-        task, placed, known = TaskContext.get().partitionId(), [0] * (top + 1), _KNOWN.setdefault(tokenizer_path, Known())
+        packer = Packer(capacity, TaskContext.get().partitionId() << 36)
+        known = _KNOWN.setdefault(tokenizer_path, Known())
         for part in slices:
-            out = []
             for (doc, _), ids in zip(part, encode_by_chunk([t or "" for _, t in part], tokenizer_path, known), strict=True):
-                ids += end
-                n = len(ids) // 4
-                rest = n % capacity
-                digits = [top] * (n // capacity) + [d for d in range(top - 1, -1, -1) if rest >> d & 1]
-                start = 0
-                for d in digits:
-                    stop = start + (1 << d)
-                    out.append((doc, start, 1 << d, zlib.crc32(ids[4 * start : 4 * stop]), n, d, task, placed[d]))
-                    placed[d] += 1
-                    start = stop
-            yield out
-
-    pieces = cut(map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, PIECES))
-    by_class = Window.partitionBy("digit")
-    counts = (
-        pieces.groupBy("digit", "task")
-        .agg(F.count("*").alias("n"))
-        .select("digit", "task", (F.sum("n").over(by_class.orderBy("task")) - F.col("n")).alias("before"), F.sum("n").over(by_class).alias("total"))
-    )
-    per = F.expr(f"shiftleft(1L, {top} - digit)")
-    numbered = (
-        pieces.join(counts, ["digit", "task"])
-        .withColumn("per", per)
-        .withColumn("number", F.col("before") + F.col("place"))
-        .withColumn("bin", F.expr("number div per"))
-        .withColumn("slot", F.expr("number % per"))
-        .withColumn("left_over", F.expr("total % per"))
-        .withColumn("part", F.when(F.expr("bin >= total div per"), F.expr("length(bin(left_over ^ slot))")).otherwise(0))
-    )
-    before = F.when(F.col("part") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(shiftright(left_over, part), part)"))
-    return numbered.select(
-        F.col("doc_id").alias(id_col),
-        "start",
-        "length",
-        "ids_crc32",
-        "doc_tokens",
-        ((F.col("bin") * (top + 1) + F.col("digit")) * (top + 2) + F.col("part")).cast("long").alias("sequence_id"),
-        ((F.col("slot") - before) * F.col("length")).cast("long").alias("offset"),
-    )
+                packer.add((doc, 0, ids + end, len(ids) // 4 + 1))
+            if packer.done:
+                yield packer.taken()
+        packer.end()
+        if packer.done:
+            yield packer.taken()
+
+    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, PIECES).withColumnRenamed("doc_id", id_col)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
