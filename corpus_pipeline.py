@@ -1,6 +1,7 @@
 """A cleaning pipeline over ``documents``: each stage works on all that the one before kept.
 
-Language ID rejects documents without a recognisable language; line dedup drops a
+Language ID rejects documents that the model takes for none of the languages and
+names the language of those without one; line dedup drops a
 source's boilerplate lines; the n-gram Jaccard join keeps one document of each
 group of near copies; the secret scan redacts what it reports; packing gives the
 token sequences of what is left.  A stage's result is written as Parquet in the
@@ -9,14 +10,13 @@ cluster's shared folder and read again as the next one's documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.llm import jaccard_join, language_id, line_dedup, packing, secret_scan
-from vigilframe.llm.common import small
+from vigilframe.llm.common import shared_folder
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -25,21 +25,25 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
     return out.select(*like.columns)
 
 
+#: A text of this many n-grams at least whose evidence for its best language is lower is in none of the languages.
+ENOUGH_GRAMS, LEAST_EVIDENCE = 40, 0.1
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a recognisable language; their rows stay as they are.
+    """Documents whose text the model takes for one of the learned languages.
 
-    The decision depends on the text alone, so it is joined by id and a hash of the
-    text.  A document without an id, and each one where no row tells a language to
-    learn, is judged by having a letter.
+    A text without a letter goes, and one that is long enough to judge and shows next
+    to nothing of any learned language (another script, random letters).  A document
+    without ``lang`` gets the predicted one; other columns stay.  Where no row tells a
+    language to learn, every text with a letter stays as it is.
     """
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     model = language_id.fit(docs)
     if not model.languages:
-        return docs.where(letter)
-    found = language_id.predict(docs, model, hashed=True)
-    rejected = found.where("lang_pred = 'und' and doc_id is not null").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    kept = docs.join(small(rejected, 1_000_000), (docs["doc_id"] == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
-    return kept.where(F.col("doc_id").isNotNull() | letter)
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    judged = docs.withColumn("__language", language_id.predicted(F.col("text"), model, spark))
+    foreign = (F.col("__language.grams") >= ENOUGH_GRAMS) & (F.col("__language.evidence") < LEAST_EVIDENCE)
+    kept = judged.where((F.col("__language.lang_pred") != "und") & ~foreign)
+    return kept.withColumn("lang", F.coalesce("lang", "__language.lang_pred")).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +82,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("pipeline")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
