@@ -99,14 +99,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     join, until every end is a leaf with one centre or a centre with leaves only.
     Each round is checkpointed, so a lost executor repeats one round.
     """
-    now = cut(_forest(edges).distinct())
+    # The exchange also keeps this Python step and one before it from running side by side in a task.
+    now = cut(_forest(edges.select("a", "b").distinct()))
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") < F.col("a")).alias("smaller"), (F.max("b") > F.first("a")).alias("larger"))
-        ends = cut(ends)
-        if ends.where("smaller > 1 or smaller > 0 and larger").isEmpty():
-            centres = ends.where("smaller = 0").select(F.col("a").alias("id"), F.col("a").alias("component"))
-            return ends.where("smaller > 0").select(F.col("a").alias("id"), F.col("m").alias("component")).unionByName(centres)
+        low, high = F.min("b"), F.max("b")
+        ends = cut(both.groupBy("a").agg(F.least(low, "a").alias("m"), F.max(F.when(F.col("b") < F.col("a"), F.col("b"))).alias("up"), (high > F.col("a")).alias("larger")))
+        if ends.where("up <> m or up is not null and larger").isEmpty():
+            centres = ends.where("up is null").select(F.col("a").alias("id"), F.col("a").alias("component"))
+            return ends.where("up is not null").select(F.col("a").alias("id"), F.col("m").alias("component")).unionByName(centres)
         large = now.join(ends.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.toDF("a", "b"))
