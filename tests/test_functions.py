@@ -44,11 +44,32 @@ def test_safe_urls(spark):
     assert dict(zip(URLS, values(spark, list(URLS), u["display_url"], u["display_domain"]), strict=True)) == URLS
 
 
-def test_quick_and_slow_urls_agree(spark):
-    urls = [f"http{s}://{h}{p}{q}" for s in ("", "s") for h in ("a.example.test", "x-1.test") for p in ("", "/", "/a", "/a/b2/", "/user/x", "/Token") for q in ("", "?a=1", "#z")]
-    u = U.safe_url(F.col("x"))
-    got = values(spark, urls, u["key"], u["display_url"], u["display_domain"])
-    assert got == [U._safe(x) for x in urls]
+def test_plain_paths_need_no_redaction(spark):
+    paths = {"": "", "/": "", "/a": "/a", "/a/b2/": "/a/b2/", "/user/x": "/user/redacted", "/Token": "/Token", "/to-ken/x": "/to-ken/redacted", "/key//x": "/key//redacted", "/a+b": "/a+b", "/50%zz": "/50%zz", "/é x": "/%C3%A9%20x", "/a%20b": "/a%20b", "/x;token;7/y": "/redacted/y"}
+    keys = {"/": "", "/é x": "/%C3%A9%20x"}
+    for tail in ("", "?a=1", "#z"):
+        u = U.safe_url(F.col("x"))
+        got = values(spark, [f"http://a.test{p}{tail}" for p in paths], u["key"], u["display_url"])
+        assert got == [(f"http://a.test{keys.get(p, p)}", f"hxxp://a[.]test{shown}") for p, shown in paths.items()]
+
+
+def test_ports_and_host_forms(spark):
+    cases = {"http://a.test:80": "hxxp://a[.]test:80", "http://a.test:": "hxxp://a[.]test", "http://a.test:99999": None, "http://a.test:x": None, "http://a..test": None, "http://a.test./": "hxxp://a[.]test[.]", "http://[::1": None, "http://[1:2]/": None, "HTTP://A.TEST": "hxxp://a[.]test", "http://" + "a" * 64 + ".test": None}
+    assert values(spark, list(cases), U.safe_url(F.col("x"))["display_url"]) == list(cases.values())
+
+
+def test_ipv6(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", ":1::2", "1::2:", "12345::", "g::1", "::ffff:192.0.2.1", "::256.0.0.1", "10:30", "fe80::a:b"]
+
+    def valid(x):
+        try:
+            return ipaddress.ip_address(x).version == 6
+        except ValueError:
+            return False
+
+    assert values(spark, texts, T.is_ipv6(F.col("x"))) == [valid(x) for x in texts]
 
 
 @pytest.mark.parametrize(("text", "clean"), [("  a\x00b​c   d\n", "a bc d"), ("", None), ("  　 ", None), ("x" * 9, "x" * 5)])

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilframe.functions.text import bound
+
 #: Words that make a brand's name in a host suspicious.
 CONTEXT_WORDS = (
     "access account atnaujinti auth bankas billing bank card cards claim client confirm delivery deposit draudimas identity invoice "
@@ -23,7 +25,7 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 
 
 @F.pandas_udf(T.StringType())
-def _to_ascii(values: pd.Series) -> pd.Series:
+def to_ascii(values: pd.Series) -> pd.Series:
     def one(host: str) -> str | None:
         try:
             return host.encode("idna").decode("ascii").lower()
@@ -44,10 +46,10 @@ def _fold(values: pd.Series) -> pd.Series:
 
 def normalize_domain(value: Column) -> Column:
     """Lower-case ASCII host without wildcard and final dot; null if it isn't one."""
-    bare = F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), r"^\*\.", ""), r"\.$", ""))
-    plain = bare.rlike(ASCII)
-    host = F.when(plain, bare).otherwise(_to_ascii(F.when(~plain, bare)))
-    return F.when((F.length(host) <= 253) & host.rlike(rf"^{_LABEL}(?:\.{_LABEL})+$"), host)
+    bare = F.lower(F.regexp_replace(F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), r"^\*\.|\.$", ""))
+    plain = value.rlike(ASCII)
+    host = F.when(plain, bare).otherwise(to_ascii(F.when(~plain, bare)))
+    return bound(host, lambda h: F.when((F.length(h) <= 253) & h.rlike(rf"^{_LABEL}(?:\.{_LABEL})+$"), h))
 
 
 def canonical(value: Column) -> Column:

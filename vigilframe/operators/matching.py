@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions.hosts import CONTEXT_WORDS, ancestors, canonical, deletions, fold_text, folded_host, hyphens, label_groups, normalize_domain, one_edit
+from vigilframe.plans.shared import cut
 
 #: Zones of a mail gateway that rewrites links; never a finding.
 REWRITE_ZONES = (
@@ -141,11 +142,12 @@ def _affix(token: str) -> str:
 def hosts_in_parts(hosts: DataFrame, registry: Registry, host: str = "host") -> DataFrame:
     """Distinct valid hosts that are not suppressed, with their label groups."""
     spark = hosts.sparkSession
-    clean = hosts.select(normalize_domain(F.col(host)).alias("domain")).where("domain is not null").distinct()
+    clean = cut(hosts.select(normalize_domain(F.col(host)).alias("domain")).where("domain is not null").distinct())
     clean = drop_below(clean, "domain", registry.suppressed(spark))
     clean = clean.withColumns({"suffix_n": suffix_labels(F.col("domain"), registry.suffixes), "folded": folded_host(F.col("domain"))})
     groups = clean.withColumn("groups", label_groups(F.col("domain"), F.col("folded"), F.col("suffix_n")))
-    return groups.withColumns({"parts": F.flatten("groups.parts"), "compacts": F.transform("groups", lambda g: F.array_join(g["parts"], "")), "hyphens": hyphens(F.col("domain"))})
+    # Read several times by ``score``.
+    return cut(groups).withColumns({"parts": F.flatten("groups.parts"), "compacts": F.transform("groups", lambda g: F.array_join(g["parts"], "")), "hyphens": hyphens(F.col("domain"))})
 
 
 def candidates(hosts: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -11,12 +11,20 @@ from vigilframe.functions.urls import safe_url, specificity
 from vigilframe.plans.shared import cut, first_of, side_by_side
 
 
+def ranged(raw: DataFrame, ranges: int = 64) -> DataFrame:
+    """Raw rows in ranges of ``seq``, so that what follows runs in as many tasks; ``_range`` numbers them."""
+    return raw.repartitionByRange(ranges, "seq").withColumn("_range", F.spark_partition_id())
+
+
 def prepare(raw: DataFrame, now: Column, screenshot: Column | None = None, reference: Column | None = None) -> DataFrame:
     """Raw signals (with their order in ``seq``) in published form; unusable rows go.
 
+    The rows are put in ranges first, so that reading few large files does not bound
+    the number of tasks.
+
     ``screenshot`` and ``reference``: expressions for the allow-listed addresses.
     """
-    rows = raw.withColumn("safe", safe_url(F.col("url"))).withColumn("source", clean_text(F.col("source"), 80))
+    rows = ranged(raw).withColumn("safe", safe_url(F.col("url"))).withColumn("source", clean_text(F.col("source"), 80))
     rows = rows.where(F.col("safe.key").isNotNull() & F.col("source").isNotNull())
     last = S.parsed_time(F.col("last_seen"), now)
     rows = rows.withColumn("lastSeen", F.when(last > now + F.expr("interval 5 minutes"), now).otherwise(last))
@@ -41,6 +49,7 @@ def prepare(raw: DataFrame, now: Column, screenshot: Column | None = None, refer
         F.array().cast("array<string>").alias("brandEvidence"),
         S.reasons(F.col("reason_codes")).alias("reasonCodes"),
         S.confidence(F.col("confidence")).alias("confidence"),
+        "_range",
     )
 
 
@@ -62,7 +71,7 @@ def merge(signals: DataFrame, most: int | None = None, ranges: int = 64) -> Data
     was before a row comes from totals of the ranges of ``seq`` before its own, and
     lists are reduced before they are collected, so no task holds all rows of an id.
     """
-    held = cut(signals.repartitionByRange(ranges, "seq").withColumn("_range", F.spark_partition_id()))
+    held = cut(signals if "_range" in signals.columns else ranged(signals, ranges))
     spans = held.groupBy("id", "_range").agg(F.max("lastSeen").alias("_last"), *[F.count(c).alias(f"_n_{c}") for c in FILLED])
     earlier = Window.partitionBy("id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("id", "_range", F.max("_last").over(earlier).alias("_earlier"), *[F.coalesce(F.sum(f"_n_{c}").over(earlier), F.lit(0)).alias(f"_had_{c}") for c in FILLED])

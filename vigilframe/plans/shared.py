@@ -4,18 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Materialise in the folder of ``spark.checkpoint.dir``; a temporary one only in a local session without that setting."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp("checkpoint")
+
+
 def first_of(rows: DataFrame, key: str, order: list[Column], salt: Column, most: int, parts: int = 64) -> DataFrame:
     """The first ``most`` rows of each ``key`` in ``order``: ranked in salted parts, then among the parts' first ones."""
     parted = rows.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)))
