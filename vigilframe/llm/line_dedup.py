@@ -2,7 +2,7 @@
 
 A line of a page is boilerplate when the share of its site's pages that contain
 it exceeds ``ratio`` and at least ``min_pages`` pages do.  Boilerplate lines go,
-all others stay in place.  Lines are compared without surrounding white space by
+all others stay in place.  Lines are compared without surrounding blanks (U+0020) by
 a 128-bit digest; blank lines are never counted or dropped.
 
 A site with ``n`` pages of ``m`` lines has at most ``m / ratio`` such lines, so

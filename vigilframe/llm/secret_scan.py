@@ -3,8 +3,8 @@
 Whole texts are searched for strong spans (assigned secrets, access identifiers,
 long hexadecimal runs) and for weak parts: account names, opaque mixed tokens and
 endpoints.  A weak part alone says nothing; an interval join of the parts of a
-document reports it only when complementary parts start within ``scope`` code
-points of it: an account needs a secret, an opaque token an identifier, an
+document reports it only when complementary parts lie within ``scope`` code points
+of it, from the end of one to the start of the other: an account needs a secret, an opaque token an identifier, an
 endpoint both.  Strong spans always stay.
 
 Null texts are empty and give no spans.  Repeated rows are searched each.  Spans
@@ -45,11 +45,14 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
         out += [(m.start(), 3, m.end()) for m in _ACCOUNT.finditer(text)]
         out += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
-    strong = sorted(out)
-    taken = [(a, b) for a, k, b in strong if k < BASE]
+    # Tokens and strong spans both come by start: the furthest end of the spans that begin before a token's end tells.
+    taken = sorted((a, b) for a, k, b in out if k < BASE)
+    at = reached = 0
     for m in _OPAQUE.finditer(text):
-        word = m[0]
-        if re.search("[a-z]", word) and re.search("[A-Z]", word) and not any(a < m.end() and m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reached = max(reached, taken[at][1])
+            at += 1
+        if reached <= m.start() and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]):
             out.append((m.start(), 4, m.end()))
     return sorted(out)
 
@@ -72,11 +75,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     found = map_rows(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), rows, f"doc_id long, text_hash long, base array<{SPAN}>, parts array<{SPAN}>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     part = found.where(F.expr(f"size(filter(parts, p -> p.kind >= {BASE})) > 0 and size(parts) > 1").alias("x")).select("row", F.explode("parts").alias("p")).select("row", "p.*")
-    block = F.col("start").cast("long")
-    near = part.select("row", F.col("start").alias("at"), _role("kind").alias("role"), F.floor(block / scope).alias("block"))
-    weak = part.where(f"kind >= {BASE}").withColumn("block", F.explode(F.array(*[F.floor(block / scope) + d for d in (-1, 0, 1)])))
-    # The inner interval join: parts of one row whose starts are at most ``scope`` apart.
-    met = weak.join(near, ["row", "block"]).where(f"abs(at - start) <= {scope}").groupBy("row", "start", "kind", "stop").agg(F.bit_or("role").alias("roles"))
+    blocks = lambda low, high: F.explode(F.expr(f"sequence(greatest({low}, 0) div {scope}, ({high}) div {scope})")).alias("block")
+    near = part.select("row", F.col("start").alias("at"), F.col("stop").alias("to"), _role("kind").alias("role"), blocks("start", "stop"))
+    weak = part.where(f"kind >= {BASE}").select("*", blocks(f"start - {scope}", f"stop + {scope}"))
+    # The inner interval join: parts of one row that are at most ``scope`` apart.
+    met = weak.join(near, ["row", "block"]).where(f"at - stop <= {scope} and start - to <= {scope}").groupBy("row", "start", "kind", "stop").agg(F.bit_or("role").alias("roles"))
     linked = met.where("(kind = 3 and roles & 2 = 2) or (kind = 4 and roles & 1 = 1) or (kind = 5 and roles & 3 = 3)")
     more = linked.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
     return found.join(more, "row", "left").select(
