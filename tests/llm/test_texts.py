@@ -157,6 +157,19 @@ def test_weak_parts_need_their_complements(spark):
     assert got == {0: ["account", "opaque"], 1: [], 2: ["access", "opaque", "endpoint"], 3: [], 4: ["access"], 5: ["account", "assign"]}
 
 
+def test_linking_equals_all_pairs(spark):
+    rng = random.Random(5)
+    parts = ["AKIA" + "Z9" * 8, "password=abcdefgh1234", "login: someone", "https://host.example:80", "aB3" * 9, "user=x" + "y" * 300, "0a" * 10]
+    texts = [(i, "".join(" " * rng.choice([1, 20, 90]) + rng.choice(parts) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan(docs(spark, texts)).collect()}
+    wanted = {3: lambda r: 2 in r, 4: lambda r: 1 in r, 5: lambda r: {1, 2} <= r}
+    role = {0: 2, 1: 1, 2: 2, 3: 1, 4: 2, 5: 4}
+    for i, text in texts:
+        spans = secret_scan.spans_of(text)
+        near = lambda s: {role[k] for a, k, b in spans if a - s[2] <= 200 and s[0] - b <= 200}  # noqa: B023, E731
+        assert got[i] == [s for s in spans if s[1] < 3 or wanted[s[1]](near(s))], text
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = docs(spark, [*EDGE, (20, "é password=abcdefabcdef0123 end"), (21, "login: bob and password=abcdefabcdef0123")])
     out = secret_scan.redact(rows)
@@ -392,6 +405,36 @@ def test_classes_take_whole_documents():
 # op9
 
 
+def plain_features(text):
+    """The features by their definitions, one word at a time."""
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”’‘…–—"
+    words = "".join(" " if c in marks else c for c in text.lower()).split()
+    places = [i for i, w in enumerate(words) if w in toxicity.LEXICON]
+    near = [i for i in places if any(0 <= j < len(words) and words[j] in toxicity.SECOND for j in range(i - 6, i + 7))]
+    n, size = len(words) or 1, len(text) or 1
+    runs = sum(a != b and b == c for a, b, c in zip(" " + text, text, text[1:], strict=False) if b in "!?#$%&*.")
+    shouted = [w for w in text.split() if w.isupper() and len(w) > 2]
+    ascii_marks = [c for c in text if c in marks and c.isascii()]
+    capitals = [c for c in text if c.isupper() and ord(c) < 0x250]
+    return {"words": len(words), "hits": len(places), "hit_share": len(places) / n, "hit_kinds": len({words[i] for i in places}), "near_share": len(near) / (len(places) or 1), "near_hits": len(near), "capitals": len(capitals) / size, "shouted": len(shouted) / n, "exclaims": text.count("!") / size, "questions": text.count("?") / size, "marks": len(ascii_marks) / size, "repeats": runs / n, "word_length": sum(map(len, words)) / n}
+
+
+def test_toxicity_features_equal_plain_ones():
+    rng = random.Random(8)
+    some = ["You", "idiot!!", "IDIOT", "the", "cat's", "moron.", "DU", "«dumm»", "...", "?!", "Élan", "a" * 40, "$$$", "your", "ok"]
+    for text in ["", "!", "LOUD WORDS " * 3, *(" ".join(rng.choice(some) for _ in range(rng.randint(1, 60))) for _ in range(200)), "calm " * 150_000 + "LOUD"]:
+        got = dict(zip(toxicity.NAMES, toxicity.features(text), strict=True))
+        want = plain_features(text)
+        assert {k: got[k] for k in want} == pytest.approx(want), text[:80]
+
+
+def test_toxicity_learns_one_text_of_an_id(spark):
+    rows = [(i, t) for i in range(40) for t in (["a calm text", "you stupid idiot"] if i == 3 else [f"you idiot {i}" if i % 2 else f"calm {i}"])]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    both = [sorted(map(tuple, toxicity.score(docs(spark, x), labels).collect())) for x in (rows, rows[::-1])]
+    assert both[0] == both[1]
+
+
 def test_toxic_texts_score_higher(spark):
     rng = random.Random(8)
     clean = lambda: " ".join(rng.choice(["river", "stone", "green", "walks", "house", "the", "of"]) for _ in range(60))

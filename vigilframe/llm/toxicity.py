@@ -12,7 +12,8 @@ Null texts count as empty; an empty text has all features 0 and a score like any
 other.  Labels that are null are ignored.  Repeated rows get equal scores.  With
 no label of one of the two classes every score is the share of label 1 (0 without
 labels).  Rows with a null id are scored, not learned from, and count as not held
-out.  Other columns are not read.
+out.  Of rows that share an id the smallest text is learned from.  Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -106,12 +107,12 @@ def features(text: str, stems: frozenset[str] = frozenset()) -> list[float]:
     plain = sum(w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") in LEXICON for w in low.split() if not w.isalpha()) if hidden else 0
     obfuscated = max(0, hidden - plain)
     capitals = size - len(text.translate(_NO_CAPITALS)) if text else 0
-    shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if capitals > 0.02 * size else 0
+    shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) if capitals else 0
     begun = _begun(words, stems) if stems else []
     bang, ask = text.count("!"), text.count("?")
     marks = size - len(text.translate(_NO_MARKS)) if text else 0
     return [
-        float(min(n, 100_000)),
+        float(n),
         float(len(at)),
         len(at) / max(n, 1),
         float(len({words[i] for i in at})),
@@ -165,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most ``most`` rows of two numbers by choice, so this side may be broadcast.
     sample = known.where(order < (1 << 30) * min(1.0, most / max(n, 1))).groupBy("doc_id").agg(F.max("label").alias("label"))
     learned = docs.join(F.broadcast(sample.limit(2 * most)), docs[id_col] == sample["doc_id"], "left_semi")
-    texts = cut(learned.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["doc_id"]).join(F.broadcast(sample.limit(2 * most)), "doc_id"))
+    texts = cut(learned.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(sample.limit(2 * most)), "doc_id"))
     calibrating = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0
     stems = learn_stems(texts.where(~calibrating))
     rows = cut(dense(texts, "doc_id", "text", stems).select("doc_id", "features").join(texts.select("doc_id", "label"), "doc_id"))
