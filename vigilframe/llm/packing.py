@@ -191,9 +191,12 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", remember: bool = True) -> DataFrame:
     """One row per piece: document, place in it, sequence and place there.
 
+    ``remember``: a worker keeps the chunks that it knows for its later tasks, which
+    is faster and holds up to about 100 MB.
+
     ``capacity`` must be a power of two.  A sequence's number tells the worker's task
     and the sequence's place in it, so nothing is shuffled.
     """
@@ -203,7 +206,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def rows(slices):
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
-        known = _KNOWN.setdefault(tokenizer_path, Known())
+        known = _KNOWN.setdefault(tokenizer_path, Known()) if remember else Known(50_000)
         for part in slices:
             for (doc, _), ids in zip(part, encode_by_chunk([t or "" for _, t in part], tokenizer_path, known), strict=True):
                 packer.add((doc, 0, ids + end, len(ids) // 4 + 1))
