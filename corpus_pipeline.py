@@ -66,7 +66,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # The workers also run the other stages, so they keep nothing.
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=False)
 
 
 STAGES = [
