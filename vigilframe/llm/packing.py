@@ -195,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """One row per piece: document, place in it, sequence and place there.
 
     ``remember``: a worker keeps the chunks that it knows for its later tasks, which
-    is faster and holds up to about 100 MB.
+    is faster and holds a few hundred MB.
 
     ``capacity`` must be a power of two.  A sequence's number tells the worker's task
     and the sequence's place in it, so nothing is shuffled.
