@@ -36,6 +36,21 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp("checkpoint")
 
 
+#: Bytes of an Arrow batch on its way to Python, where the session names no figure.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as a batch of long texts by rows alone has no useful bound.
+
+    A batch stands in the executor and in its worker, some of the time twice.  A figure
+    that the session was given stays.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, rows: Callable, schema: str, chars: int = 4_000_000) -> DataFrame:
     """``mapInArrow`` over slices of a few million characters.
 
@@ -46,6 +61,7 @@ def map_rows(df: DataFrame, rows: Callable, schema: str, chars: int = 4_000_000)
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bound_batches(df.sparkSession)
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import connected_components, cut, map_groups, map_rows, small, table
+from vigilframe.llm.common import bound_batches, connected_components, cut, map_groups, map_rows, small, table
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 LEVELS = 3
@@ -234,6 +234,7 @@ def _signed(docs: DataFrame, words: int, threshold: int) -> DataFrame:
             if sets:
                 yield made(sets, sigs)
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "a long, b long, k int, more binary")
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import map_rows, table
+from vigilframe.llm.common import bound_batches, map_rows, table
 
 WIDTH = 1 << 16
 GRAMS = 3
@@ -120,6 +120,7 @@ def predicted(text: Column, model: Model, spark: SparkSession, batch: int = 64)
     ``grams``: how many n-grams it has; ``evidence``: by how much they raise the best
     language's margin above that of a text about which nothing is known.
     """
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, grams long, evidence double")
