@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns the memory that a task has freed to the system: its worker lives on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, rows: Callable, schema: str, chars: int = 4_000_000) -> DataFrame:
     """``mapInArrow`` over slices of a few million characters.
 
@@ -84,6 +92,7 @@ def map_rows(df: DataFrame, rows: Callable, schema: str, chars: int = 4_000_000)
             for start in range(0, len(made), 20_000):
                 part = list(zip(*made[start : start + 20_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, out, strict=True)], schema=out)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import bound_batches, map_rows, table
+from vigilframe.llm.common import bound_batches, give_back, map_rows, table
 
 WIDTH = 1 << 16
 GRAMS = 3
@@ -139,6 +139,7 @@ def predicted(text: Column, model: Model, spark: SparkSession, batch: int = 64)
                     for i, m in zip(at, margins, strict=True):
                         names[start + i], scores[start + i] = model.languages[int(m.argmax())], min(1.0, max(0.0, (float(m.max()) + 1) / 2))
             yield pd.DataFrame({"lang_pred": names, "score": scores, "grams": grams.astype(np.int64), "evidence": evidence})
+        give_back()
 
     # Else a filter on the result could make Spark compute it twice.
     return judge.asNondeterministic()(text.cast("string"))
