@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilframe.llm import embedding_dedup, fingerprints, jaccard_join, language_id, license_scan, line_dedup, packing, secret_scan, sentencepiece_codec, toxicity
+from vigilframe.llm import embedding_dedup, fingerprints, hard_negatives, jaccard_join, language_id, license_scan, line_dedup, packing, secret_scan, sentencepiece_codec, spelling, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ QUERIES: dict[str, Query] = {
         packing.op8_harmonic_packing,
         toxicity.op9_toxicity_trees,
         license_scan.op10_license_scan,
+        url_filter.op11_url_filter,
+        spelling.op12_spelling_variants,
+        hard_negatives.op13_hard_negatives,
     )
 }
 
@@ -30,4 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_site_line_dedup": line_dedup.OP1_SQL,
     "op3_cross_polytope_dedup": embedding_dedup.OP3_SQL,
     "op6_partenum_jaccard": jaccard_join.OP6_SQL,
+    "op11_url_filter": url_filter.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
