@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions import signals as S
-from vigilframe.plans.shared import cut, first_of, side_by_side
 
 TRANSITIONS, RECENT, MOST_COUNT = 16, 64, 2_147_483_647
 EVENT = ("eventId", "signalId", "eventType", "observedAt", "domain", "brand", "sources", "status", "previousStatus", "confidence", "reasonCodes")
@@ -52,6 +51,32 @@ def new_events(events: DataFrame, stored: DataFrame) -> DataFrame:
     return events.dropDuplicates(["eventId"]).join(stored.select("eventId"), "eventId", "left_anti")
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """Per signal its newest transitions and event ids.
+
+    The newest of either kind are ranked first; Spark cuts each task's rows to as many
+    before it shuffles them, so a signal with most of the events is no task of its own.
+    """
+    moved = F.col("eventType") == "status-transition"
+    kept = rows.select("id", moved.alias("moved"), "observedAt", "eventId", *[F.when(moved, F.col(c)).alias(c) for c in ("previousStatus", "status", "sources", "reasonCodes")])
+    place = F.row_number().over(Window.partitionBy("id", "moved").orderBy(F.desc("observedAt"), F.desc("eventId")))
+    kept = kept.withColumn("_place", place).where(F.col("_place") <= RECENT)
+    transition = F.struct("observedAt", "eventId", "previousStatus", "status", "sources", "reasonCodes")
+    last = lambda c, n: F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(c)
+    out = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("moved") & (F.col("_place") <= TRANSITIONS), transition))).alias("statusTransitions"), F.array_sort(F.collect_list(F.struct("observedAt", "eventId"))).alias("_ids"))
+    return out.select("id", "statusTransitions", F.transform(last(F.col("_ids"), RECENT), lambda x: x["eventId"]).alias("recentEventIds"))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """Per signal its distinct sources and its first distinct reason codes, of which there is a fixed set."""
+    codes = F.transform("reasonCodes", lambda x, i: F.struct(F.lit(True).alias("code"), i.alias("pos"), x.alias("entry")))
+    sources = F.transform("sources", lambda x: F.struct(F.lit(False).alias("code"), F.lit(0).alias("pos"), x.alias("entry")))
+    each = rows.select("id", "observedAt", "eventId", F.explode(F.concat(codes, sources)).alias("e")).select("id", "observedAt", "eventId", "e.*")
+    once = each.groupBy("id", "code", "entry").agg(F.min(F.when(F.col("code"), F.struct("observedAt", "eventId", "pos"))).alias("at"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("code"), F.struct("at", "entry"))))
+    return once.groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("code"), F.col("entry")))).alias("sources"), F.slice(F.transform(ordered, lambda x: x["entry"]), 1, 16).alias("reasonCodes"))
+
+
 def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Per signal: first and last time, counts, latest status, transitions, recent events.
 
@@ -61,8 +86,7 @@ def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     rows = events.dropDuplicates(["eventId"])
     if summary is not None:
         rows = rows.join(summary.select(F.explode("recentEventIds").alias("eventId")), "eventId", "left_anti")
-    rows = cut(rows.withColumnRenamed("signalId", "id"))
-    newest = [F.desc("observedAt"), F.desc("eventId")]
+    rows = rows.withColumnRenamed("signalId", "id")
     main = rows.groupBy("id").agg(
         F.min("domain").alias("domain"),
         F.max("domain").alias("_domain"),
@@ -74,17 +98,8 @@ def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
         F.max_by("status", F.struct("observedAt", "eventId")).alias("latestStatus"),
         F.max("observedAt").alias("statusObservedAt"),
     )
-    # Lists are reduced before they are collected, so that a signal with most of the events is no task of its own.
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c])
-    sources = rows.select("id", F.explode("sources").alias("s")).distinct().groupBy("id").agg(F.array_sort(F.transform(F.collect_list(F.struct("s")), lambda x: x["s"])).alias("sources"))
-    codes = rows.select("id", "observedAt", "eventId", F.posexplode("reasonCodes").alias("_pos", "code")).groupBy("id", "code").agg(F.min(F.struct("observedAt", "eventId", "_pos")).alias("_at"))
-    codes = first_of(codes, "id", [F.col("_at")], F.col("code"), 16).groupBy("id").agg(listed("code").alias("reasonCodes"))
-    transition = F.struct("observedAt", "eventId", "previousStatus", "status", "sources", "reasonCodes")
-    moved = first_of(rows.where("eventType = 'status-transition'"), "id", newest, F.col("eventId"), TRANSITIONS).groupBy("id").agg(F.array_sort(F.collect_list(transition)).alias("statusTransitions"))
-    recent = first_of(rows.select("id", "observedAt", "eventId"), "id", newest, F.col("eventId"), RECENT)
-    recent = recent.withColumn("_at", F.col("observedAt")).groupBy("id").agg(listed("eventId").alias("recentEventIds"))
-    new = side_by_side("id", main, sources, codes, moved, recent)
-    new = new.withColumns({c: F.coalesce(c, F.array().cast(new.schema[c].dataType)) for c in ("sources", "reasonCodes", "statusTransitions", "recentEventIds")})
+    new = main.join(_newest(rows), "id").join(_entries(rows), "id", "left")
+    new = new.withColumns({c: F.coalesce(c, F.array().cast(new.schema[c].dataType)) for c in ("sources", "reasonCodes")})
     if summary is None:
         merged = new
     else:

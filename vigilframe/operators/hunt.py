@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.functions.hosts import normalize_domain
 from vigilframe.functions.urls import url_host
+from vigilframe.plans.shared import ranged
 
 
 def evidence(scans: DataFrame, matches: DataFrame, titles: DataFrame, verdicts: DataFrame, brand: str = "wanted") -> DataFrame:
@@ -19,8 +21,8 @@ def evidence(scans: DataFrame, matches: DataFrame, titles: DataFrame, verdicts:
     title_brand)``, ``verdicts(uuid, verdict_brand)``.
     """
     hosts = F.array_distinct(F.array_compact(F.array(*[url_host(F.col(c)) for c in ("page_url", "task_url", "d_page_url", "d_task_url")])))
-    seen = scans.select("uuid", brand, F.explode(hosts).alias("domain")).join(matches.select("domain", "brand"), "domain")
-    by_host = seen.groupBy("uuid", brand).agg(F.collect_set("brand").alias("host_brands"))
+    seen = scans.select("uuid", brand, F.explode(hosts).alias("_seen")).join(matches.select("domain", F.col("brand").alias("_host_brand")), normalize_domain(F.col("_seen")) == F.col("domain"))
+    by_host = seen.groupBy("uuid", brand).agg(F.collect_set("_host_brand").alias("host_brands"))
     out = scans.join(by_host, ["uuid", brand], "left").join(titles, F.coalesce("d_title", "title") == F.col("_title"), "left").join(verdicts, "uuid", "left")
     all_brands = F.array_compact(F.array_union(F.coalesce("host_brands", F.array().cast("array<string>")), F.array("title_brand", "verdict_brand")))
     return out.withColumns(
@@ -61,10 +63,10 @@ def evidence_labels(pivot: bool = False) -> Column:
 
 
 def pivots(signals: DataFrame, most: int = 3) -> DataFrame:
-    """The first distinct ``(brand, digest)`` of signals with title or verdict evidence, in the order of ``pos``."""
+    """``(brand, digest, n)``: the first distinct digests of signals with title or verdict evidence, numbered in the order of ``pos``."""
     strong = signals.where(F.arrays_overlap("brandEvidence", F.array(F.lit("title"), F.lit("verdict"))))
     each = strong.select("brand", "pos", F.posexplode("hashes").alias("i", "digest"))
-    return each.groupBy("brand", "digest").agg(F.min(F.struct("pos", "i")).alias("first")).orderBy("first", "brand", "digest").limit(most).select("brand", "digest")
+    return each.groupBy("brand", "digest").agg(F.min(F.struct("pos", "i")).alias("first")).orderBy("first", "brand", "digest").limit(most).withColumn("n", F.row_number().over(Window.orderBy("first", "brand", "digest"))).drop("first")
 
 
 def pivot_candidates(wanted: DataFrame, documents: DataFrame, per_pivot: int = 10) -> DataFrame:
@@ -74,15 +76,13 @@ def pivot_candidates(wanted: DataFrame, documents: DataFrame, per_pivot: int = 1
     return met.withColumn("_n", place).where(F.col("_n") <= per_pivot).drop("_n")
 
 
-def numbered_batches(rows: DataFrame, order: list[str], size: int = 20, buckets: int = 32) -> DataFrame:
+def numbered_batches(rows: DataFrame, order: list[str], size: int = 20) -> DataFrame:
     """Rows numbered by the batch of ``size`` they fall in, in an order: ranks within ranges plus the ranges' counts."""
-    from vigilframe.plans.shared import cut
-
-    ranged = cut(rows.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    held = ranged(rows, *order)
+    counts = held.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
-    return ranged.join(before, "_range").withColumn("batch", F.floor(rank / size)).drop("_range", "_before")
+    return held.join(before, "_range").withColumn("batch", F.floor(rank / size)).drop("_range", "_before")
 
 
 def _quoted(text: str) -> str:

@@ -109,12 +109,19 @@ class Registry:
         return spark.createDataFrame(sorted(rows.items()), "name string, brand string")
 
 
-def drop_below(rows: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
-    """Rows whose host is neither one of ``suffixes(suffix)`` nor below one.
+def flag_below(rows: DataFrame, host: str, suffixes: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a column that says whether the host is one of ``suffixes(suffix)`` or below one (a null host is not).
 
     The suffix condition becomes equality with one of the host's ancestors.
     """
     spread = rows.select(F.col(host).alias("_below")).distinct().withColumn("suffix", F.explode(ancestors(F.col("_below"))))
+    hit = spread.join(suffixes, "suffix", "left_semi").select("_below").distinct().withColumn(flag, F.lit(True))
+    return rows.join(hit, F.col(host) == F.col("_below"), "left").drop("_below").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def drop_below(rows: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
+    """Rows whose host is neither one of ``suffixes(suffix)`` nor below one."""
+    spread = rows.select(F.col(host).alias("_below")).distinct().withColumn("suffix", F.explode(ancestors(F.col("_below"))))
     hit = spread.join(suffixes, "suffix", "left_semi").select("_below").distinct()
     return rows.join(hit, F.col(host) == F.col("_below"), "left_anti")
 

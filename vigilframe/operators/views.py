@@ -7,6 +7,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilframe.plans.shared import ranged
+
 PAGE = 25
 
 
@@ -80,22 +82,16 @@ def newest_within(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return rows.orderBy(*order).limit(most)
 
 
-def within_budget(rows: DataFrame, size: Column, budget: int, order: list[Column], buckets: int = 64) -> DataFrame:
+def within_budget(rows: DataFrame, size: Column, budget: int, order: list[Column], used: str | None = None) -> DataFrame:
     """The longest prefix in ``order`` whose sizes add up to ``budget`` at most.
 
-    Prefix sums are taken per range of the first order column, with the ranges'
-    totals added before, so no task holds all rows.
+    Prefix sums are taken per range of the order, with the ranges' totals added
+    before, so no task holds all rows.  ``used`` names a column for the sums.
     """
-    sized = rows.withColumn("_size", size.cast("long"))
-    ranged = sized.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id())
-    return _prefix(ranged, order, budget)
-
-
-def _prefix(ranged: DataFrame, order: list[Column], budget: int) -> DataFrame:
-    from vigilframe.plans.shared import cut
-
-    held = cut(ranged)
+    held = ranged(rows.withColumn("_size", size.cast("long")), *order)
     totals = held.groupBy("_range").agg(F.sum("_size").alias("_sum"))
+    # As many rows as there are ranges.
     before = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
     running = F.col("_before") + F.sum("_size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return held.join(before, "_range").withColumn("_used", running).where(F.col("_used") <= budget).drop("_size", "_range", "_before", "_used")
+    kept = held.join(before.where(F.col("_before") <= budget), "_range").withColumn("_used", running).where(F.col("_used") <= budget)
+    return (kept.withColumn(used, F.col("_used")) if used else kept).drop("_size", "_range", "_before", "_used")

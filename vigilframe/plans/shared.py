@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,16 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp("checkpoint")
 
 
-def first_of(rows: DataFrame, key: str, order: list[Column], salt: Column, most: int, parts: int = 64) -> DataFrame:
-    """The first ``most`` rows of each ``key`` in ``order``: ranked in salted parts, then among the parts' first ones."""
-    parted = rows.withColumn("_part", F.pmod(F.xxhash64(salt), F.lit(parts)))
-    ranked = parted.withColumn("_place", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col("_place") <= most)
-    return ranked.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_place") <= most).drop("_part", "_place")
+def tasks(spark: SparkSession) -> int:
+    """Over how many parts work is dealt: the session's shuffle partitions, which grow with the cluster and its data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def side_by_side(key: str, main: DataFrame, *others: DataFrame) -> DataFrame:
-    """One row per ``key`` with the columns of all frames, each of which has at most one row per key."""
-    every = main
-    for other in others:
-        every = every.unionByName(other, allowMissingColumns=True)
-    return every.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != key])
+def ranged(rows: DataFrame, *order: str | Column, ranges: int | None = None) -> DataFrame:
+    """``rows`` in ranges of an order, numbered in ``_range``, and written, so that the numbers stay what they are."""
+    return cut(rows.repartitionByRange(ranges or tasks(rows.sparkSession), *order).withColumn("_range", F.spark_partition_id()))

@@ -327,11 +327,7 @@ def lookback_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, used FROM (SELECT doc_id, sum(strlen(text)) OVER (ORDER BY doc_id) AS used FROM documents) WHERE used <= 500000")
 def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
-    kept = views.within_budget(rows, F.col("bytes"), 500_000, [F.col("doc_id")], 8)
-    from pyspark.sql import Window
-
-    # A prefix within the budget is small by its definition; its running sums are shown.
-    return kept.select("doc_id", F.sum("bytes").over(Window.orderBy("doc_id")).alias("used"))
+    return views.within_budget(rows, F.col("bytes"), 500_000, [F.col("doc_id")], "used").select("doc_id", "used")
 
 
 @query("SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 25")
@@ -341,7 +337,7 @@ def second_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 20) AS BIGINT) AS batch FROM customer")
 def seed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hunt.numbered_batches(_read(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 20, 8)
+    return hunt.numbered_batches(_read(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 20)
 
 
 # Hunting

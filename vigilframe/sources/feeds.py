@@ -81,40 +81,70 @@ def hand_off(signals: DataFrame, allowed: list[str], passive: list[str], budget:
 
 
 UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: What a scan's search reply and its detail both tell; where the detail has a key, its value counts.
+TOLD_TWICE = {"country": "$.page.country", "asn": "$.page.asn", "asnname": "$.page.asnname", "ip": "$.page.ip", "time": "$.task.time"}
+
+
+def _item(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def _text(item: Column) -> Column:
+    """A variant's text without blanks around it; null if it is no text or blank."""
+    return F.when(F.schema_of_variant(item) == "STRING", F.nullif(F.trim(F.try_variant_get(item, "$", "string")), F.lit("")))
+
+
+def _integer(item: Column) -> Column:
+    return F.when(F.schema_of_variant(item) == "BIGINT", F.try_variant_get(item, "$", "bigint"))
 
 
 def scans(replies: DataFrame) -> DataFrame:
-    """Public scans of a search reply table ``(v variant, pos)``: uuid, addresses, title."""
-    get = lambda p, t="string": F.try_variant_get("v", p, t)
-    uuid = F.lower(F.coalesce(get("$._id"), get("$.task.uuid")))
-    rows = replies.where(get("$.task.visibility") == "public").select(uuid.alias("uuid"), "pos", get("$.page.url").alias("page_url"), get("$.task.url").alias("task_url"), get("$.task.time").alias("time"), get("$.page.title").alias("title"))
+    """Public scans of a search reply table ``(v variant, pos)``: uuid, addresses, title and what ``TOLD_TWICE`` names.
+
+    Columns ``phase`` and ``query``, which say what search a reply answers, stay.
+    """
+    at = lambda path: _text(_item(F.col("v"), path))
+    uuid = F.lower(F.coalesce(at("$._id"), at("$.task.uuid")))
+    kept = [c for c in ("phase", "query") if c in replies.columns]
+    rows = replies.where(at("$.task.visibility") == "public")
+    rows = rows.select(uuid.alias("uuid"), "pos", *kept, at("$.page.url").alias("page_url"), at("$.task.url").alias("task_url"), at("$.page.title").alias("title"), *[at(path).alias(c) for c, path in TOLD_TWICE.items()])
     return rows.where(F.col("uuid").rlike(f"^{UUID}$"))
 
 
+def _primary_digests(value: Column, page: Column) -> Column:
+    """Digests of the main HTML document: its address is the page's, its reply a success of 512 bytes or more."""
+    from vigilframe.functions.signals import hashes
+
+    def usable(r: Column) -> Column:
+        at = lambda path: _item(r, path)
+        address = F.coalesce(_text(at("$.response.response.url")), _text(at("$.request.request.url")))
+        kind = F.coalesce(_text(at("$.type")), _text(at("$.request.type")), _text(at("$.request.request.type")))
+        code = F.coalesce(_integer(at("$.response.response.status")), _integer(at("$.response.status")), F.lit(0))
+        sizes = [F.nullif(_integer(at(f"$.response.{n}")), F.lit(0)) for n in ("response.encodedDataLength", "response.dataLength", "size")]
+        html = F.contains(F.lower(_text(at("$.response.response.mimeType"))), F.lit("html"))
+        return F.coalesce((address == page) & code.between(200, 299) & html & (F.coalesce(F.lower(kind), F.lit("document")) == "document") & (F.coalesce(*sizes) >= 512), F.lit(False))
+
+    found = F.filter(F.try_variant_get(value, "$.data.requests", "array<variant>"), usable)
+    return F.slice(hashes(F.transform(found, lambda r: _text(_item(r, "$.response.hash")))), 1, 2)
+
+
 def details(replies: DataFrame, service: str) -> DataFrame:
-    """Public details of a detail table ``(uuid, v variant)``: page, hosting, verdict, primary documents.
+    """Public details of a detail table ``(uuid, v variant)``: page, verdict, primary documents.
 
-    ``service`` is the key of the service's own verdict.
+    ``service`` is the key of the service's own verdict.  What ``TOLD_TWICE`` names comes
+    as ``d_<name> struct<given, text>``; a given key counts even where it holds no text.
     """
-    get = lambda p, t="string": F.try_variant_get("v", p, t)
-    score = F.greatest(F.lit(-100), F.least(F.lit(100), F.coalesce(get(f"$.verdicts.{service}.score", "int"), F.lit(0))))
-    categories = F.transform(F.coalesce(get(f"$.verdicts.{service}.categories", "array<string>"), F.array().cast("array<string>")), F.lower)
-    phishing = F.array_contains(categories, "phishing")
-    response = "struct<url: string, status: int, mimeType: string, encodedDataLength: bigint, dataLength: bigint>"
-    requests = get("$.data.requests", f"array<struct<type: string, request: struct<type: string, request: struct<url: string>>, response: struct<hash: string, status: int, size: bigint, response: {response}>>>")
-    page = get("$.page.url")
-    primary = F.filter(
-        requests,
-        lambda r: (r["response"]["response"]["url"] == page) & r["response"]["response"]["status"].between(200, 299) & F.contains(F.lower(r["response"]["response"]["mimeType"]), F.lit("html"))
-        & F.coalesce(F.lower(F.coalesce(r["type"], r["request"]["type"])) == "document", F.lit(True)) & (F.coalesce(r["response"]["size"], r["response"]["response"]["dataLength"], r["response"]["response"]["encodedDataLength"], F.lit(0)) >= 512),
-    )
-    from vigilframe.functions.signals import hashes
-
-    digests = F.slice(hashes(F.transform(F.coalesce(primary, F.expr("slice(array(null), 1, 0)")), lambda r: r["response"]["hash"])), 1, 2)
-    rows = replies.where(get("$.task.visibility") == "public")
+    v = F.col("v")
+    verdict = lambda path: _item(v, f"$.verdicts.{service}.{path}")
+    whole = F.coalesce(_integer(verdict("score")), F.lit(0))
+    texts = lambda path: F.transform(F.coalesce(F.try_variant_get(verdict(path), "$", "array<variant>"), F.expr("cast(array() as array<variant>)")), lambda x: x)
+    phishing = F.exists(texts("categories"), lambda x: F.coalesce(F.lower(_text(x)) == "phishing", F.lit(False)))
+    malicious = F.coalesce(F.when(F.schema_of_variant(verdict("malicious")) == "BOOLEAN", F.try_variant_get(verdict("malicious"), "$", "boolean")), F.lit(False))
+    page = _text(_item(v, "$.page.url"))
+    rows = replies.where(_text(_item(v, "$.task.visibility")) == "public")
     return rows.select(
-        F.lower("uuid").alias("uuid"), page.alias("d_page_url"), get("$.task.url").alias("d_task_url"), get("$.page.title").alias("d_title"), get("$.page.country").alias("country"),
-        F.nullif(F.concat_ws(" · ", F.nullif(F.concat_ws(" ", get("$.page.asn"), get("$.page.asnname")), F.lit("")), get("$.page.ip")), F.lit("")).alias("host"),
-        (F.coalesce(get(f"$.verdicts.{service}.malicious", "boolean"), F.lit(False)) | (score > 0) | phishing).alias("malicious"), phishing.alias("phishing"), score.alias("score"),
-        F.transform(F.coalesce(get(f"$.verdicts.{service}.brands", "array<struct<name: string>>"), F.expr("cast(array() as array<struct<name: string>>)")), lambda b: b["name"]).alias("verdict_brands"), digests.alias("digests"),
+        F.lower("uuid").alias("uuid"), page.alias("d_page_url"), _text(_item(v, "$.task.url")).alias("d_task_url"), _text(_item(v, "$.page.title")).alias("d_title"),
+        (malicious | (whole > 0) | phishing).alias("malicious"), phishing.alias("phishing"), F.greatest(F.lit(-100), F.least(F.lit(100), whole)).cast("int").alias("score"),
+        F.array_compact(F.transform(texts("brands"), lambda x: _text(_item(x, "$.name")))).alias("verdict_brands"), _primary_digests(v, page).alias("digests"),
+        *[F.struct(_item(v, path).isNotNull().alias("given"), _text(_item(v, path)).alias("text")).alias(f"d_{c}") for c, path in TOLD_TWICE.items()],
     )
