@@ -19,7 +19,8 @@ def prepare(raw: DataFrame, now: Column, screenshot: Column | None = None, refer
 
     ``screenshot`` and ``reference``: expressions for the allow-listed addresses.
     """
-    rows = raw.repartition(tasks(raw.sparkSession), "seq").withColumn("safe", safe_url(F.col("url"))).withColumn("source", clean_text(F.col("source"), 80))
+    # Exploded, as what a generator gives is computed once, however often filters and columns name it.
+    rows = raw.repartition(tasks(raw.sparkSession), "seq").select("*", F.explode(F.array(safe_url(F.col("url")))).alias("safe")).withColumn("source", clean_text(F.col("source"), 80))
     rows = rows.where(F.col("safe.key").isNotNull() & F.col("source").isNotNull())
     last = S.parsed_time(F.col("last_seen"), now)
     rows = rows.withColumn("lastSeen", F.when(last > now + F.expr("interval 5 minutes"), now).otherwise(last))
