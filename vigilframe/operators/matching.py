@@ -11,13 +11,13 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions.hosts import CONTEXT_WORDS, ancestors, canonical, deletions, fold_text, folded_host, hyphens, label_groups, normalize_domain, one_edit
+from vigilframe.functions.suffixes import rule_table, suffix_sizes
 from vigilframe.plans.shared import cut
 
 #: Zones of a mail gateway that rewrites links; never a finding.
@@ -47,6 +47,7 @@ def _parts(alias: str) -> list[str]:
 class Registry:
     entries: tuple[Brand, ...]
     reviewed_at: str = ""
+    #: Rules of public suffixes (``functions.suffixes``); without any, a suffix is one label.
     suffixes: tuple[str, ...] = field(default=())
 
     def check(self) -> Registry:
@@ -126,13 +127,12 @@ def drop_below(rows: DataFrame, host: str, suffixes: DataFrame) -> DataFrame:
     return rows.join(hit, F.col(host) == F.col("_below"), "left_anti")
 
 
-def suffix_labels(host: Column, suffixes: Sequence[str] = ()) -> Column:
-    """Labels of a host's public suffix: the longest of the listed ones that it ends in, else 1."""
-    out = F.lit(1)
-    for n in sorted({s.count(".") + 1 for s in suffixes}):
-        some = [s for s in suffixes if s.count(".") + 1 == n]
-        out = F.when(F.substring_index(host, ".", -n).isin(some), n).otherwise(out)
-    return out
+def with_suffix(rows: DataFrame, registry: Registry, host: str) -> DataFrame:
+    """``rows`` with ``suffix_n``, the labels of a host's public suffix by the registry's rules; 1 where no rule fits."""
+    if not registry.suffixes:
+        return rows.withColumn("suffix_n", F.lit(1))
+    sizes = suffix_sizes(rows, rule_table(rows.sparkSession, registry.suffixes), host).withColumnRenamed("host", "_suffixed")
+    return rows.join(sizes, F.col(host) == F.col("_suffixed"), "left").drop("_suffixed").withColumn("suffix_n", F.coalesce("suffix_n", F.lit(1)))
 
 
 _WORDS = ", ".join(f"'{w}'" for w in CONTEXT_WORDS)
@@ -151,7 +151,7 @@ def hosts_in_parts(hosts: DataFrame, registry: Registry, host: str = "host") ->
     spark = hosts.sparkSession
     clean = cut(hosts.select(normalize_domain(F.col(host)).alias("domain")).where("domain is not null").distinct())
     clean = drop_below(clean, "domain", registry.suppressed(spark))
-    clean = clean.withColumns({"suffix_n": suffix_labels(F.col("domain"), registry.suffixes), "folded": folded_host(F.col("domain"))})
+    clean = with_suffix(clean, registry, "domain").withColumn("folded", folded_host(F.col("domain")))
     groups = clean.withColumn("groups", label_groups(F.col("domain"), F.col("folded"), F.col("suffix_n")))
     # Read several times by ``score``.
     return cut(groups).withColumns({"parts": F.flatten("groups.parts"), "compacts": F.transform("groups", lambda g: F.array_join(g["parts"], "")), "hyphens": hyphens(F.col("domain"))})
@@ -290,8 +290,13 @@ def scope(rows: DataFrame, matches: DataFrame, registry: Registry, host: str = "
     kept = drop_below(rows.withColumn("_host", normalize_domain(F.col(host))).where("_host is not null"), "_host", registry.suppressed(spark).withColumnRenamed("suffix", "suffix"))
     kept = declared_brand(kept, registry, brand).join(one, F.col("_host") == F.col("_d"), "left").where("brands is null or brands = 1")
     kept = kept.where("canonical_brand is null or _match is null or canonical_brand = _match").withColumn(brand, F.coalesce("canonical_brand", "_match")).where(F.col(brand).isNotNull())
-    excluded = registry.aliases(spark).groupBy(F.col("brand").alias("_b")).agg(F.first("excluded").alias("excluded"))
-    kept = kept.withColumn("_folded", folded_host(F.col("_host")))
-    kept = kept.withColumn("_groups", label_groups(F.col("_host"), F.col("_folded"), suffix_labels(F.col("_host"), registry.suffixes))).join(excluded, F.col(brand) == F.col("_b"), "left")
+    return drop_collisions(kept, registry, "_host", brand).select(rows.columns)
+
+
+def drop_collisions(rows: DataFrame, registry: Registry, host: str, brand: str) -> DataFrame:
+    """Rows whose host holds no term that was reviewed as no sign of their brand."""
+    excluded = registry.aliases(rows.sparkSession).groupBy(F.col("brand").alias("_b")).agg(F.first("excluded").alias("excluded"))
+    kept = with_suffix(rows, registry, host).withColumn("_folded", folded_host(F.col(host)))
+    kept = kept.withColumn("_groups", label_groups(F.col(host), F.col("_folded"), F.col("suffix_n"))).join(excluded, F.col(brand) == F.col("_b"), "left")
     held = F.concat(F.flatten("_groups.parts"), F.transform("_groups", lambda g: F.array_join(g["parts"], "")))
-    return kept.where(~F.coalesce(F.arrays_overlap("excluded", held), F.lit(False))).select(rows.columns)
+    return kept.where(~F.coalesce(F.arrays_overlap("excluded", held), F.lit(False))).drop("_folded", "_groups", "_b", "excluded", "suffix_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vigilframe.functions.text import refang
@@ -67,28 +67,65 @@ def check_size(rows: int, previous: int | None, settings: Settings, allow_small:
 
 @dataclass(frozen=True)
 class Result:
+    """A snapshot, the events of its publication, the prepared rows and, per named source, what became of its rows."""
+
     snapshot: DataFrame
     events: DataFrame
     prepared: DataFrame
+    counts: DataFrame | None = None
+
+
+def exclusion_note(note: Column, excluded: Column) -> Column:
+    """A source's note with the number of rows that the scope left out, if any."""
+    some = F.concat(excluded.cast("string"), F.when(excluded == 1, " non-registry target excluded").otherwise(" non-registry targets excluded"))
+    return F.when(excluded > 0, F.concat_ws("; ", F.nullif(note, F.lit("")), some)).otherwise(note)
+
+
+def _counted(rows: DataFrame, sources: list[str], name: str) -> tuple[DataFrame, Observation]:
+    """``rows`` and what will tell, once they are computed, how many each source has."""
+    seen = Observation(name)
+    return rows.observe(seen, *[F.count_if(F.col("source").eqNullSafe(F.lit(s))).alias(f"n{i}") for i, s in enumerate(sources)]), seen
 
 
-def synchronise(raw: DataFrame, registry: matching.Registry, suppressions: DataFrame, now: Column, old: DataFrame | None = None, previous: DataFrame | None = None, settings: Settings = Settings()) -> Result:
+def synchronise(
+    raw: DataFrame,
+    registry: matching.Registry,
+    suppressions: DataFrame,
+    now: Column,
+    old: DataFrame | None = None,
+    previous: DataFrame | None = None,
+    settings: Settings = Settings(),
+    sources: list[str] | None = None,
+) -> Result:
     """Scope, normalise, suppress and merge raw signals, and derive the events.
 
-    ``old``: rows that ``retained`` kept.  ``previous(id, latestStatus)``: statuses of the history.
+    ``screenshot_url`` and ``reference_url`` of the rows must be allow-listed before
+    (``urls.allowed_report``).  ``old``: rows that ``retained`` kept; they count after all new ones.
+    ``previous(id, latestStatus)``: statuses of the history.  ``sources``: names whose
+    accepted and excluded rows are counted, in the pass that filters them.
     """
     spark = raw.sparkSession
     hosted = raw.withColumn("_host", url_host(F.col("url")))
     matches = cut(matching.score(hosted.where("_host is not null"), registry, "_host"))
-    scoped = matching.scope(hosted.where("_host is not null"), matches, registry, "_host", "brand")
-    prepared = cut(review.drop_suppressed(merge.prepare(scoped, now), suppressions))
+    counted, before = _counted(hosted, sources, "before") if sources else (hosted, None)
+    scoped = matching.scope(counted.where("_host is not null"), matches, registry, "_host", "brand")
+    reports = [F.col(c) if c in raw.columns else None for c in ("screenshot_url", "reference_url")]
+    kept = review.drop_suppressed(merge.prepare(scoped, now, *reports), suppressions)
+    if not sources:
+        prepared, counts = cut(kept), None
+    else:
+        kept, after = _counted(kept.withColumn("source", F.get("sources", F.lit(0))), sources, "after")
+        prepared = cut(kept).drop("source")
+        told = [(s, after.get[f"n{i}"], before.get[f"n{i}"] - after.get[f"n{i}"]) for i, s in enumerate(sources)]
+        counts = spark.createDataFrame(told, "source string, accepted long, excluded long").withColumn("note", exclusion_note(F.lit(None).cast("string"), F.col("excluded")))
     rows = prepared
     if old is not None:
-        past = matching.scope(old.withColumn("_host", refang(F.col("domain"))), cut(matching.score(old.withColumn("_host", refang(F.col("domain"))), registry, "_host")), registry, "_host", "brand")
+        named = old.withColumn("_host", refang(F.col("domain")))
+        past = matching.scope(named, cut(matching.score(named, registry, "_host")), registry, "_host", "brand")
         rows = rows.unionByName(review.drop_suppressed(past, suppressions).drop("_host").withColumn("seq", F.lit(1 << 60)), allowMissingColumns=True)
     snapshot = cut(merge.merge(rows, settings.max_signals))
     known = previous if previous is not None else spark.createDataFrame([], "id string, latestStatus string")
-    return Result(snapshot, history.build_events(prepared, snapshot, known), prepared)
+    return Result(snapshot, history.build_events(prepared, snapshot, known), prepared, counts)
 
 
 def source_states(names: list[str], results: DataFrame, snapshot: DataFrame) -> DataFrame:

@@ -445,7 +445,7 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "f.status", F.col("f.ageSeconds").alias("age"))
 
 
-@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'failed' WHEN count(*) FILTER (event_type = 'view') = 0 THEN 'no-input' WHEN count(*) < 54 THEN 'partial' WHEN count(*) FILTER (value > 200) = 0 THEN 'healthy-no-matches' ELSE 'healthy-with-matches' END AS outcome FROM events GROUP BY user_id""")
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'failed' WHEN count(*) FILTER (event_type = 'view') = 0 THEN 'no-input' WHEN count(*) < 54 THEN 'partial' WHEN count(*) FILTER (value > 200) = 0 THEN 'healthy-empty' ELSE 'healthy-matches' END AS outcome FROM events GROUP BY user_id""")
 def collection_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = lambda k: F.count_if(F.col("event_type") == k)
     rows = _read(spark, sf_dir, "events").groupBy("user_id").agg(kind("view").alias("m"), F.count_if(F.col("value") > 200).alias("x"), F.count("*").alias("n"), kind("error").alias("e"))

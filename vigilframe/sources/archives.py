@@ -154,20 +154,3 @@ def write_days(rows: DataFrame, root: str, overwrite: bool = False) -> None:
     """Rows into Parquet folders by ``day``; ``overwrite`` replaces just the days that the rows have."""
     writer = rows.write.partitionBy("day")
     (writer.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else writer.mode("append")).parquet(root)
-
-
-def write_changed(rows: DataFrame, path: str) -> bool:
-    """Replace a table by ``rows`` unless it already holds just them; whether it was written."""
-    spark = rows.sparkSession
-    try:
-        old = spark.read.parquet(path).select(rows.columns)
-        same = rows.exceptAll(old).isEmpty() and old.exceptAll(rows).isEmpty()
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        same = False
-    if not same:
-        from vigilframe.plans.shared import cut
-
-        cut(rows).write.mode("overwrite").parquet(path)
-    return not same
