@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -44,6 +45,18 @@ def _fold(values: pd.Series) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_words(values: pd.Series) -> pd.Series:
+    return values.map(lambda text: [w for part in re.split(r"[^\w]+", text) if (w := fold_text(part))], na_action="ignore")
+
+
+def canonical_words(value: Column) -> Column:
+    """The words of a text, each as ``canonical`` gives it; those of which nothing is left go."""
+    plain = value.rlike(ASCII)
+    words = F.filter(F.transform(F.split(value, "[^A-Za-z0-9_]+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")), lambda w: w != "")
+    return F.when(plain, words).otherwise(_fold_words(F.when(~plain, value)))
+
+
 def normalize_domain(value: Column) -> Column:
     """Lower-case ASCII host without wildcard and final dot; null if it isn't one."""
     bare = F.lower(F.regexp_replace(F.trim(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), r"^\*\.|\.$", ""))

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigilframe.functions.hosts import CONTEXT_WORDS, ancestors, canonical, deletions, fold_text, folded_host, hyphens, label_groups, normalize_domain, one_edit
+from vigilframe.functions.hosts import CONTEXT_WORDS, ancestors, canonical, canonical_words, deletions, fold_text, folded_host, hyphens, label_groups, normalize_domain, one_edit
 from vigilframe.functions.suffixes import rule_table, suffix_sizes
 from vigilframe.plans.shared import cut
 
@@ -256,22 +256,13 @@ def title_brand(titles: DataFrame, registry: Registry, title: str = "title") ->
     """``titles`` with the one brand whose alias (five letters or more) its words contain; else null."""
     aliases = registry.aliases(titles.sparkSession).where("length(alias) >= 5").select("alias_parts", F.get("alias_parts", F.lit(0)).alias("w"), F.col("brand").alias("title_brand"))
     known = titles.where(F.col(title).isNotNull()).select(title).distinct()
-    words = known.select(title, F.filter(F.transform(F.split(F.col(title), r"(?U)[^\w]+"), canonical_word), lambda w: w != "").alias("ws"))
+    words = known.select(title, canonical_words(F.col(title)).alias("ws"))
     met = words.select(title, "ws", F.explode(F.array_distinct("ws")).alias("w")).join(aliases, "w")
     held = F.expr("size(ws) >= size(alias_parts) and exists(sequence(1, size(ws) - size(alias_parts) + 1), i -> slice(ws, i, size(alias_parts)) = alias_parts)")
     one = met.where(held).groupBy(title).agg(F.count_distinct("title_brand").alias("n"), F.min("title_brand").alias("title_brand")).where("n = 1").drop("n")
     return titles.join(one, title, "left")
 
 
-def canonical_word(word: Column) -> Column:
-    """``canonical`` for use inside array functions: accents of Latin letters are folded by expressions."""
-    return F.regexp_replace(F.translate(F.lower(word), _ACCENTED, _BARE), "[^a-z0-9]", "")
-
-
-_ACCENTED = "áàâäãåąčćçďéèêëėęěíìîïįłñńňóòôöõőřśšťúùûüūųůýÿžźż" + "асеіјорѕхуαβεζηικμνορτχ"
-_BARE = "aaaaaaacccdeeeeeeeiiiiilnnnoooooorsstuuuuuuuyyzzz" + "aceijopsxyabezhikmnoptx"
-
-
 def declared_brand(rows: DataFrame, registry: Registry, column: str) -> DataFrame:
     """``rows`` with ``canonical_brand``, the registry's name for a declared one."""
     names = registry.names(rows.sparkSession).withColumnRenamed("brand", "canonical_brand")

@@ -56,8 +56,13 @@ def bars(groups: DataFrame) -> DataFrame:
 
 
 def facets(rows: DataFrame, column: str, listed: bool = False) -> DataFrame:
+    """Distinct values of a column in the order of a reader's language: letters before case and accents."""
     value = F.explode(column) if listed else F.col(column)
-    return rows.select(value.alias("value")).where("value is not null and value <> ''").distinct()
+    return rows.select(value.alias("value")).where("value is not null and value <> ''").distinct().orderBy(collated("value"), "value")
+
+
+def collated(column: str, collation: str = "UNICODE") -> Column:
+    return F.collate(F.col(column), collation)
 
 
 def source_counts(rows: DataFrame, listed: str = "sources") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from vigilframe.functions import signals as S
 from vigilframe.operators.matching import Registry, unique_matches
+from vigilframe.plans.shared import cut, shared_folder
 from vigilframe.sources.archives import append_new, write_days
 
 MOST_NAMES = 500
@@ -42,6 +42,21 @@ def candidate_rows(hosts: DataFrame, registry: Registry, least: int = 80, zone:
     return found.join(dated, "domain").select("day", S.short_id(F.col("domain")).alias("id"), "observedAt", "domain", "registrable", F.lit("Certificate log sample").alias("source"), "brand", "confidence", "reasons")
 
 
+def stored_days(rows: DataFrame, root: str) -> DataFrame:
+    """What the archive at ``root`` has of the days that ``rows`` have: the other days' folders are not read.
+
+    The days of a batch are few; they are the only thing that comes to the driver.
+    """
+    days = [r["day"] for r in rows.select("day").distinct().collect()]
+    try:
+        stored = rows.sparkSession.read.parquet(root)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return rows.limit(0)
+    return stored.where(F.col("day").isin(days) if days else F.lit(False))
+
+
 def collect(messages: DataFrame, registry: Registry, root: str, checkpoint: str, least: int = 80, trigger: dict | None = None, on_batch: Callable[[int, DataFrame], None] | None = None):
     """Start a query that appends new candidates to the archive at ``root``.
 
@@ -50,15 +65,8 @@ def collect(messages: DataFrame, registry: Registry, root: str, checkpoint: str,
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = candidate_rows(flatten(batch), registry, least)
-        try:
-            stored = spark.read.parquet(root)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = rows.limit(0)
-        write_days(append_new(rows, stored, F.col("observedAt")), root)
+        rows = cut(candidate_rows(flatten(batch), registry, least))
+        write_days(append_new(rows, stored_days(rows, root), F.col("observedAt")), root)
         if on_batch:
             on_batch(number, batch)
 
@@ -84,7 +92,7 @@ def drain(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
     last batch is the result.
     """
     spark = rows.sparkSession
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp('stream')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     written: list[str] = []
 
     def write(batch: DataFrame, number: int) -> None:
