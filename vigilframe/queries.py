@@ -224,11 +224,11 @@ _EVENT_SQL = f"""SELECT event_id, substr(sha256('u' || user_id || '[.]example[.]
   CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'observation' ELSE 'status-transition' END AS kind, CAST(ts AS DATE) AS day FROM events"""
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as rows of an event log."""
+def _log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events, of the table or a stream of it, as rows of an event log."""
     word = F.element_at(F.create_map(*[F.lit(x) for p in _STATUS.items() for x in p]), F.col("event_type"))
     domain = F.concat(F.lit("u"), F.col("user_id"), F.lit("[.]example[.]com"))
-    return _read(spark, sf_dir, "events").select(
+    return (_read(spark, sf_dir, "events") if events is None else events).select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("eventId"), S.short_id(domain).alias("signalId"), F.when(F.col("event_type").isin("view", "click", "signup"), "observation").otherwise("status-transition").alias("eventType"),
         F.date_trunc("millisecond", _utc("ts")).alias("observedAt"), domain.alias("domain"), F.lit("Brand").alias("brand"), F.array(F.col("event_type")).alias("sources"), S.status(word).alias("status"), F.lit(None).cast("string").alias("previousStatus"),
         F.lit(80).alias("confidence"), F.array(F.lit("manual-review")).alias("reasonCodes"), F.to_date("ts").alias("day"),
