@@ -6,7 +6,9 @@ template's distinct words.  The join finds every such block: the words of all
 templates are ordered by their frequency over all documents, rarest first; a
 matching block must contain one of the first words of the template in this order
 (prefix filter), have enough words (length filter), and have enough words left
-behind the first one that both share (positional filter).  Survivors are verified.
+behind the first one that both share (positional filter).  Survivors are verified:
+enough of the template's words must stand within ``STRETCH`` times as many words as
+the template has, so that common words scattered over a block are no match.
 
 Null texts are empty.  A text shorter than a block is one block.  Repeated rows
 are scanned each.  Other columns are not read.  The templates are few and fixed,
@@ -41,6 +43,8 @@ TEMPLATES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 BLOCK = 64
+#: How many times a template's length the words that match it may be spread over.
+STRETCH = 2
 _SPACED = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -69,6 +73,23 @@ def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(times, key=lambda w: (times[w], w))
 
 
+def tightest(places: list[int], tokens: list[int], wanted: set[int], need: int) -> int | None:
+    """The least number of consecutive words that hold ``need`` different wanted tokens; None if all of them hold fewer."""
+    hits = [(p, t) for p, t in zip(places, tokens, strict=True) if t in wanted]
+    held: Counter = Counter()
+    best, left = None, 0
+    for place, token in hits:
+        held[token] += 1
+        while len(held) >= need:
+            first, old = hits[left]
+            best = place - first + 1 if best is None else min(best, place - first + 1)
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            left += 1
+    return best
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """Per row: ``(id, n_words, places, matches)``.
 
@@ -79,12 +100,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     texts = docs.select(F.col(text_col).cast("string"))
     rank = {w: i for i, w in enumerate(word_order(texts, templates))}
     known = {w.encode(): i for w, i in rank.items()}
-    index, sets = [], []
+    index = []
     for number, (template, label) in enumerate(templates.items()):
         tokens = sorted({rank[w] for w in template.split()})
         need = ceil(threshold * len(tokens) - 1e-9)
-        sets.append((number, label, tokens, need))
-        index += [(token, place, number, label, tokens, need) for place, token in enumerate(tokens[: len(tokens) - need + 1])]
+        longest = STRETCH * len(template.split())
+        index += [(token, place, number, label, tokens, need, longest) for place, token in enumerate(tokens[: len(tokens) - need + 1])]
     first = {row[0] for row in index}
     sought = [(tuple(p.encode() for p in phrase.split()), label) for phrase, label in phrases.items()]
     starts = {phrase[0] for phrase, _ in sought}
@@ -104,22 +125,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                     for start, stop in _blocks(len(words)):
                         while at < len(marked) and marked[at][0] < start:
                             at += 1
-                        held = sorted({k for i, k in marked[at : at + BLOCK] if i < stop})
+                        inside = [(i, k) for i, k in marked[at : at + BLOCK] if i < stop]
+                        held = sorted({k for _, k in inside})
                         if not first.isdisjoint(held):
-                            blocks.append((start, stop, held))
+                            blocks.append((start, stop, held, [i for i, _ in inside], [k for _, k in inside]))
                 out.append((doc, len(words), places, blocks))
             yield out
 
     place, match = "struct<word: long, label: string>", "struct<start: long, stop: long, template: int, label: string, containment: double>"
-    found = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, f"doc_id long, n_words long, places array<{place}>, blocks array<struct<start: long, stop: long, tokens: array<int>>>")
+    found = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, f"doc_id long, n_words long, places array<{place}>, blocks array<struct<start: long, stop: long, tokens: array<int>, at: array<long>, marks: array<int>>>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
-    prefixes = spark.createDataFrame(index, "token int, t_place int, template int, label string, t_tokens array<int>, need int")
+    prefixes = spark.createDataFrame(index, "token int, t_place int, template int, label string, t_tokens array<int>, need int, longest int")
     block = found.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
-    probe = block.select("row", "start", "stop", "tokens", F.posexplode("tokens").alias("place", "token"))
+    probe = block.select("row", "start", "stop", "tokens", "at", "marks", F.posexplode("tokens").alias("place", "token"))
     # The index has a row for each prefix word of the fixed templates.
     candidates = probe.join(F.broadcast(prefixes), "token").where("size(tokens) - place >= need and size(t_tokens) - t_place >= need").dropDuplicates(["row", "start", "template"])
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
-    verified = candidates.where(shared >= F.col("need")).select("row", F.struct("start", "stop", "template", "label", (shared / F.size("t_tokens")).alias("containment")).alias("m"))
+    likely = candidates.where(shared >= F.col("need")).withColumn("containment", shared / F.size("t_tokens"))
+
+    def close(slices):
+        for part in slices:
+            yield [row[:6] for row in part if (n := tightest(row[6], row[7], set(row[8]), row[9])) is not None and n <= row[10]]
+
+    asked = likely.select("row", "start", "stop", "template", "label", "containment", "at", "marks", "t_tokens", "need", "longest")
+    verified = map_rows(asked, close, "row long, start long, stop long, template int, label string, containment double")
+    verified = verified.select("row", F.struct("start", "stop", "template", "label", "containment").alias("m"))
     matches = verified.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("matches"))
     return found.join(matches, "row", "left").select(F.col("doc_id").alias(id_col), "n_words", "places", F.coalesce("matches", F.expr(f"cast(array() as array<{match}>)")).alias("matches"))
 

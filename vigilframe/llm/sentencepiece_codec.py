@@ -2,8 +2,12 @@
 
 The model file's protobuf is read field by field and rebuilt: the normaliser, the
 marker for blanks, unigram scores or the merges that BPE scores imply, and byte
-fallback.  Tasks encode and decode their rows in batches on ``threads`` threads and
-compare the ids with the sentencepiece library's for every row.
+fallback.  Tasks encode and decode their rows in batches on ``threads`` threads.
+
+Parity with the sentencepiece library: where a model's words do not depend on each other,
+each distinct word of a text is encoded by both libraries and compared, not the text as a
+whole; other models compare whole texts.  Decoding is compared with the text itself, not
+with the library's decoder.
 
 Null texts count as empty and have no ids.  Repeated rows are encoded each.  Very
 long texts are encoded whole, as one member of their batch.  Other columns are not
@@ -195,10 +199,11 @@ def encode(texts: list[str], codec: Codec, threads: int) -> tuple[list[bytes], l
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, batch: int = 1024, ids: bool = True) -> DataFrame:
-    """``(id, n_tokens, ids_crc32, same_ids, round_trip, ids)`` for every row.
+    """``(id, n_tokens, ids_crc32, same_word_ids, round_trip, ids)`` for every row.
 
-    ``model_path`` must be readable on every executor.  ``same_ids``: the
-    sentencepiece library gives the same ids.  ``round_trip``: the ids decode to
+    ``model_path`` must be readable on every executor.  ``same_word_ids``:
+    the sentencepiece library gives the same ids, for each word of the text where words
+    are independent, else for the whole text.  ``round_trip``: the ids decode to
     the text.  ``ids_crc32`` covers the ids as little-endian unsigned 32-bit.
     """
 
@@ -214,7 +219,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 yield [(doc, len(g), zlib.crc32(c), s, b == text, g if ids else None) for (doc, _), text, c, g, s, b in zip(some, texts, coded, got, same, back, strict=True)]
 
     chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    out = map_rows(chosen, rows, "doc_id long, n_tokens long, ids_crc32 long, same_ids boolean, round_trip boolean, ids array<int>")
+    out = map_rows(chosen, rows, "doc_id long, n_tokens long, ids_crc32 long, same_word_ids boolean, round_trip boolean, ids array<int>")
     return out.withColumnRenamed("doc_id", id_col)
 
 
