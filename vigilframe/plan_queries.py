@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilframe.functions import signals as S
 from vigilframe.functions import suffixes
 from vigilframe.functions import urls as U
-from vigilframe.operators import health, hunt, matching, views
+from vigilframe.operators import health, history, hunt, matching, views
 from vigilframe.plans import archived, hunting, sync
 from vigilframe.plans.shared import shared_folder
 from vigilframe.queries import _CUSTOMER_SQL, _HOST_SQL, _REGISTRY, _customer_hosts, _fold_sql, _log, _name, _read, _shown_fold, query
@@ -242,3 +242,115 @@ def collection_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = store.complete(_time("2024-01-02T10:06:00Z"), "healthy-matches" if found["matches"] else "healthy-empty", found)
     a = F.col("latestAttempt")
     return store.read().select(a["messages"].alias("messages"), a["dnsNames"].alias("names"), a["matches"].alias("matches"), a["outcome"].alias("outcome"), F.date_format("lastSuccessAt", "yyyy-MM-dd'T'HH:mm:ss").alias("last_success"), "freshness.status", F.lit(last.number).alias("version"))
+
+
+# Events and archives
+
+_ORDER_SQL = "SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, 'c' || o_custkey || '[.]example[.]com' AS domain, o_custkey % 3 AS kind FROM orders GROUP BY o_custkey"
+
+
+@query(f"""WITH o AS ({_ORDER_SQL}), s AS (SELECT *, substr(sha256(domain), 1, 20) AS id, CASE WHEN kind = 0 THEN 'offline' ELSE 'active' END AS status FROM o),
+e AS (SELECT id, domain, 'observation' AS kind, unnest(CASE WHEN a = b THEN [a] ELSE [a, b] END) AS moment, status, NULL AS previous, 'manual-review' AS codes FROM s WHERE o_custkey % 7 <> 0
+  UNION ALL SELECT id, domain, 'status-transition', b, status, CASE WHEN o_custkey % 5 > 0 THEN 'active' END, CASE WHEN o_custkey % 5 > 0 THEN 'manual-review,source-status-change' ELSE 'manual-review,first-publication' END FROM s WHERE o_custkey % 7 <> 0 AND (o_custkey % 5 = 0 OR status <> 'active'))
+SELECT id AS signal, kind, strftime(moment, '%Y-%m-%dT%H:%M:%S') AS moment, status, previous, codes, substr(sha256('{{"eventType":"' || kind || '","observedAt":"' || strftime(moment, '%Y-%m-%dT%H:%M:%S') || '.000Z","previousStatus":' || coalesce('"' || previous || '"', 'null') || ',"schemaVersion":1,"signalId":"' || id || '","sources":["F"],"status":"' || status || '"}}'), 1, 32) AS identity FROM e""")
+def observed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a publication: both ends of the observations of what is published, and its changes of status."""
+    domain = F.concat(F.lit("c"), "o_custkey", F.lit("[.]example[.]com"))
+    rows = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp").alias("firstSeen"), F.max("o_orderdate").cast("timestamp").alias("lastSeen"))
+    rows = rows.select("o_custkey", S.short_id(domain).alias("id"), domain.alias("domain"), F.lit("Brand").alias("brand"), "firstSeen", "lastSeen", F.array(F.lit("F")).alias("sources"), F.when(F.col("o_custkey") % 3 == 0, "offline").otherwise("active").alias("status"), F.lit(80).alias("confidence"), F.array(F.lit("manual-review")).alias("reasonCodes"))
+    current = rows.where("o_custkey % 7 <> 0")
+    before = rows.where("o_custkey % 5 > 0").select("id", F.lit("active").alias("latestStatus"))
+    made = history.build_events(rows, current, before)
+    return made.select(F.col("signalId").alias("signal"), F.col("eventType").alias("kind"), F.date_format("observedAt", "yyyy-MM-dd'T'HH:mm:ss").alias("moment"), "status", F.col("previousStatus").alias("previous"), F.array_join("reasonCodes", ",").alias("codes"), F.col("eventId").alias("identity"))
+
+
+@query("SELECT lpad(event_id::VARCHAR, 12, '0') AS event_id FROM events WHERE NOT (event_type = 'view' AND CAST(ts AS DATE) <= DATE '2024-01-20')")
+def appended_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that the log does not have yet, each once though it comes twice."""
+    log = _log(spark, sf_dir)
+    stored = log.where("array_contains(sources, 'view') and day <= '2024-01-20'")
+    return history.new_events(log.unionByName(log.where("day = '2024-01-25'")), stored).select(F.col("eventId").alias("event_id"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, user_id AS id, min(event_id) AS event_id FROM events WHERE event_type <> 'view' AND (CAST(ts AS DATE), user_id) NOT IN (SELECT (CAST(ts AS DATE), user_id) FROM events WHERE event_type = 'view') GROUP BY ALL""")
+def archive_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each day and user that the archive does not have."""
+    rows = _read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("user_id").alias("id"), "event_id", "event_type")
+    return archives.append_new(rows.where("event_type <> 'view'").drop("event_type"), rows.where("event_type = 'view'"), F.col("event_id"))
+
+
+@query(f"""SELECT c_custkey, brand FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Machinery' WHEN c_custkey % 4 = 1 THEN {_BRAND} WHEN c_custkey % 4 = 2 THEN 'No Brand' END AS declared, CASE WHEN {_MATCHES} THEN {_BRAND} END AS own FROM ({_CUSTOMER_SQL})),
+  LATERAL (SELECT CASE WHEN declared IN ('Household', 'Machinery', 'Furniture', 'Building') THEN declared END AS known), LATERAL (SELECT coalesce(known, own) AS brand) WHERE brand IS NOT NULL AND (known IS NULL OR own IS NULL OR known = own)""")
+def registry_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose declared brand the registry knows and the host does not contradict, or whose host alone names it."""
+    declared = F.when(F.col("c_custkey") % 4 == 0, "machinery").when(F.col("c_custkey") % 4 == 1, F.initcap(F.lower("c_mktsegment"))).when(F.col("c_custkey") % 4 == 2, "No Brand")
+    rows = _customer_hosts(spark, sf_dir).withColumn("brand", declared)
+    return matching.scope(rows, matching.score(rows, _REGISTRY), _REGISTRY).select("c_custkey", "brand")
+
+
+_LINE_FAULTS = "CASE c_custkey % 9 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 7 THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT c_custkey, host AS domain, CAST(c_custkey % 101 AS INT) AS confidence FROM ({_CUSTOMER_SQL}) WHERE {_LINE_FAULTS} = 0")
+def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of which seven in nine break the closed schema in some way; the others are read."""
+    key, host = F.col("c_custkey"), F.col("host")
+    fault = lambda n, wrong, good: F.when(key % 9 == n, wrong).otherwise(good)
+    shown = F.replace(host, F.lit("."), F.lit("[.]"))
+    fields = [
+        F.lit(1).alias("schemaVersion"), fault(1, F.lit("0" * 20), S.short_id(host)).alias("id"), fault(2, F.lit("2024-01-01T10:00:00Z"), F.lit("2024-01-01T10:00:00.000Z")).alias("observedAt"), F.lit("domain").alias("indicatorType"), fault(3, host, shown).alias("domain"), shown.alias("registrableDomain"),
+        fault(4, F.lit(" Sample"), F.lit("Sample")).alias("source"), F.concat(F.lit("B"), key).alias("brand"), fault(5, F.lit(101), (key % 101).cast("int")).alias("confidence"), fault(6, F.array().cast("array<string>"), F.array(F.lit("r"))).alias("reasons"),
+    ]
+    line = F.when(key % 9 == 7, F.to_json(F.struct(*fields, F.lit(1).alias("extra")))).otherwise(F.to_json(F.struct(*fields)))
+    lines = _customer_hosts(spark, sf_dir).select(F.lit("2024-01-01").cast("date").alias("day"), line.alias("line")).withColumn("value", F.try_parse_json("line"))
+    return archives.candidates(lines).select(F.substring("brand", 2, 20).cast("long").alias("c_custkey"), "domain", "confidence")
+
+
+_CHANGES = {
+    "user:pw@": None,
+    "": "/plain",
+    "/account/12345": "/account/redacted",
+    "/a;token=abc;b": "/redacted",
+    "/0123456789abcdef01234567/x": "/redacted/x",
+    "/%6Cogin": "/login",
+    "/call/+370 600 12345": "/call/redacted",
+    "/go/https://other.example/x": "/go/embedded-url-redacted",
+    "/x@y.example": "/redacted",
+    "/file.page.html": "/file[.]page[.]html",
+}
+
+
+@query("WITH k(kind, suffix) AS (VALUES " + ", ".join(f"({i}, {v!r})" for i, v in enumerate(_CHANGES.values()) if v) + f""")
+SELECT page_id, CASE WHEN page_id % 11 = 10 THEN 'hxxps://2001[:]db8[:][:]1:8443/x' ELSE 'hxxps://' || replace({_HOST_SQL}, '.', '[.]') || suffix END AS display_url FROM pages LEFT JOIN k ON page_id % 11 = kind WHERE suffix IS NOT NULL OR page_id % 11 = 10""")
+def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with private, encoded and nested parts, IPv6 hosts and user information in their published form."""
+    host, kind = U.url_host(F.col("url")), F.col("page_id") % 11
+    address = F.concat(F.lit("https://"), F.when(kind == 0, "user:pw@").otherwise(""), host, F.when(kind == 1, "/plain").otherwise(""))
+    for i, path in enumerate(_CHANGES):
+        if path.startswith("/"):
+            address = F.concat(address, F.when(kind == i, path).otherwise(""))
+    address = F.when(kind == 10, "https://[2001:db8::1]:8443/x?q#f").otherwise(address)
+    rows = _read(spark, sf_dir, "pages").select("page_id", U.safe_url(address).alias("u"))
+    return rows.where("u.display_url is not null").select("page_id", "u.display_url")
+
+
+@query(f"""SELECT host AS domain, {_BRAND} AS brand, {_CONFIDENCE} AS confidence FROM (SELECT DISTINCT host, segment, kind FROM ({_CUSTOMER_SQL}) WHERE {_MATCHES}) ORDER BY confidence DESC, domain, brand LIMIT 250""")
+def feed_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hosts of a text feed with comments, addresses and hosts."""
+    folder = _folder(spark, "feed")
+    line = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("  https://"), "host", F.lit("/path?x \r"))).otherwise(F.col("host"))
+    rows = _customer_hosts(spark, sf_dir).select(line.alias("value"))
+    rows.unionByName(rows.select(F.concat(F.lit("# "), "value").alias("value"))).write.text(folder)
+    made = feeds.seeds(feeds.text_feed(spark, folder), _REGISTRY)
+    return made.select("domain", "brand", F.col("confidence").cast("int").alias("confidence"))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (c_custkey % 50), '%Y-%m-%dT%H:%M:%S') AS seen, CASE c_custkey % 4 WHEN 0 THEN ['Passive'] WHEN 1 THEN ['Own', 'Passive'] WHEN 2 THEN ['Other', 'Passive'] ELSE ['Own'] END AS sources FROM customer),
+j AS (SELECT id, seen, length('{"id":' || id || ',"lastSeen":"' || seen || '","sources":["Passive"]}') + 1 AS n FROM s WHERE list_contains(sources, 'Passive') AND NOT list_contains(sources, 'Other'))
+SELECT id FROM (SELECT id, sum(n) OVER (ORDER BY seen DESC, id) AS used FROM j) WHERE used <= 20000""")
+def partner_hand_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of allowed sources that the passive one saw, as many of the newest as fit in a budget of bytes."""
+    seen = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("c_custkey") % 50), "yyyy-MM-dd'T'HH:mm:ss")
+    sources = F.element_at(F.array(*[F.array(*[F.lit(x) for x in some]) for some in (["Passive"], ["Own", "Passive"], ["Other", "Passive"], ["Own"])]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), seen.alias("lastSeen"), sources.alias("sources"))
+    return feeds.hand_off(rows, ["Own", "Passive"], ["Passive"], 20_000).select("id")
