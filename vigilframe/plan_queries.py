@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from vigilframe.functions import signals as S
 from vigilframe.functions import suffixes
 from vigilframe.functions import urls as U
-from vigilframe.operators import health, history, hunt, matching, views
+from vigilframe.operators import health, history, hunt, matching, review, views
 from vigilframe.plans import archived, hunting, sync
-from vigilframe.plans.shared import shared_folder
+from vigilframe.plans.shared import cut, shared_folder
 from vigilframe.queries import _CUSTOMER_SQL, _HOST_SQL, _REGISTRY, _customer_hosts, _fold_sql, _log, _name, _read, _shown_fold, query
-from vigilframe.sources import archives, feeds, publication
+from vigilframe.sources import archives, decisions, feeds, publication, snapshots
 from vigilframe.streaming import certificates, folding
 
 
@@ -354,3 +354,75 @@ def partner_hand_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = F.element_at(F.array(*[F.array(*[F.lit(x) for x in some]) for some in (["Passive"], ["Own", "Passive"], ["Other", "Passive"], ["Own"])]), (F.col("c_custkey") % 4 + 1).cast("int"))
     rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), seen.alias("lastSeen"), sources.alias("sources"))
     return feeds.hand_off(rows, ["Own", "Passive"], ["Passive"], 20_000).select("id")
+
+
+# Decisions, documents and what may be shown
+
+_JSON = "'{{\"brand\":' || coalesce('\"' || brand || '\"', 'null') || ',\"domain\":\"' || replace(host, '.', '[.]') || '\",\"reasonCode\":\"wrong-brand\",\"scope\":\"exact\"}}'"
+
+
+@query(f"""WITH d AS (SELECT host, max(c_custkey) AS k, any_value(segment) AS segment, any_value(kind) AS kind FROM ({_CUSTOMER_SQL}) WHERE c_custkey % 5 IN (0, 2, 3) AND segment <> 'automobile' GROUP BY host),
+j AS (SELECT *, CASE WHEN k % 3 = 0 THEN {_BRAND} END AS brand, {_BRAND} AS own, {_CONFIDENCE} AS most FROM d)
+SELECT 'suppression' AS family, substr(sha256({_JSON.replace('{{', '{').replace('}}', '}')}), 1, 24) AS id, replace(host, '.', '[.]') AS domain, brand, NULL AS url FROM j WHERE k % 2 = 0
+UNION ALL SELECT 'addition', NULL, replace(host, '.', '[.]'), own, 'hxxps://' || replace(host, '.', '[.]') || '/kit' FROM j WHERE k % 2 = 1 AND k % 4 <> 3""")
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger's decisions in force, exported as a document and read back whole; additions that claim too much are left out."""
+    folder = _folder(spark, "review")
+    rows = _customer_hosts(spark, sf_dir).where("c_custkey % 5 in (0, 2, 3) and c_mktsegment <> 'AUTOMOBILE'").groupBy(F.col("host").alias("domain")).agg(F.max("c_custkey").alias("k"), F.first(F.initcap(F.lower("c_mktsegment"))).alias("own"))
+    k, negative = F.col("k"), F.col("k") % 2 == 0
+    entry = lambda sequence, action: rows.select(
+        F.lit(sequence).alias("sequence"), action.alias("action"), "domain", F.when(~negative | (k % 3 == 0), F.col("own")).alias("brand"), F.when(negative, "exact").alias("scope"), F.when(negative, "wrong-brand").alias("reason_code"),
+        F.concat(F.lit("https://"), "domain", F.lit("/kit")).alias("url"), F.when(k % 4 == 3, 101).otherwise(80).alias("confidence"), _time("2024-01-01T10:00:00Z").alias("recorded_at"),
+    )
+    ledger = entry(1, F.lit("allowlist")).unionByName(entry(2, F.lit("unallowlist"))).unionByName(entry(3, F.when(negative, "false-positive").otherwise("add")))
+    decisions.as_document(decisions.exported(review.state(ledger), _REGISTRY, _time(_NOW)), "2024-01-01T10:00:00.000Z").coalesce(1).write.text(folder)
+    policy = decisions.read_decisions(spark, f"{folder}/part-*", _REGISTRY, _time(_NOW))
+    none = F.lit(None).cast("string")
+    return policy.suppressions.select(F.lit("suppression").alias("family"), "id", "domain", "brand", none.alias("url")).unionByName(policy.candidates.select(F.lit("addition").alias("family"), none.alias("id"), "domain", "brand", "url"))
+
+
+@query(f"""SELECT DISTINCT host AS domain, {_BRAND} AS brand FROM ({_CUSTOMER_SQL}) WHERE segment <> 'automobile' AND CASE WHEN {_MATCHES} THEN true ELSE c_custkey % 2 = 0 END""")
+def shown_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of the history that may be shown: their hosts match their brand, or evidence of another kind speaks for it."""
+    shown = F.replace(F.col("host"), F.lit("."), F.lit("[.]"))
+    typed = F.when(F.col("c_custkey") % 2 == 0, "provider-verdict").otherwise("brand-exact-token")
+    rows = _customer_hosts(spark, sf_dir).where("c_mktsegment <> 'AUTOMOBILE'")
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("c_custkey"))
+    log = rows.select(
+        F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("eventId"), S.short_id(shown).alias("signalId"), F.lit("observation").alias("eventType"), time.alias("observedAt"), shown.alias("domain"), F.initcap(F.lower("c_mktsegment")).alias("brand"), F.array(F.lit("F")).alias("sources"), F.lit("active").alias("status"),
+        F.lit(None).cast("string").alias("previousStatus"), F.lit(80).alias("confidence"), F.array(typed).alias("reasonCodes"),
+    )
+    folded = cut(history.fold(log))
+    plain = folded.withColumn("host", F.replace(F.col("domain"), F.lit("[.]"), F.lit(".")))
+    matches = cut(matching.score(plain, _REGISTRY))
+    kept = matching.scope(plain, matches, _REGISTRY)
+    return history.public(folded, matches, kept, 100_000).select(F.replace("domain", F.lit("[.]"), F.lit(".")).alias("domain"), "brand")
+
+
+@query("""SELECT 'https://c' || c_custkey || '.example.com/' AS url, CASE WHEN c_custkey % 3 = 0 THEN 'B' || c_custkey END AS brand, CASE WHEN c_custkey % 4 <> 1 THEN c_custkey % 100 END AS confidence, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS hashes FROM customer WHERE c_custkey % 7 <> 6 ORDER BY c_custkey LIMIT 25000""")
+def partner_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partner's document whose rows name their fields in different ways, as raw signals."""
+    folder, key = _folder(spark, "partner"), F.col("c_custkey")
+    address, brand = F.concat(F.lit("https://c"), key, F.lit(".example.com/")), F.when(key % 3 == 0, F.concat(F.lit("B"), key))
+    fields = F.struct(
+        F.when(key % 7 < 3, address).alias("url"), F.when((key % 7 >= 3) & (key % 7 < 6), address).alias("indicator"), F.when(key % 6 == 0, brand).alias("brand"), F.when(key % 6 == 3, brand).alias("brand_targeted"), F.when(key % 4 == 0, key % 100).alias("confidence"),
+        F.when(key % 4 == 1, F.lit("90")).alias("confidenceScore"), F.when(key % 4 > 1, key % 100).alias("confidence_score"), F.when(key % 2 == 0, "primary-html-sha256").alias("hashType"), F.array(F.sha2(key.cast("string"), 256)).alias("hashes"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), fields.alias("v")))), lambda x: x["v"])
+    # The document is one row, bounded by its contract.
+    rows = _read(spark, sf_dir, "customer").where("c_custkey % 7 <> 6").orderBy("c_custkey").limit(25_000)
+    rows.agg(listed.alias("signals")).select(F.to_json(F.struct("signals")).alias("value")).coalesce(1).write.text(folder)
+    made = feeds.partner_rows(spark, f"{folder}/part-*", F.lit("2024-01-01T00:00:00.000Z"))
+    return made.select("url", "brand", F.col("confidence").cast("long").alias("confidence"), F.coalesce(F.size("hashes"), F.lit(0)).alias("hashes"))
+
+
+@query(f"""WITH h AS (SELECT DISTINCT host, segment, kind FROM ({_CUSTOMER_SQL}) WHERE {_MATCHES}) SELECT replace(host, '.', '[.]') AS domain, {_BRAND} AS brand, 'Source 0' AS sources FROM h WHERE host NOT LIKE 'household%'""")
+def snapshot_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot published as a document with broken rows among its own, read back: the broken ones are skipped."""
+    folder = _folder(spark, "snapshot")
+    raw = _raw_customers(spark, sf_dir).withColumn("source", F.lit("Source 0"))
+    made = sync.synchronise(raw, _REGISTRY, _no_rules(spark), _time(_NOW), settings=sync.Settings(max_signals=25_000)).snapshot
+    broken = made.withColumn("confidence", F.when(F.col("brand") == "Household", 101).otherwise(F.col("confidence")))
+    snapshots.as_document(broken, "2024-01-01T10:00:00.000Z").coalesce(1).write.text(folder)
+    back = snapshots.read_snapshot(spark, f"{folder}/part-*", ["Source 0"])
+    return back.select("domain", "brand", F.array_join("sources", ",").alias("sources"))

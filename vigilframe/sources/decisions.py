@@ -97,6 +97,43 @@ def checked_candidates(rows: DataFrame, registry: matching.Registry, now: Column
     return held.select(*[F.col(k).cast("int") if k == "confidence" else F.col(k) for k in CANDIDATE_KEYS], F.coalesce(good, F.lit(False)).alias("valid"))
 
 
+def exported(state: DataFrame, registry: matching.Registry, now: Column) -> Policy:
+    """The decisions in force (``review.state``) as they are published: without notes, and each fit to be read again.
+
+    Suppressions that the registry contradicts are an error.  Additions go unless the host
+    itself matches their brand at their confidence or more, and no suppression covers them.
+    """
+    plain = state.withColumn("_host", normalize_domain(F.col("domain")))
+    shown = defang_host(F.col("_host"))
+    fields = {"domain": shown, "scope": F.coalesce("scope", F.lit("exact")), "brand": F.col("brand"), "reasonCode": F.coalesce("reason_code", F.lit("reviewed-exclusion"))}
+    negative = cut(plain.where("family in ('suppression', 'allow')").select(decision_id(fields).alias("id"), *[v.alias(k) for k, v in fields.items()]).dropDuplicates(["id"]))
+    read_again = negative.select(F.parse_json(F.to_json(F.struct(*SUPPRESSION_KEYS), {"ignoreNullFields": "false"})).alias("v"))
+    checked = checked_suppressions(read_again, registry).agg(F.count_if(~F.col("valid")).alias("bad"), F.count("*").alias("n"))
+    _asserted(checked, F.col("bad") == 0, "a suppression conflicts with the evidence for its host's brand")
+    _asserted(checked, F.col("n") <= MOST_ROWS, "too many suppressions")
+    added = cut(plain.where("family = 'addition'").select("_host", F.col("brand").alias("_brand"), "url", "confidence", F.col("recorded_at").alias("observedAt")))
+    one = matching.unique_matches(added, registry, "_host").select(F.col("domain").alias("_d"), F.col("brand").alias("brand"), F.col("confidence").alias("_most"), "reasons")
+    held = added.join(one, F.col("_host") == F.col("_d")).where("_brand = brand and confidence <= _most").select("*", F.explode(F.array(safe_url(F.col("url")))).alias("_safe")).where("_safe.key is not null")
+    codes = S.reasons(F.concat(F.array(F.lit("manual-review")), matching.match_reasons(F.col("reasons"))))
+    fields = {"signalId": S.short_id(F.lower("_safe.display_domain")), "url": F.col("_safe.display_url"), "domain": F.col("_safe.display_domain"), "observedAt": F.col("observedAt"), "brand": F.col("brand"), "confidence": F.col("confidence").cast("int"), "reasonCodes": codes}
+    listed = held.select(*[v.alias(k) for k, v in fields.items()])
+    identity = {k: S.shown_time(F.col(k)) if k == "observedAt" else F.col(k) for k in fields}
+    candidates = cut(review.drop_suppressed(listed.select(decision_id(identity).alias("id"), *fields).dropDuplicates(["id"]), negative.withColumn("domain", refang(F.col("domain")))))
+    _asserted(candidates.agg(F.count("*").alias("n")), F.col("n") <= MOST_ROWS, "too many additions")
+    return Policy(negative, candidates)
+
+
+def as_document(policy: Policy, generated: str) -> DataFrame:
+    """One row with the document's text; both lists in order, their lengths bounded by contract."""
+    order = {"suppressions": ("domain", "scope", "id"), "candidates": ("domain", "id")}
+    rows = {"suppressions": policy.suppressions, "candidates": policy.candidates.withColumn("observedAt", S.shown_time(F.col("observedAt")))}
+    keys = {"suppressions": SUPPRESSION_KEYS, "candidates": CANDIDATE_KEYS}
+    listed = [r.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order[k]).alias("o"), F.struct(*keys[k]).alias("v")))), lambda x: x["v"]).alias(k)) for k, r in rows.items()]
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.lit(DATASET).alias("dataset"), F.lit(generated).alias("generatedAt"), "suppressions", "candidates")
+    # One row with one row.
+    return listed[0].join(listed[1]).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
+
+
 def _asserted(counts: DataFrame, good: Column, what: str) -> None:
     """Raises, from within the plan, unless the one row of ``counts`` is good."""
     counts.select(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit(what)))).first()
