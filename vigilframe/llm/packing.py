@@ -194,8 +194,8 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", remember: bool = True) -> DataFrame:
     """One row per piece: document, place in it, sequence and place there.
 
-    ``remember``: a worker keeps the chunks that it knows for its later tasks, which
-    is faster and holds a few hundred MB.
+    ``remember``: a worker keeps the chunks that it knows for its later tasks and takes
+    larger slices of texts, which is faster and holds a few hundred MB.
 
     ``capacity`` must be a power of two.  A sequence's number tells the worker's task
     and the sequence's place in it, so nothing is shuffled.
@@ -216,7 +216,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         if packer.done:
             yield packer.taken()
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, PIECES).withColumnRenamed("doc_id", id_col)
+    return map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, PIECES, chars=4_000_000 if remember else 1_000_000).withColumnRenamed("doc_id", id_col)
 
 
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
