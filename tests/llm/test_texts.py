@@ -161,13 +161,19 @@ def test_linking_equals_all_pairs(spark):
     rng = random.Random(5)
     parts = ["AKIA" + "Z9" * 8, "password=abcdefgh1234", "login: someone", "https://host.example:80", "aB3" * 9, "user=x" + "y" * 300, "0a" * 10]
     texts = [(i, "".join(" " * rng.choice([1, 20, 90]) + rng.choice(parts) for _ in range(rng.randint(1, 9)))) for i in range(60)]
-    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan(docs(spark, texts)).collect()}
+    rows = secret_scan.scan(docs(spark, texts)).collect()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in rows}
+    links = {r["doc_id"]: {tuple(s)[:3]: s["with"] for s in r["links"]} for r in rows}
     wanted = {3: lambda r: 2 in r, 4: lambda r: 1 in r, 5: lambda r: {1, 2} <= r}
     role = {0: 2, 1: 1, 2: 2, 3: 1, 4: 2, 5: 4}
     for i, text in texts:
         spans = secret_scan.spans_of(text)
         near = lambda s: {role[k] for a, k, b in spans if a - s[2] <= 200 and s[0] - b <= 200}  # noqa: B023, E731
         assert got[i] == [s for s in spans if s[1] < 3 or wanted[s[1]](near(s))], text
+        # Each reported span tells the kinds of the complementary parts in its scope.
+        needs = {1: {0, 2, 4}, 3: {0, 2, 4}, 0: {1, 3}, 2: {1, 3}, 4: {1, 3}, 5: {0, 1, 2, 3, 4}}
+        beside = {s: {k for a, k, b in spans if k in needs[s[1]] and a - s[2] <= 200 and s[0] - b <= 200} for s in got[i]}
+        assert links[i] == {s: sum(1 << k for k in kinds) for s, kinds in beside.items() if kinds}, text
 
 
 def test_redaction_keeps_rows_and_columns(spark):

@@ -57,14 +57,22 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _role(kind: str) -> Column:
-    """1: identifier, 2: secret, 4: endpoint."""
+#: Kinds that identify and kinds that are secrets, as bits by kind number.
+IDENTIFIERS, SECRETS = 1 << 1 | 1 << 3, 1 << 0 | 1 << 2 | 1 << 4
+
+
+def _complements(kind: str) -> Column:
+    """The kinds that a part of this kind needs beside it, as bits: secrets, identifiers, or, for an endpoint, both."""
     k = F.col(kind)
-    return F.when(k.isin(1, 3), 1).when(k.isin(0, 2, 4), 2).otherwise(4)
+    return F.when(k.isin(1, 3), SECRETS).when(k.isin(0, 2, 4), IDENTIFIERS).otherwise(SECRETS | IDENTIFIERS)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
-    """``(row, id, text_hash, base, spans)`` for every row; both arrays of (start, kind, stop), sorted."""
+    """``(row, id, text_hash, base, spans, links)`` for every row; arrays of (start, kind, stop), sorted.
+
+    ``links`` are those of ``spans`` that have complementary parts in scope, each with
+    the kinds of these (``with``, bits by kind number).
+    """
 
     def rows(slices):
         for part in slices:
@@ -74,21 +82,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     text = F.col(text_col).cast("string")
     found = map_rows(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text), rows, f"doc_id long, text_hash long, base array<{SPAN}>, parts array<{SPAN}>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
-    part = found.where(F.expr(f"size(filter(parts, p -> p.kind >= {BASE})) > 0 and size(parts) > 1").alias("x")).select("row", F.explode("parts").alias("p")).select("row", "p.*")
+    part = found.where("size(parts) > 1").select("row", F.explode("parts").alias("p")).select("row", "p.*")
     blocks = lambda low, high: F.explode(F.expr(f"sequence(greatest({low}, 0) div {scope}, ({high}) div {scope})")).alias("block")
-    near = part.select("row", F.col("start").alias("at"), F.col("stop").alias("to"), _role("kind").alias("role"), blocks("start", "stop"))
-    weak = part.where(f"kind >= {BASE}").select("*", blocks(f"start - {scope}", f"stop + {scope}"))
-    # The inner interval join: parts of one row that are at most ``scope`` apart.
-    met = weak.join(near, ["row", "block"]).where(f"at - stop <= {scope} and start - to <= {scope}").groupBy("row", "start", "kind", "stop").agg(F.bit_or("role").alias("roles"))
-    linked = met.where("(kind = 3 and roles & 2 = 2) or (kind = 4 and roles & 1 = 1) or (kind = 5 and roles & 3 = 3)")
-    more = linked.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("more"))
-    return found.join(more, "row", "left").select(
-        "row",
-        F.col("doc_id").alias(id_col),
-        "text_hash",
-        "base",
-        F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)")))).alias("spans"),
-    )
+    near = part.select("row", F.col("start").alias("at"), F.col("stop").alias("to"), F.expr("shiftleft(1, kind)").alias("bit"), blocks("start", "stop"))
+    asks = part.select("*", _complements("kind").alias("needs"), blocks(f"start - {scope}", f"stop + {scope}"))
+    # The inner interval join: parts of one row that are at most ``scope`` apart and of complementary kinds.
+    met = asks.join(near, ["row", "block"]).where(f"at - stop <= {scope} and start - to <= {scope} and needs & bit <> 0")
+    linked = met.groupBy("row", "start", "kind", "stop").agg(F.bit_or("bit").alias("with")).where(f"kind <> 5 or (`with` & {SECRETS} <> 0 and `with` & {IDENTIFIERS} <> 0)")
+    link = "struct<start: long, kind: int, stop: long, with: int>"
+    more = linked.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "with"))).alias("links"))
+    weak = F.expr(f"transform(filter(links, s -> s.kind >= {BASE}), s -> named_struct('start', s.start, 'kind', s.kind, 'stop', s.stop))")
+    out = found.join(more, "row", "left").withColumn("links", F.coalesce("links", F.expr(f"cast(array() as array<{link}>)")))
+    return out.select("row", F.col("doc_id").alias(id_col), "text_hash", "base", F.array_sort(F.concat("base", weak)).alias("spans"), "links")
 
 
 def joined(spans: str) -> Column:
@@ -96,6 +101,13 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.stop)), ',')")
 
 
+def linked_kinds(links: str) -> Column:
+    """``kind:start:stop=kind+kind`` of each link, comma-joined."""
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    others = f"array_join(transform(filter(sequence(0, {len(KINDS) - 1}), k -> getbit(s.with, k) = 1), k -> element_at(array({names}), k + 1)), '+')"
+    return F.expr(f"array_join(transform({links}, s -> concat(element_at(array({names}), s.kind + 1), ':', s.start, ':', s.stop, '=', {others})), ',')")
+
+
 def _replaced(text: str, linked: str | None) -> str:
     """A text with its strong spans and the given linked parts replaced."""
     spans = [s for s in spans_of(text) if s[1] < BASE]
@@ -135,4 +147,5 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
+        linked_kinds("links").alias("links"),
     )
