@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from test_operators import REGISTRY, now
 from vigilframe.plans import hunting
+from vigilframe.plans.shared import cut
 from vigilframe.sources import feeds
 
 KIT, OTHER = "ab" * 32, "cd" * 32
@@ -37,10 +37,13 @@ def run(spark, replies, details, seeds=(), **limits):
     return scans, told, wanted, hunting.Limits(**limits)
 
 
+def shown(found):
+    return [(r["phase"], int(r["uuid"][-4:]), r["brand"], int(r["confidence"]), r["brand_evidence"]) for r in found.orderBy("seq").collect()]
+
+
 def signals(spark, *args, **limits):
     scans, told, wanted, bounds = run(spark, *args, **limits)
-    rows = hunting.raw_signals(scans, told, wanted, REGISTRY, now(), "Reports", "https://reports.test", bounds).orderBy("seq").collect()
-    return [(r["phase"], int(r["uuid"][-4:]), r["brand"], int(r["confidence"]), r["brand_evidence"]) for r in rows]
+    return shown(hunting.raw_signals(scans, told, wanted, REGISTRY, now(), "Reports", "https://reports.test", bounds))
 
 
 def test_phases_domain_title_pivot_in_order(spark):
@@ -59,10 +62,10 @@ def test_phases_domain_title_pivot_in_order(spark):
         detail(4, "https://shared-kit.example/x", "Swedbank"),
         detail(5, "https://resource-only.example/", "Swedbank", digest=OTHER),
     ]
-    got = signals(spark, replies, details)
-    assert got == [(1, 1, "Swedbank", 100, ["domain", "title", "verdict"]), (2, 3, "Swedbank", 95, ["title"]), (3, 4, "Swedbank", 94, ["title", "primary-html-sha256"])]
     scans, told, wanted, bounds = run(spark, replies, details)
-    merged = {r["domain"]: r for r in hunting.hunt_reports(scans, told, wanted, REGISTRY, now(), "Reports", "https://reports.test", bounds).collect()}
+    found = cut(hunting.raw_signals(scans, told, wanted, REGISTRY, now(), "Reports", "https://reports.test", bounds))
+    assert shown(found) == [(1, 1, "Swedbank", 100, ["domain", "title", "verdict"]), (2, 3, "Swedbank", 95, ["title"]), (3, 4, "Swedbank", 94, ["title", "primary-html-sha256"])]
+    merged = {r["domain"]: r for r in hunting.published(found, now(), bounds).collect()}
     first = merged["secure-swedbank-login[.]example"]
     # The detail's key decides, also where it holds nothing: no country, but the reply's network.
     assert (first["country"], first["host"], first["hashes"]) == (None, "AS1 · 192[.]0[.]2[.]1", [KIT])
@@ -102,17 +105,24 @@ def test_seeds_budgets_and_what_was_fetched(spark):
     assert signals(spark, replies, details, seeds, seed_batch=2, seed_details=1) == []
 
 
-@pytest.mark.parametrize("kind", ["digest", "brand"])
-def test_pivots_need_the_digest_and_the_brand(spark, kind):
-    replies = [reply("domain", 0, 1, "https://secure-swedbank-login.example/"), reply("pivot", 0, 2, "https://shared-kit.example/", query=KIT)]
-    second = detail(2, "https://shared-kit.example/", "Swedbank", digest=OTHER) if kind == "digest" else detail(2, "https://shared-kit.example/", "Revolut secure", brands=["Revolut"])
-    assert [s[1] for s in signals(spark, replies, [detail(1, "https://secure-swedbank-login.example/", "Swedbank"), second])] == [1]
-
-
-def test_domain_evidence_alone_gives_no_pivot(spark):
-    replies = [reply("domain", 0, 1, "https://secure-swedbank-login.example/"), reply("pivot", 0, 2, "https://shared-kit.example/", query=KIT)]
-    got = signals(spark, replies, [detail(1, "https://secure-swedbank-login.example/", "x"), detail(2, "https://shared-kit.example/", "Swedbank")])
-    assert got == [(1, 1, "Swedbank", 100, ["domain"])]
+def test_pivots_need_the_digest_the_brand_and_strong_evidence(spark):
+    weak = "ef" * 32
+    replies = [
+        reply("domain", 0, 1, "https://secure-swedbank-login.example/"),
+        reply("domain", 1, 2, "https://seb-login.example/"),
+        reply("pivot", 0, 3, "https://kit-a.example/", query=KIT),
+        reply("pivot", 1, 4, "https://kit-b.example/", query=KIT),
+        reply("pivot", 0, 5, "https://kit-c.example/", query=weak),
+    ]
+    details = [
+        detail(1, "https://secure-swedbank-login.example/", "Swedbank"),
+        detail(2, "https://seb-login.example/", "x", digest=weak),
+        detail(3, "https://kit-a.example/", "Swedbank", digest=OTHER),
+        detail(4, "https://kit-b.example/", "Revolut secure", brands=["Revolut"]),
+        detail(5, "https://kit-c.example/", "SEB", digest=weak),
+    ]
+    # 3: another main document; 4: another brand; 5: the host's evidence alone does not make its digest one to look for.
+    assert [s[:2] for s in signals(spark, replies, details)] == [(1, 1), (1, 2)]
 
 
 def test_nothing_landed(spark):

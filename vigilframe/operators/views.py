@@ -69,6 +69,11 @@ def source_counts(rows: DataFrame, listed: str = "sources") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(listed)).alias("source")).groupBy("source").agg(F.count("*").alias("records"))
 
 
+def state_counts(states: DataFrame) -> DataFrame:
+    """How many sources are healthy, partial or skipped; one row, zeros included."""
+    return states.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("healthy", "partial", "skipped")])
+
+
 def history_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum("observationCount"), F.lit(0)).alias("observations"), F.coalesce(F.sum(F.size("statusTransitions")), F.lit(0)).alias("transitions"))
 

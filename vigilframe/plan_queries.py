@@ -14,7 +14,7 @@ from vigilframe.operators import health, history, hunt, matching, review, views
 from vigilframe.plans import archived, hunting, sync
 from vigilframe.plans.shared import cut, shared_folder
 from vigilframe.queries import _CUSTOMER_SQL, _HOST_SQL, _REGISTRY, _customer_hosts, _fold_sql, _log, _name, _read, _shown_fold, query
-from vigilframe.sources import archives, decisions, feeds, publication, snapshots
+from vigilframe.sources import archives, decisions, feeds, ledger, publication, snapshots
 from vigilframe.streaming import certificates, folding
 
 
@@ -426,3 +426,41 @@ def snapshot_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots.as_document(broken, "2024-01-01T10:00:00.000Z").coalesce(1).write.text(folder)
     back = snapshots.read_snapshot(spark, f"{folder}/part-*", ["Source 0"])
     return back.select("domain", "brand", F.array_join("sources", ",").alias("sources"))
+
+
+# The ledger and the views of sources
+
+@query(f"""WITH r AS (SELECT c_custkey, host, {_BRAND} AS own, {_MATCHES} AS matches, row_number() OVER (ORDER BY c_custkey) AS n FROM ({_CUSTOMER_SQL})), t AS (SELECT count(*) AS total FROM r)
+SELECT n + p.again * total AS sequence, host AS domain, 'https://' || host || '/kit' AS url, CASE WHEN matches THEN own WHEN segment_shown AND p.again = 0 THEN 'Household' END AS brand, CASE WHEN p.again = 0 THEN 'add' ELSE 'remove' END AS action
+FROM (SELECT *, NOT matches AND host LIKE 'automobile%' AS segment_shown FROM r) r, t, (VALUES (0), (1)) AS p(again)""")
+def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators taken apart, their brands resolved from hosts and from a snapshot, recorded in two batches and read back."""
+    root, none = _folder(spark, "ledger"), F.lit(None).cast("string")
+    rows = _customer_hosts(spark, sf_dir).select(F.col("c_custkey").alias("n"), F.concat(F.lit("hxxps://"), F.replace("host", F.lit("."), F.lit("[.]")), F.lit("/kit?token=1")).alias("indicator"))
+    requests = ledger.indicators(rows, "indicator").select("n", _time(_NOW).alias("recorded_at"), F.lit("add").alias("action"), "domain", "url", none.alias("brand"), F.lit("exact").alias("scope"), none.alias("reason_code"), F.lit(80).alias("confidence"), F.lit(" a  note ").alias("note"))
+    shown = _customer_hosts(spark, sf_dir).where("c_mktsegment = 'AUTOMOBILE'").select(F.replace("host", F.lit("."), F.lit("[.]")).alias("domain"), F.lit("Household").alias("brand"))
+    ledger.record(ledger.resolved_brands(requests, _REGISTRY, shown), root)
+    ledger.record(ledger.resolved_brands(requests.withColumn("action", F.lit("remove")), _REGISTRY), root)
+    return ledger.read_ledger(spark, root).select("sequence", "domain", "url", "brand", "action")
+
+
+@query(f"""WITH r AS (SELECT host, {_BRAND} AS brand, c_custkey % 5 AS age, c_custkey FROM ({_CUSTOMER_SQL}) WHERE {_MATCHES} AND c_custkey % 5 < 3)
+SELECT replace(host, '.', '[.]') AS domain, any_value(brand) AS brand, strftime(DATE '2024-01-10' - CAST(min(age) AS INT), '%Y-%m-%d') AS last_seen, max(c_custkey % 101) AS confidence FROM r GROUP BY host""")
+def recent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the last three days, checked against the registry and merged per host."""
+    shown = F.replace(F.col("host"), F.lit("."), F.lit("[.]"))
+    day = F.date_sub(F.lit("2024-01-10").cast("date"), (F.col("c_custkey") % 5).cast("int"))
+    time, none, texts = day.cast("timestamp"), F.lit(None).cast("string"), F.array().cast("array<string>")
+    rows = _customer_hosts(spark, sf_dir).where("c_mktsegment <> 'AUTOMOBILE'").select(
+        day.alias("day"), S.short_id(shown).alias("id"), F.concat(F.lit("hxxps://"), shown).alias("url"), shown.alias("domain"), time.alias("firstSeen"), time.alias("lastSeen"), F.array(F.lit("Reports")).alias("sources"), F.lit("suspected").alias("status"), F.initcap(F.lower("c_mktsegment")).alias("brand"),
+        none.alias("country"), none.alias("host"), none.alias("screenshotUrl"), none.alias("referenceUrl"), texts.alias("hashes"), F.array(F.lit("domain")).alias("brandEvidence"), (F.col("c_custkey") % 101).cast("int").alias("confidence"),
+    )
+    made = archived.recent_reports(rows, _REGISTRY, F.lit("2024-01-10").cast("date"), 3, 1_000_000)
+    return made.select("domain", "brand", F.date_format("lastSeen", "yyyy-MM-dd").alias("last_seen"), F.col("confidence").cast("long").alias("confidence"))
+
+
+@query(f"""SELECT count(*) FILTER (state = 'healthy') AS healthy, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'skipped') AS skipped FROM (SELECT event_type, CASE WHEN count(*) FILTER (value > 100) = 0 THEN 'skipped' WHEN count(*) % 2 = 0 THEN 'healthy' ELSE 'partial' END AS state FROM events GROUP BY 1)""")
+def source_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 100).alias("high"), F.count("*").alias("n"))
+    state = F.when(F.col("high") == 0, "skipped").when(F.col("n") % 2 == 0, "healthy").otherwise("partial")
+    return views.state_counts(states.select(state.alias("state")))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from vigilframe.functions import signals as S
 from vigilframe.functions.hosts import normalize_domain
 from vigilframe.functions.text import refang
-from vigilframe.operators import matching
+from vigilframe.operators import matching, merge
 from vigilframe.plans.shared import cut
+from vigilframe.sources import archives
 
 
 def _order(day: Column, key: Column) -> Column:
@@ -53,3 +54,11 @@ def report_signals(reports: DataFrame, source: str) -> DataFrame:
         F.col("screenshotUrl").alias("screenshot_url"), F.col("referenceUrl").alias("reference_url"), "hashes", F.col("confidence").cast("double").alias("confidence"),
         S.evidence_reasons(F.col("brandEvidence")).alias("reason_codes"), _order(F.col("day"), F.col("id")).alias("seq"),
     )
+
+
+def recent_reports(reports: DataFrame, registry: matching.Registry, today: Column, days: int, most: int = 2_500) -> DataFrame:
+    """The reports of the last days that the registry of now supports, ``most`` of the newest, merged per host."""
+    window = archives.recent(reviewed_reports(reports, registry), today, days, most, [F.col("id")])
+    rows = window.withColumn("seq", _order(F.col("day"), F.col("id")))
+    lists = {"reasonCodes": F.array().cast("array<string>")} if "reasonCodes" not in rows.columns else {}
+    return merge.merge(rows.withColumns(lists) if lists else rows, most)

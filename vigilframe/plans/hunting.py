@@ -187,7 +187,11 @@ def raw_signals(replies: DataFrame, details: DataFrame, seeds: DataFrame, regist
     return found.unionByName(_signals(_passed(pivoted, (PIVOT,)), now, source, root))
 
 
-def hunt_reports(replies: DataFrame, details: DataFrame, seeds: DataFrame, registry: matching.Registry, now: Column, source: str, root: str, limits: Limits = Limits()) -> DataFrame:
-    """The hunt's findings in published form, one row per host."""
-    raw = raw_signals(replies, details, seeds, registry, now, source, root, limits)
+def published(raw: DataFrame, now: Column, limits: Limits = Limits()) -> DataFrame:
+    """Raw signals of a hunt in published form, one row per host."""
     return merge.merge(merge.prepare(raw, now, F.col("screenshot_url"), F.col("reference_url")), limits.signals)
+
+
+def hunt_reports(replies: DataFrame, details: DataFrame, seeds: DataFrame, registry: matching.Registry, now: Column, source: str, root: str, limits: Limits = Limits()) -> DataFrame:
+    """The hunt's findings in published form."""
+    return published(raw_signals(replies, details, seeds, registry, now, source, root, limits), now, limits)
