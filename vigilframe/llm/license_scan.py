@@ -128,20 +128,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                         inside = [(i, k) for i, k in marked[at : at + BLOCK] if i < stop]
                         held = sorted({k for _, k in inside})
                         if not first.isdisjoint(held):
-                            blocks.append((start, stop, held, [i for i, _ in inside], [k for _, k in inside]))
+                            blocks.append((start, stop, held, [i - start for i, _ in inside], [k for _, k in inside]))
                 out.append((doc, len(words), places, blocks))
             yield out
 
     place, match = "struct<word: long, label: string>", "struct<start: long, stop: long, template: int, label: string, containment: double>"
-    found = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, f"doc_id long, n_words long, places array<{place}>, blocks array<struct<start: long, stop: long, tokens: array<int>, at: array<long>, marks: array<int>>>")
+    found = map_rows(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), rows, f"doc_id long, n_words long, places array<{place}>, blocks array<struct<start: long, stop: long, tokens: array<int>, at: array<int>, marks: array<int>>>")
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
     prefixes = spark.createDataFrame(index, "token int, t_place int, template int, label string, t_tokens array<int>, need int, longest int")
     block = found.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
-    probe = block.select("row", "start", "stop", "tokens", "at", "marks", F.posexplode("tokens").alias("place", "token"))
-    # The index has a row for each prefix word of the fixed templates.
-    candidates = probe.join(F.broadcast(prefixes), "token").where("size(tokens) - place >= need and size(t_tokens) - t_place >= need").dropDuplicates(["row", "start", "template"])
+    # Of a block's words only those that are a template's prefix words can meet the index, which has a row for each of these.
+    asked = F.array_intersect("tokens", F.array(*[F.lit(t) for t in sorted(first)]))
+    probe = block.select("row", "start", "stop", "tokens", "at", "marks", F.explode(asked).alias("token")).withColumn("place", F.array_position("tokens", F.col("token")) - 1)
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
-    likely = candidates.where(shared >= F.col("need")).withColumn("containment", shared / F.size("t_tokens"))
+    candidates = probe.join(F.broadcast(prefixes), "token").where("size(tokens) - place >= need and size(t_tokens) - t_place >= need")
+    # Verified before repeats go, so that only blocks that match are shuffled.
+    likely = candidates.where(shared >= F.col("need")).withColumn("containment", shared / F.size("t_tokens")).dropDuplicates(["row", "start", "template"])
 
     def close(slices):
         for part in slices:
