@@ -97,7 +97,7 @@ def document(**change):
     shown = "revolut-login[.]example"
     candidate = {"signalId": hashlib.sha256(shown.encode()).hexdigest()[:20], "url": f"hxxps://{shown}/é", "domain": shown, "observedAt": "2026-08-21T09:00:00.000Z", "brand": "Revolut", "confidence": 80, "reasonCodes": ["manual-review"]} | change.pop("candidate", {})
     candidate["url"] = change.pop("url", f"hxxps://{shown}/%C3%A9")
-    body = {"schemaVersion": 1, "dataset": "radar-review-decisions", "generatedAt": "2026-08-21T09:00:00.000Z", "suppressions": [identified(suppression), identified({"domain": "other[.]example", "scope": "subdomains", "brand": None, "reasonCode": "legitimate-domain"})], "candidates": [identified(candidate)]}
+    body = {"schemaVersion": 1, "dataset": decisions.DATASET, "generatedAt": "2026-08-21T09:00:00.000Z", "suppressions": [identified(suppression), identified({"domain": "other[.]example", "scope": "subdomains", "brand": None, "reasonCode": "legitimate-domain"})], "candidates": [identified(candidate)]}
     return body | change
 
 

@@ -22,7 +22,7 @@ SUMMARIES = {
 }
 HEALTHY = ("healthy-empty", "healthy-matches")
 RUNNING = "Collection attempt in progress."
-DATASET = "certstream-collection-health"
+DATASET = "collection-health"
 COUNTERS = ("messages", "dnsNames", "matches", "newRecords", "connectionAttempts", "connections")
 MOST_COUNT, MOST_BYTES = 2_147_483_647, 32 * 1024
 ATTEMPT = f"struct<startedAt: timestamp, collectorStartedAt: timestamp, endedAt: timestamp, trigger: string, scheduledFor: timestamp, scheduleStatus: string, delaySeconds: bigint, expectedListeningSeconds: int, listeningSeconds: double, {', '.join(f'{c}: bigint' for c in COUNTERS)}, outcome: string, summary: string>"

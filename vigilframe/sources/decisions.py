@@ -22,7 +22,7 @@ from vigilframe.plans.shared import cut
 from vigilframe.sources.archives import same_keys, text, texts, whole
 
 MOST_BYTES, MOST_ROWS = 2 * 1024 * 1024, 2_500
-DATASET = "radar-review-decisions"
+DATASET = "review-decisions"
 #: The keys of the document and of its decisions, and why a host may be suppressed.
 DOCUMENT_KEYS = "schemaVersion dataset generatedAt suppressions candidates".split()
 SUPPRESSION_KEYS = "id domain scope brand reasonCode".split()
@@ -123,13 +123,13 @@ def exported(state: DataFrame, registry: matching.Registry, now: Column) -> Poli
     return Policy(negative, candidates)
 
 
-def as_document(policy: Policy, generated: str) -> DataFrame:
-    """One row with the document's text; both lists in order, their lengths bounded by contract."""
+def as_document(policy: Policy, generated: str, dataset: str = DATASET) -> DataFrame:
+    """One row with the document's text, named ``dataset``; both lists in order, their lengths bounded by contract."""
     order = {"suppressions": ("domain", "scope", "id"), "candidates": ("domain", "id")}
     rows = {"suppressions": policy.suppressions, "candidates": policy.candidates.withColumn("observedAt", S.shown_time(F.col("observedAt")))}
     keys = {"suppressions": SUPPRESSION_KEYS, "candidates": CANDIDATE_KEYS}
     listed = [r.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order[k]).alias("o"), F.struct(*keys[k]).alias("v")))), lambda x: x["v"]).alias(k)) for k, r in rows.items()]
-    body = F.struct(F.lit(1).alias("schemaVersion"), F.lit(DATASET).alias("dataset"), F.lit(generated).alias("generatedAt"), "suppressions", "candidates")
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.lit(dataset).alias("dataset"), F.lit(generated).alias("generatedAt"), "suppressions", "candidates")
     # One row with one row.
     return listed[0].join(listed[1]).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
@@ -139,7 +139,7 @@ def _asserted(counts: DataFrame, good: Column, what: str) -> None:
     counts.select(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit(what)))).first()
 
 
-def read_decisions(spark: SparkSession, path: str, registry: matching.Registry, now: Column) -> Policy:
+def read_decisions(spark: SparkSession, path: str, registry: matching.Registry, now: Column, dataset: str = DATASET) -> Policy:
     """The decisions of the document at ``path``; raises if it breaks any rule."""
     try:
         files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_size").alias("size"))
@@ -152,7 +152,7 @@ def read_decisions(spark: SparkSession, path: str, registry: matching.Registry,
     doc = cut(files.select(F.try_parse_json("value").alias("v")))
     v = F.col("v")
     listed = lambda k: F.try_variant_get(v, f"$.{k}", "array<variant>")
-    shape = same_keys(v, DOCUMENT_KEYS) & (whole(v, "schemaVersion") == 1) & (text(v, "dataset") == DATASET) & S.canonical_time(text(v, "generatedAt")).isNotNull()
+    shape = same_keys(v, DOCUMENT_KEYS) & (whole(v, "schemaVersion") == 1) & (text(v, "dataset") == dataset) & S.canonical_time(text(v, "generatedAt")).isNotNull()
     for k in ("suppressions", "candidates"):
         shape = shape & listed(k).isNotNull() & (F.size(listed(k)) <= MOST_ROWS)
     _asserted(doc, shape, "the review document does not match its schema")
