@@ -491,4 +491,5 @@ def test_license_places_and_blocks_equal_brute_force(spark):
     scattered = "licensed " + "a " * 9 + "under " + "b " * 9 + "cc by " + "c " * 9 + "nc 4 0"
     (row,) = license_scan.scan(docs(spark, [(1, scattered)])).collect()
     assert not row["matches"] and license_scan.tightest([0, 5, 6, 9], [1, 2, 1, 3], {1, 2, 3}, 3) == 5 and license_scan.tightest([0], [1], {1, 2}, 2) is None
+    assert not license_scan.scan(docs(spark, texts[-2:]), templates={}).where("size(matches) > 0").count()
     assert got[201]["matches"] and license_scan.scan(empty(spark)).count() == 0 and license_scan.scan(docs(spark, EDGE)).count() == len(EDGE)

@@ -138,7 +138,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     prefixes = spark.createDataFrame(index, "token int, t_place int, template int, label string, t_tokens array<int>, need int, longest int")
     block = found.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
     # Of a block's words only those that are a template's prefix words can meet the index, which has a row for each of these.
-    asked = F.array_intersect("tokens", F.array(*[F.lit(t) for t in sorted(first)]))
+    asked = F.array_intersect("tokens", F.array(*[F.lit(t) for t in sorted(first)]).cast("array<int>"))
     probe = block.select("row", "start", "stop", "tokens", "at", "marks", F.explode(asked).alias("token")).withColumn("place", F.array_position("tokens", F.col("token")) - 1)
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
     candidates = probe.join(F.broadcast(prefixes), "token").where("size(tokens) - place >= need and size(t_tokens) - t_place >= need")
