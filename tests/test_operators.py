@@ -261,6 +261,19 @@ def test_compaction_under_a_watermark(spark):
     assert expired.count() == 0 and history.retained(events, "2026-07-10").count() == 3
 
 
+def test_compaction_keeps_every_signal(spark):
+    """A summary has no bound of its own; the newest signals only stay where one is asked for."""
+    n = 25_200
+    events = spark.range(n).select(
+        F.format_string("e%05d", "id").alias("eventId"), F.format_string("s%05d", "id").alias("signalId"), F.lit("observation").alias("eventType"), F.timestamp_seconds(F.lit(1_780_000_000) + F.col("id")).alias("observedAt"), F.lit("d").alias("domain"), F.lit("B").alias("brand"), F.array(F.lit("F")).alias("sources"),
+        F.lit("active").alias("status"), F.lit(None).cast("string").alias("previousStatus"), F.lit(80).alias("confidence"), F.array(F.lit("punycode")).alias("reasonCodes"), F.lit("2026-07-01").cast("date").alias("day"),
+    )
+    folded, _ = history.compact(events, None, None, "2026-08-21", now())
+    assert folded.count() == n
+    newest, _ = history.compact(events, None, None, "2026-08-21", now(), most=2)
+    assert sorted(r["id"] for r in newest.collect()) == ["s25198", "s25199"]
+
+
 def test_public_rows(spark):
     fold = spark.createDataFrame([("1", "seb-login[.]example", "SEB", ["punycode"]), ("2", "other[.]example", "SEB", ["punycode"]), ("3", "other[.]test", "SEB", ["provider-verdict"])], "id string, domain string, brand string, reasonCodes array<string>")
     fold = fold.withColumns({c: F.lit(None) for c in ("firstSeen", "lastSeen", "observationCount", "sources", "latestStatus", "statusTransitions")})

@@ -130,19 +130,20 @@ def fold(events: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     return merged.withColumn("observationCount", F.least(F.col("observationCount"), F.lit(MOST_COUNT)).cast("int"))
 
 
-def compact(log: DataFrame, summary: DataFrame | None, watermark: str | None, today: str, now: Column, detail_days: int = 30, summary_days: int = 730, most: int = 25_000) -> tuple[DataFrame, DataFrame]:
+def compact(log: DataFrame, summary: DataFrame | None, watermark: str | None, today: str, now: Column, detail_days: int = 30, summary_days: int = 730, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(summary, watermark(compactedThrough))`` after folding the days that leave the detail window.
 
     ``log`` has a ``day``; only days before the window and after the watermark are
     folded, so late rows of folded days change nothing.  Signals last seen before
-    ``summary_days`` expire.
+    ``summary_days`` expire.  ``most`` keeps the newest signals only, for a summary that
+    has a bound; a published document has its own (``snapshots.as_document``).
     """
     cutoff = F.date_sub(F.lit(today).cast("date"), detail_days)
     due = F.col("day") < cutoff if watermark is None else (F.col("day") < cutoff) & (F.col("day") > F.lit(watermark).cast("date"))
     old = log.where(due)
     folded = fold(old, summary).where(F.col("lastSeen") >= now - F.make_interval(days=F.lit(summary_days)))
     mark = old.agg(F.coalesce(F.max("day"), F.lit(watermark).cast("date")).alias("compactedThrough"))
-    return folded.orderBy(F.desc("lastSeen"), F.desc("id")).limit(most), mark
+    return folded if most is None else folded.orderBy(F.desc("lastSeen"), F.desc("id")).limit(most), mark
 
 
 def retained(log: DataFrame, today: str, detail_days: int = 30) -> DataFrame:
