@@ -70,6 +70,17 @@ def test_archived_candidates_are_scored_again(spark):
     assert archived.candidate_signals(rows.limit(0), REGISTRY, "Sample").count() == 0
 
 
+def test_lines_are_read_once_and_not_before_a_distinct(spark):
+    """Checks of a line's fields stay after what makes the lines: before, each was moved below the distinct and read the line anew."""
+    line = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), (F.col("id") % 3).cast("string").alias("domain"), F.lit("x").alias("brand")))
+    lines = spark.range(9).select(F.lit("2026-08-21").cast("date").alias("day"), line.alias("line")).distinct().withColumn("value", F.try_parse_json("line"))
+    for rows in (archives.candidates(lines), archives.reports(lines, now())):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+        below = plan.split("aggregate [")[1].split("\n", 1)[1]
+        assert plan.count("parsejson") == 1 and "parsejson" not in below and "filter" not in below
+        assert rows.count() == 0
+
+
 def test_archived_reports_need_the_support_of_now(spark):
     """What is written as an archive is read, reviewed, and published again by a synchronisation."""
 

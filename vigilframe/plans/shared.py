@@ -16,6 +16,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row and where it stands.
+
+    Spark moves filters before a distinct, a join or an exchange, and with them all that
+    their columns are made of; not so what filters a generator's output.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if folder := context.getConf().get("spark.checkpoint.dir"):

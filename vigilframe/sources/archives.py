@@ -70,11 +70,21 @@ def bounded(value: Column, most: int) -> Column:
     return (F.length(value).between(1, most)) & (F.trim(value) == value) & ~value.rlike(r"\p{Cntrl}")
 
 
+def _read_once(lines: DataFrame, *fields: Column) -> DataFrame:
+    """``day`` and the fields of each line with a value.
+
+    A generator gives them, so they are read once, however often a check names them, and no
+    check is moved to where the lines come from.
+    """
+    read = F.when(F.col("value").isNotNull(), F.array(F.struct(*fields)))
+    return lines.select("day", F.explode(read).alias("_read")).select("day", "_read.*")
+
+
 def candidates(lines: DataFrame, zone: str = "Europe/Vilnius") -> DataFrame:
     """Valid rows of the certificate archive; the others are skipped."""
     v = F.col("value")
-    rows = lines.where(v.isNotNull()).select(
-        "day", same_keys(v, CANDIDATE_KEYS).alias("closed"), whole(v, "schemaVersion").alias("version"), text(v, "id").alias("id"), S.canonical_time(text(v, "observedAt")).alias("observedAt"),
+    rows = _read_once(
+        lines, same_keys(v, CANDIDATE_KEYS).alias("closed"), whole(v, "schemaVersion").alias("version"), text(v, "id").alias("id"), S.canonical_time(text(v, "observedAt")).alias("observedAt"),
         text(v, "indicatorType").alias("kind"), text(v, "domain").alias("shown"), text(v, "registrableDomain").alias("shown_registrable"), text(v, "source").alias("source"), text(v, "brand").alias("brand"),
         whole(v, "confidence").alias("confidence"), texts(v, "reasons").alias("reasons"),
     )
@@ -123,8 +133,8 @@ def reports(lines: DataFrame, now: Column, reviewer: Column | None = None, displ
     """Valid rows of the report archive that the reviewer's predicate accepts; the others are skipped."""
     v = F.col("value")
     time = lambda c: S.canonical_time(text(v, c)).alias(c)
-    rows = lines.where(v.isNotNull()).select(
-        "day", (F.size(F.array_except(keys(v), F.array(*[F.lit(k) for k in REPORT_KEYS]))) == 0).alias("closed"), whole(v, "schemaVersion").alias("version"), *[text(v, c).alias(c) for c in ("id", "url", "domain", "status", "brand", "country", "host", "screenshotUrl", "referenceUrl", "hashType")],
+    rows = _read_once(
+        lines, (F.size(F.array_except(keys(v), F.array(*[F.lit(k) for k in REPORT_KEYS]))) == 0).alias("closed"), whole(v, "schemaVersion").alias("version"), *[text(v, c).alias(c) for c in ("id", "url", "domain", "status", "brand", "country", "host", "screenshotUrl", "referenceUrl", "hashType")],
         time("firstSeen"), time("lastSeen"), *[texts(v, c).alias(c) for c in ("sources", "hashes", "brandEvidence")], whole(v, "confidence").cast("int").alias("confidence"),
     )
     evidence = F.col("brandEvidence")
