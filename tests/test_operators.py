@@ -261,6 +261,35 @@ def test_compaction_under_a_watermark(spark):
     assert expired.count() == 0 and history.retained(events, "2026-07-10").count() == 3
 
 
+def test_hosts_are_normalised_once_they_are_distinct(spark):
+    """Python sees each host once: before, the check for null ones took it below the distinct, to every row."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(host):
+        seen.add(1)
+        return host
+
+    rows = spark.range(400, numPartitions=1).select(F.format_string("seb-login%d.example", F.col("id") % 2).alias("host"), F.lit(None).cast("string").alias("brand"))
+    plain = matching.normalize_domain
+    try:
+        matching.normalize_domain = lambda c: counted(plain(c))
+        matches = matching.score(rows, REGISTRY)
+        assert 0 < seen.value <= 4
+        seen.value = 0
+        assert matching.scope(rows, matches, REGISTRY).count() == matching.scope(rows, matches, REGISTRY, pairs=rows.distinct()).count()
+        # Judged per pair, in two scopes.
+        assert seen.value <= 16
+    finally:
+        matching.normalize_domain = plain
+
+
+def test_scope_keeps_rows_and_brands(spark):
+    rows = spark.createDataFrame([(1, "seb-login.example", None), (2, "seb-login.example", "SEB"), (3, "seb-login.example", None), (4, None, "SEB"), (5, "SEB-login.example", "seb"), (6, "plain.example", None), (7, "plain.example", "Swedbank")], "n int, host string, brand string")
+    got = {r["n"]: (r["host"], r["brand"]) for r in matching.scope(rows, matching.score(rows, REGISTRY), REGISTRY).collect()}
+    assert got == {1: ("seb-login.example", "SEB"), 2: ("seb-login.example", "SEB"), 3: ("seb-login.example", "SEB"), 5: ("SEB-login.example", "SEB"), 7: ("plain.example", "Swedbank")}
+
+
 def test_compaction_keeps_every_signal(spark):
     """A summary has no bound of its own; the newest signals only stay where one is asked for."""
     n = 25_200
