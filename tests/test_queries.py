@@ -44,3 +44,11 @@ def test_entry_stands_without_the_optional_folders(tmp_path):
     code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); sys.dont_write_bytecode = True\nimport importlib.util as u\ns = u.spec_from_file_location('e', {str(tmp_path / '__spark_entry__.py')!r}); m = u.module_from_spec(s); s.loader.exec_module(m)\nprint(sorted(k for k in m.queries() if k.startswith('op') or k == 'pipeline'), len(m.queries()) > 30)"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
     assert out.stdout.strip() == "[] True", out.stderr[-500:]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_customers_are_dealt(spark):
+    """A small file of many rows is no single task."""
+    from vigilframe.queries import _customer_hosts
+
+    assert "RepartitionByExpression" in _customer_hosts(spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()

@@ -125,7 +125,9 @@ def suppressed_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _customer_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(w) for w in ("-login", "-news", "-secure", "billing", "")]), (F.col("c_custkey") % 5 + 1).cast("int"))
     segment = F.lower("c_mktsegment")
-    return _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.concat(segment, word, F.lit(".n"), F.col("c_nationkey"), F.lit(".example")).alias("host"))
+    # Dealt, as the table is one small file of very many rows.
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").repartition("c_custkey")
+    return rows.select("c_custkey", "c_mktsegment", F.concat(segment, word, F.lit(".n"), F.col("c_nationkey"), F.lit(".example")).alias("host"))
 
 
 _CUSTOMER_SQL = "SELECT c_custkey, lower(c_mktsegment) || ['-login', '-news', '-secure', 'billing', ''][c_custkey % 5 + 1] || '.n' || c_nationkey || '.example' AS host, lower(c_mktsegment) AS segment, c_custkey % 5 AS kind FROM customer"
