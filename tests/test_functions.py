@@ -132,3 +132,10 @@ def test_reports_are_allow_listed(spark):
     uuid = "01234567-89ab-cdef-0123-456789abcdef"
     cases = {f"https://reports.test/shots/{uuid}.png?x=1": f"https://reports.test/shots/{uuid}.png", f"http://reports.test/shots/{uuid}.png": None, f"https://evil.test/shots/{uuid}.png": None, "https://reports.test/shots/x.png": None}
     assert values(spark, list(cases), U.allowed_report(F.col("x"), "reports.test", "/shots/", ".png")) == list(cases.values())
+
+
+def test_clean_text_by_the_short_way(spark):
+    """Plain words need no replacing; what is not plain is still cleaned."""
+    values = {"a b": "a b", " a": "a", "a ": "a", "a  b": "a b", "a\n": "a", "a\tb": "a b", "": None, " ": None, "é​ x": "é x", "a b": "a b", "abcdefgh": "abcdef", "­a": "a", "ab cde f": "ab cde"}
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string").select("v", T.clean_text(F.col("v"), 6).alias("c"))
+    assert {r["v"]: r["c"] for r in rows.collect()} == values | {None: None}

@@ -22,6 +22,8 @@ def clean_text(value: Column, most: int) -> Column:
     """Controls to blanks, format characters out, white space collapsed; null if nothing is left."""
     plain = F.regexp_replace(value, r"\p{Cf}", "")
     plain = F.trim(F.regexp_replace(plain, r"(?U)[\p{Cc}\s]+", " "))
+    # Printable ASCII words with single blanks between them are clean.
+    plain = F.when(value.rlike("[^ -~]|^ | $|  "), plain).otherwise(value)
     return F.nullif(F.left(plain, F.lit(most)), F.lit(""))
 
 

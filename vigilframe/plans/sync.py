@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vigilframe.functions.text import refang
 from vigilframe.functions.urls import url_host
 from vigilframe.operators import history, matching, merge, review
-from vigilframe.plans.shared import cut
+from vigilframe.plans.shared import cut, once
 
 
 @dataclass(frozen=True)
@@ -105,10 +105,11 @@ def synchronise(
     accepted and excluded rows are counted, in the pass that filters them.
     """
     spark = raw.sparkSession
-    hosted = raw.withColumn("_host", url_host(F.col("url")))
-    matches = cut(matching.score(hosted.where("_host is not null"), registry, "_host"))
-    counted, before = _counted(hosted, sources, "before") if sources else (hosted, None)
-    scoped = matching.scope(counted.where("_host is not null"), matches, registry, "_host", "brand")
+    hosted = lambda rows: once(rows, "_host", url_host(F.col("url"))).where("_host is not null")
+    pairs = cut(hosted(raw).select("_host", "brand").distinct())
+    matches = cut(matching.score(pairs, registry, "_host"))
+    counted, before = _counted(raw, sources, "before") if sources else (raw, None)
+    scoped = matching.scope(hosted(counted), matches, registry, "_host", "brand", pairs)
     reports = [F.col(c) if c in raw.columns else None for c in ("screenshot_url", "reference_url")]
     kept = review.drop_suppressed(merge.prepare(scoped, now, *reports), suppressions)
     if not sources:
@@ -121,7 +122,8 @@ def synchronise(
     rows = prepared
     if old is not None:
         named = old.withColumn("_host", refang(F.col("domain")))
-        past = matching.scope(named, cut(matching.score(named, registry, "_host")), registry, "_host", "brand")
+        pairs = cut(named.select("_host", "brand").distinct())
+        past = matching.scope(named, cut(matching.score(pairs, registry, "_host")), registry, "_host", "brand", pairs)
         rows = rows.unionByName(review.drop_suppressed(past, suppressions).drop("_host").withColumn("seq", F.lit(1 << 60)), allowMissingColumns=True)
     snapshot = cut(merge.merge(rows, settings.max_signals))
     known = previous if previous is not None else spark.createDataFrame([], "id string, latestStatus string")
