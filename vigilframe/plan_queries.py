@@ -437,7 +437,7 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators taken apart, their brands resolved from hosts and from a snapshot, recorded in two batches and read back."""
     root, none = _folder(spark, "ledger"), F.lit(None).cast("string")
     rows = _customer_hosts(spark, sf_dir).select(F.col("c_custkey").alias("n"), F.concat(F.lit("hxxps://"), F.replace("host", F.lit("."), F.lit("[.]")), F.lit("/kit?token=1")).alias("indicator"))
-    requests = ledger.indicators(rows, "indicator").select("n", _time(_NOW).alias("recorded_at"), F.lit("add").alias("action"), "domain", "url", none.alias("brand"), F.lit("exact").alias("scope"), none.alias("reason_code"), F.lit(80).alias("confidence"), F.lit(" a  note ").alias("note"))
+    requests = cut(ledger.indicators(rows, "indicator")).select("n", _time(_NOW).alias("recorded_at"), F.lit("add").alias("action"), "domain", "url", none.alias("brand"), F.lit("exact").alias("scope"), none.alias("reason_code"), F.lit(80).alias("confidence"), F.lit(" a  note ").alias("note"))
     shown = _customer_hosts(spark, sf_dir).where("c_mktsegment = 'AUTOMOBILE'").select(F.replace("host", F.lit("."), F.lit("[.]")).alias("domain"), F.lit("Household").alias("brand"))
     ledger.record(ledger.resolved_brands(requests, _REGISTRY, shown), root)
     ledger.record(ledger.resolved_brands(requests.withColumn("action", F.lit("remove")), _REGISTRY), root)
