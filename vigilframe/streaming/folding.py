@@ -2,26 +2,28 @@
 
 A signal's state is what ``history.fold`` keeps of it, with the newest 64 event ids and
 16 transitions, so it does not grow with its events.  An event-time timer clears a
-signal that was not seen for ``expiry_days``.  Rows of a signal stream through in Arrow
-batches; no batch of them is held.
+signal that was not seen for ``expiry_days``.  Rows of a signal stream through, a bounded
+number of them is sorted at a time.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vigilframe.operators.history import FOLDED, MOST_COUNT, RECENT, TRANSITIONS
 
-TRANSITION = "struct<observedAt: timestamp, eventId: string, previousStatus: string, status: string, sources: array<string>, reasonCodes: array<string>>"
+#: Times are microseconds in what the workers give.
+TRANSITION = "struct<observedAt: long, eventId: string, previousStatus: string, status: string, sources: array<string>, reasonCodes: array<string>>"
 OUT = (
-    "id string, domain string, brand string, firstSeen timestamp, lastSeen timestamp, observationCount int, sources array<string>, latestStatus string, statusObservedAt timestamp, "
+    "id string, domain string, brand string, firstSeen long, lastSeen long, observationCount int, sources array<string>, latestStatus string, statusObservedAt long, "
     f"reasonCodes array<string>, statusTransitions array<{TRANSITION}>, recentEventIds array<string>, conflicting boolean, events long"
 )
 _TEXTS = T.ArrayType(T.StringType())
@@ -35,15 +37,7 @@ STATE = T.StructType(
         }.items()
     ]
 )
-MOST_CODES = 16
-
-
-def _micros(value) -> int:
-    return int(pd.Timestamp(value).tz_localize(None).value // 1_000)
-
-
-def _time(micros: int) -> datetime:
-    return datetime.fromtimestamp(micros / 1_000_000, timezone.utc).replace(tzinfo=None)
+MOST_CODES, SORTED = 16, 10_000
 
 
 def empty() -> dict:
@@ -52,8 +46,9 @@ def empty() -> dict:
 
 def add(state: dict, event: dict) -> None:
     """One event into a state; an event that is among the recent ones changes nothing."""
-    at, key = event["at"], event["eventId"]
-    if (at, key) in state["recent"]:
+    at, key, recent = event["at"], event["eventId"], state["recent"]
+    place = bisect_left(recent, (at, key))
+    if recent[place : place + 1] == [(at, key)]:
         return
     state["events"] += 1
     for name in ("domain", "brand"):
@@ -64,14 +59,17 @@ def add(state: dict, event: dict) -> None:
     state["first"] = at if state["first"] is None else min(at, state["first"])
     state["last"] = at if state["last"] is None else max(at, state["last"])
     state["observations"] += event["eventType"] == "observation"
-    state["sources"] = sorted({*state["sources"], *event["sources"]})
-    state["codes"] = list(dict.fromkeys([*state["codes"], *event["reasonCodes"]]))[:MOST_CODES]
+    if any(x not in state["sources"] for x in event["sources"]):
+        state["sources"] = sorted({*state["sources"], *event["sources"]})
+    if any(x not in state["codes"] for x in event["reasonCodes"]):
+        state["codes"] = list(dict.fromkeys([*state["codes"], *event["reasonCodes"]]))[:MOST_CODES]
     if (at, key) > (state["statusAt"], state["statusId"]):
         state["statusAt"], state["statusId"], state["status"] = at, key, event["status"]
     if event["eventType"] == "status-transition":
-        moved = [*state["moved"], (at, key, event["previousStatus"], event["status"], list(event["sources"]), list(event["reasonCodes"]))]
-        state["moved"] = sorted(moved, key=lambda m: m[:2])[-TRANSITIONS:]
-    state["recent"] = sorted([*state["recent"], (at, key)])[-RECENT:]
+        insort(state["moved"], (at, key, event["previousStatus"], event["status"], list(event["sources"]), list(event["reasonCodes"])), key=lambda m: m[:2])
+        del state["moved"][:-TRANSITIONS]
+    recent.insert(place, (at, key))
+    del recent[:-RECENT]
 
 
 class Fold(StatefulProcessor):
@@ -83,40 +81,44 @@ class Fold(StatefulProcessor):
         self.kept = handle.getValueState("folded", STATE)
 
     def _read(self) -> dict:
-        import json
-
-        if not self.kept.exists():
+        if (kept := self.kept.get()) is None:
             return empty()
-        domain, brand, first, last, observations, sources, status, status_at, status_id, codes, moved, recent_at, recent_ids, conflicting, events = self.kept.get()
+        domain, brand, first, last, observations, sources, status, status_at, status_id, codes, moved, recent_at, recent_ids, conflicting, events = kept
         plain = {"domain": domain, "brand": brand, "first": first, "last": last, "observations": observations, "sources": list(sources), "status": status, "statusAt": status_at, "statusId": status_id, "codes": list(codes)}
         return plain | {"moved": [tuple(m) for m in json.loads(moved)], "recent": list(zip(recent_at, recent_ids, strict=True)), "conflicting": conflicting, "events": events}
 
     def _write(self, s: dict) -> None:
-        import json
-
         at, ids = [r[0] for r in s["recent"]], [r[1] for r in s["recent"]]
         self.kept.update((s["domain"], s["brand"], s["first"], s["last"], s["observations"], s["sources"], s["status"], s["statusAt"], s["statusId"], s["codes"], json.dumps(s["moved"]), at, ids, s["conflicting"], s["events"]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _due(self, state: dict) -> int:
+        """When a signal expires, in milliseconds."""
+        return state["last"] // 1_000 + self.expiry
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = self._read()
-        # Batches come in no order; within one the order of events decides which codes are the first.
-        for batch in rows:
-            events = [{"at": _micros(r["observedAt"])} | r for r in batch.to_dict("records")]
+        before = None if state["last"] is None else self._due(state)
+        # Rows come in no order; among those sorted together the order of events decides which codes are the first.
+        while some := list(islice(rows, SORTED)):
+            events = [json.loads(row["event"]) for row in some]
             for event in sorted(events, key=lambda e: (e["at"], e["eventId"])):
                 add(state, event)
         self._write(state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(state["last"] // 1_000 + self.expiry)
-        moved = [dict(zip(("observedAt", "eventId", "previousStatus", "status", "sources", "reasonCodes"), (_time(m[0]), *m[1:]), strict=True)) for m in state["moved"]]
-        out = {
-            "id": key[0], "domain": state["domain"], "brand": state["brand"], "firstSeen": _time(state["first"]), "lastSeen": _time(state["last"]), "observationCount": min(MOST_COUNT, state["observations"]), "sources": state["sources"], "latestStatus": state["status"],
-            "statusObservedAt": _time(state["statusAt"]), "reasonCodes": state["codes"], "statusTransitions": moved, "recentEventIds": [i for _, i in state["recent"]], "conflicting": state["conflicting"], "events": state["events"],
-        }
-        yield pd.DataFrame([out])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
+        if (due := self._due(state)) != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        moved = [dict(zip(("observedAt", "eventId", "previousStatus", "status", "sources", "reasonCodes"), m, strict=True)) for m in state["moved"]]
+        yield Row(
+            id=key[0], domain=state["domain"], brand=state["brand"], firstSeen=state["first"], lastSeen=state["last"], observationCount=min(MOST_COUNT, state["observations"]), sources=state["sources"], latestStatus=state["status"],
+            statusObservedAt=state["statusAt"], reasonCodes=state["codes"], statusTransitions=moved, recentEventIds=[i for _, i in state["recent"]], conflicting=state["conflicting"], events=state["events"],
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # A timer of another ``expiry_days`` may be left from before a restart.
+        state = self._read()
+        if state["last"] is None or expiredTimerInfo.getExpiryTimeInMs() >= self._due(state):
+            self.kept.clear()
         return iter([])
 
     def close(self) -> None:
@@ -130,8 +132,12 @@ def folded(events: DataFrame, late: str = "30 days", expiry_days: int = 730) ->
     (``with_rocksdb``).  ``events`` counts a signal's events, so that of its rows the one
     that has most is the latest.
     """
-    rows = events.select("eventId", "signalId", "eventType", "observedAt", "domain", "brand", "sources", "status", "previousStatus", "reasonCodes").withWatermark("observedAt", late)
-    return rows.groupBy("signalId").transformWithStateInPandas(Fold(expiry_days), OUT, "Update", "EventTime")
+    # One text an event: Spark hands a row to Python value by value.
+    fields = F.struct(F.unix_micros("observedAt").alias("at"), "eventId", "eventType", "domain", "brand", "sources", "status", "previousStatus", "reasonCodes")
+    rows = events.select("signalId", "observedAt", F.to_json(fields, {"ignoreNullFields": "false"}).alias("event")).withWatermark("observedAt", late)
+    kept = rows.groupBy("signalId").transformWithState(Fold(expiry_days), OUT, "Update", "EventTime")
+    moved = F.transform("statusTransitions", lambda t: t.withField("observedAt", F.timestamp_micros(t["observedAt"])))
+    return kept.withColumns({c: F.timestamp_micros(c) for c in ("firstSeen", "lastSeen", "statusObservedAt")} | {"statusTransitions": moved})
 
 
 def with_rocksdb(spark) -> None:
