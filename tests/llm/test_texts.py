@@ -98,6 +98,18 @@ def test_fingerprints_of_edits(spark):
     assert got[401]["fingerprint"] == got[402]["fingerprint"] and got[401]["near_next"] == 1.0
 
 
+def test_an_edit_shares_the_spans_before_it():
+    """Hashes of spans that an edit leaves alone are the text's own, not computed again."""
+    some = random.Random(4)
+    for n in (*range(40), 300):
+        a, b = ("".join(some.choice("ab é") for _ in range(size)) for size in (n, 37))
+        k = min(n // 4, len(b))
+        m = n - n // 4
+        g, edit = fingerprints.prefixes(a), fingerprints.prefixes(a[:m] + b[:k])
+        assert (fingerprints.mixed_edit(fingerprints.mixed(g), m, edit) == fingerprints.mixed(edit)).all()
+        assert fingerprints.fingerprint(edit, fingerprints.mixed(edit)) == fingerprints.fingerprint(edit)
+
+
 def test_fingerprints_edge_cases(spark):
     assert fingerprints.fingerprint_edits(docs(spark, EDGE), buckets=3).count() == len(EDGE)
     assert fingerprints.fingerprint_edits(empty(spark), buckets=3).count() == 0

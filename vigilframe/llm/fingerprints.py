@@ -89,13 +89,30 @@ def common_extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
     return low
 
 
-def fingerprint(h: np.ndarray) -> str:
+def mixed(h: np.ndarray, first: int = 0) -> np.ndarray:
+    """Mixed hashes of the spans of a text, from place ``first`` on."""
     n = h.shape[1] - 1
+    if not n:
+        return np.zeros(0, np.uint64)
     width = min(SPAN, n)
-    x = span_hash(h, np.arange(n - width + 1), width).astype(np.uint64) if n else np.zeros(0, np.uint64)
+    last = n - width + 1
+    lanes = _mod(_mod(h[:, first + width :] - h[:, first:last] + PRIME) * powers(h.shape[1])[1][:, first:last])
+    x = ((lanes[0] << 31) | lanes[1]).astype(np.uint64)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    x = (x ^ (x >> np.uint64(29))) >> np.uint64(24)
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(24)
+
+
+def mixed_edit(x: np.ndarray, m: int, edit: np.ndarray) -> np.ndarray:
+    """``mixed(edit)`` of a text's edit after its first ``m`` code points: spans before are the text's own."""
+    own = m - SPAN + 1
+    return mixed(edit) if own <= 0 else np.concatenate([x[:own], mixed(edit, own)])
+
+
+def fingerprint(h: np.ndarray, x: np.ndarray | None = None) -> str:
+    """``x``: the text's ``mixed`` hashes, if they are known."""
+    n = h.shape[1] - 1
+    x = mixed(h) if x is None else x
     least = np.unique(np.partition(x, 4 * KEPT)[: 4 * KEPT] if len(x) > 8 * KEPT else x)
     if len(least) < KEPT:
         least = np.unique(x)
@@ -155,13 +172,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for part in slices:
             out = []
             for bucket, guest, doc, text in part:
-                now = (bucket, guest, doc, text, h := prefixes(text), fingerprint(h))
+                now = (bucket, guest, doc, text, h := prefixes(text), fingerprint(h, x := mixed(h)), x)
                 if held and held[0] == bucket and not held[1]:
-                    _, _, before, old, g, mark = held
+                    _, _, before, old, g, mark, own = held
                     k = len(old) // 4
                     m, k = len(old) - k, min(k, len(text))
                     edit = spliced(g, m, h, k)
-                    edited = fingerprint(edit)
+                    edited = fingerprint(edit, mixed_edit(own, m, edit))
                     sha = hashlib.sha256((old[:m] + text[:k]).encode()).hexdigest()
                     out.append((before, len(old), sha, mark, edited, likeness(mark, edited), likeness(mark, now[5]), common_extension(g, 0, edit, 0)))
                 held = now
