@@ -409,6 +409,40 @@ def test_packing_covers_every_id_once(spark):
     assert len(pieces) < 2 * len(texts)
 
 
+def test_different_chunks_are_looked_up_and_encoded_once():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from vigilframe.llm.common import Known
+
+    class Counted(dict):
+        gets = 0
+
+        def get(self, *a):
+            self.gets += 1
+            return super().get(*a)
+
+    words, known = ["sat", "naïve", "entionblein"], Known()
+    held = known.young = Counted()
+    got = packing.encode_by_chunk([" ".join(w + m for w in [*words, *map(str.capitalize, words)] for m in ("", ".", ",", "!?"))] * 50, tokenizers.path("word_bpe_49k.json"), known)
+    # Small and capital letters and marks make no further chunks, and a chunk is looked up once for all its 1,200 places.
+    assert set(held) == {*words, ".", ",", "!?"} and held.gets == 6 and len(set(got)) == 1
+
+
+def test_chunks_give_the_ids_of_whole_texts():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from vigilframe.llm.common import Known
+
+    path, rng, known = tokenizers.path("word_bpe_49k.json"), random.Random(7), Known(300)
+    plain = ["The", "CAT's", "'LL,", "don't,", "\u2019s", "a_b.c", "x1y,", "1,", "NA\u00cfVE,", "\u00df", "a\u00d7b", "A.B.", "(X)", "&&&", "\u0130x", "\u03a3\u0391\u03a3", "\u65e5", "\u212a", "\ufb01", "\x00", "\x85", "", " ", "\n", "\t", "\u00a0", "\u2028"]
+    # Composed with what stands before them, also across another mark; added tokens, which are not such in capitals.
+    odd = ["\u0301", "\u0331", "\u20d2", "\u0338", "<", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext", "|>"]
+    texts = ["".join(rng.choice(atoms) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 20))) for atoms in (plain, plain + odd) for _ in range(3000)]
+    got = [x for at in range(0, len(texts), 50) for x in packing.encode_by_chunk(texts[at : at + 50], path, known)]
+    want = Tokenizer.from_file(path)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [want.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_classes_take_whole_documents():
     packer = packing.Packer(64, 0)
     for i in range(6):

@@ -25,6 +25,8 @@ import zlib
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,29 +38,45 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer; one for words of small letters, which need no normalising; the word-end tokens; what `_apart` leaves alone."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.normalizer = None
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    return tokenizer, ends
+    added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, bare, ends, "(?i)" + "|".join(["[\u0300-\u036f]", *added])
 
 
-#: A chunk that is one run of plain letters, then marks that no contraction rule of the tokenizer touches and
-#: that its normaliser does not compose with a letter before them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'’\u0300-\u036f]*)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(f"[{_LETTERS}]+")
+#: A letter and a mark that no contraction rule of the tokenizer touches.
+_MARKED = rf"([{_LETTERS}])([!-&(-/:-@\[-`{{-~])"
+
+
+def _apart(texts: pa.Array, path: str) -> pa.Array:
+    """Texts with the same ids and fewer different chunks: A-Z lower-cased, a blank between a letter and a mark.
+
+    Not where a mark may be composed with a letter before it, nor where the text has one
+    of the tokenizer's added tokens, in any case: these are found before lower-casing.
+    """
+    out = pc.replace_substring_regex(pc.ascii_lower(texts), _MARKED, r"\1 \2")
+    odd = pc.match_substring_regex(texts, _tokenizer(path)[3])
+    return pc.replace_substring(pc.if_else(odd, texts, out), "\n", " ")
 
 
 def _encode_words(words: list[str], path: str) -> list[bytes]:
     """Ids of words of letters; many at once, told apart by their word-end tokens."""
-    tokenizer, ends = _tokenizer(path)
+    _, bare, ends, _ = _tokenizer(path)
     out = []
-    for start in range(0, len(words), 5_000):
-        part = words[start : start + 5_000]
-        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+    for start in range(0, len(words), 500):
+        part = words[start : start + 500]
+        ids = np.array(bare.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(ends[ids]) + 1
         if len(stops) == len(part):
             data, last = ids.tobytes(), 0
@@ -83,25 +101,25 @@ def encode_by_chunk(texts: list[str], path: str, known: Known) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its space-separated chunks, and those of a word with marks
-    behind it are the word's and the marks'.  Chunks met lately aren't encoded again.
+    are those of its space-separated chunks.  Each different chunk of the texts is
+    looked up once; those met lately aren't encoded again.
     """
     known.age()
     held = known.young
-    chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    found = [list(map(held.get, c)) for c in chunks]
-    holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-    new = known.recall({c[i] for c, h in zip(chunks, holes, strict=True) for i in h})
-    parts = {c: (m[1].lower(), m[2]) for c in new if (m := _PLAIN.fullmatch(c))}
-    words = list(known.recall({w for w, _ in parts.values()}.difference(held)))
-    others = list(known.recall(({m for _, m in parts.values()} | (new - parts.keys())).difference(held)))
+    split = pc.split_pattern(_apart(pa.array(texts, pa.large_string()), path), " ")
+    coded = split.flatten().dictionary_encode()
+    chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    found = list(map(held.get, chunks))
+    holes = [i for i, x in enumerate(found) if x is None]
+    new = known.recall({chunks[i] for i in holes})
+    words = list(filter(_WORD.fullmatch, new))
+    others = list(new.difference(words))
     held.update(zip(words, _encode_words(words, path), strict=True))
     held.update(zip(others, _encode_each(others, path), strict=True))
-    held.update({c: held[w] + held[m] for c, (w, m) in parts.items()})
-    for c, f, h in zip(chunks, found, holes, strict=True):
-        for i in h:
-            f[i] = held[c[i]]
-    return [b"".join(f) for f in found]
+    for i in holes:
+        found[i] = held[chunks[i]]
+    ids = pa.array(found, pa.large_binary()).take(coded.indices)
+    return pc.binary_join(pa.ListArray.from_arrays(split.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist()
 
 
 class Packer:
